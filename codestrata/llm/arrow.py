@@ -85,7 +85,7 @@ def rest_of(docs: DataFrame, *made: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in {m.lower() for m in made}])
 
 
-def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, replace_text: bool = False) -> DataFrame:
+def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, replace_text: bool = False, limit: int = SLICE_BYTES) -> DataFrame:
     """Run ``work(slice) -> list of arrow arrays`` on slices of a table's text.
 
     The result has the table's other columns untouched and ``fields`` after
@@ -97,7 +97,7 @@ def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, repl
 
     def run(batches):
         for batch in batches:
-            for part in text_slices(batch, text):
+            for part in text_slices(batch, text, limit):
                 made = work(part)
                 columns = list(part.columns)
                 if replace_text:

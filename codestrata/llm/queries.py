@@ -7,22 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash
+from . import bpe, langid, line_dedup, quality, simhash
 from .session import table
 
 
+#: Labelled rows that the quality classifier is fitted on, about.
+QUALITY_ROWS = 8000
+
+
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = bpe.encode(docs, tokenizer_file(), packed=True)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = simhash.near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("simhash"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.fold_of("doc_id", 4) == 2, F.lit(True))
+    model = langid.fit(docs.select("doc_id", "text", "lang"), ~held_out)
+    done = langid.identify(docs.select("doc_id", "text"), model)
+    return done.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = line_dedup.dedup_lines(docs)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(True))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    chosen = langid.sampled(labels.where(~held_out & F.col("quality").isNotNull()), "doc_id", QUALITY_ROWS)
+    chosen = F.broadcast(chosen.limit(2 * QUALITY_ROWS))  # two numbers a row
+    model = quality.fit(docs.join(chosen, "doc_id"), sample_rows=QUALITY_ROWS)
+    done = quality.score(docs, model)
+    return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP9_SQL = r"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -46,8 +81,11 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_bpe": op6_bpe,
         "op7_simhash": op7_simhash,
+        "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
+        "op10_quality": op10_quality,
     }
 
 
