@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, line_dedup, quality, simhash
+from . import bpe, decontaminate, langid, line_dedup, quality, simhash
 from .session import table
 
 
@@ -21,6 +21,12 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("passages").alias("p")).select("doc_id", "p.*")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = bpe.encode(docs, tokenizer_file(), packed=True)
@@ -81,6 +87,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op7_simhash": op7_simhash,
         "op8_language_id": op8_language_id,
