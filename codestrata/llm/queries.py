@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, quality, simhash
+from . import bpe, decontaminate, langid, line_dedup, quality, secret_scan, simhash, url_filter
 from .session import table
 
 
@@ -21,6 +21,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return done.select("page_id", "host", "path", "rule", "verdict", "evidence")
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = secret_scan.scan(docs, secret_scan.fit(secret_scan.labelled_findings(spark)))
+    masked = F.concat(F.substring("candidate", 1, 4), F.lit("..."), F.length("candidate").cast("string"))
+    return found.select("doc_id", "word_no", masked.alias("masked"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
@@ -64,6 +76,63 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+OP2_SQL = r"""
+WITH base AS (
+  SELECT page_id, url, coalesce(instr(url, '://'), 0) > 0 AS ok,
+         CASE WHEN coalesce(instr(url, '://'), 0) > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+  FROM pages),
+split AS (
+  SELECT page_id, url, ok, rest,
+         translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM base),
+ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/'
+    WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+    WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule
+  FROM split),
+tokens AS (
+  SELECT DISTINCT page_id, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS label, unnest(list_concat(
+    ['scheme=' || lower(regexp_extract(url, '^([A-Za-z]*)://', 1))],
+    list_transform(list_filter(string_split(host, '.'), lambda s: s <> ''), lambda s: 'host=' || s),
+    list_transform(list_filter(string_split(path, '/'), lambda s: s <> '' AND NOT regexp_matches(s, '^[0-9]')), lambda s: 'seg=' || s),
+    list_transform(list_filter(string_split(path, '/'), lambda s: regexp_matches(s, '^[0-9]')), lambda s: 'lead=' || s[1]),
+    list_transform(list_filter(string_split(path, '/'), lambda s: regexp_matches(s, '^[0-9]')), lambda s: 'digits=' || length(regexp_extract(s, '^[0-9]+', 0))),
+    CASE WHEN regexp_extract(path, '\.([a-z0-9]+)$', 1) <> '' THEN ['ext=' || regexp_extract(path, '\.([a-z0-9]+)$', 1)] ELSE [] END,
+    list_transform(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda s: s <> ''), lambda s: 'query=' || regexp_extract(s, '^[^=]*', 0)),
+    CASE WHEN instr(rest, '#') > 0 THEN ['fragment'] ELSE [] END)) AS token
+  FROM ruled WHERE ok),
+labelled AS (SELECT page_id, label, token FROM tokens WHERE label IS NOT NULL),
+least AS (SELECT ceil(0.02 * count(*)) AS n FROM ruled WHERE ok AND rule IS NOT NULL),
+sets AS (
+  SELECT label, token AS t1, NULL AS t2, NULL AS t3, 1 AS size FROM labelled
+  UNION ALL SELECT a.label, a.token, b.token, NULL, 2 FROM labelled a JOIN labelled b ON a.page_id = b.page_id AND a.token < b.token
+  UNION ALL SELECT a.label, a.token, b.token, c.token, 3 FROM labelled a JOIN labelled b ON a.page_id = b.page_id AND a.token < b.token
+    JOIN labelled c ON b.page_id = c.page_id AND b.token < c.token),
+counted AS (SELECT label, t1, t2, t3, size, concat_ws(' ', t1, t2, t3) AS key, count(*) AS support FROM sets GROUP BY ALL),
+rules AS (
+  SELECT * FROM (SELECT *, support / sum(support) OVER (PARTITION BY key) AS confidence FROM counted)
+  WHERE support >= (SELECT n FROM least) AND confidence >= 0.8),
+pruned AS (
+  SELECT r.* FROM rules r WHERE NOT EXISTS (
+    SELECT 1 FROM rules s WHERE s.label = r.label AND s.confidence >= r.confidence AND s.size < r.size
+      AND list_has_all([r.t1, r.t2, r.t3], list_filter([s.t1, s.t2, s.t3], lambda x: x IS NOT NULL)))),
+postings AS (SELECT key, label, size, support, confidence, unnest(list_filter([t1, t2, t3], lambda x: x IS NOT NULL)) AS token FROM pruned),
+hits AS (
+  SELECT t.page_id, p.key, p.label, p.size, p.support, p.confidence FROM tokens t JOIN postings p USING (token)
+  WHERE t.rule IS NULL GROUP BY ALL HAVING count(*) = p.size),
+best AS (
+  SELECT page_id, label, key FROM hits
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, support DESC, size, key, label) = 1)
+SELECT r.page_id, r.host, r.path, r.rule,
+       CASE WHEN r.rule IN ('org/', 'com/fr/') THEN 'allow' WHEN r.rule IS NOT NULL THEN 'block' ELSE coalesce(b.label, 'allow') END AS verdict,
+       b.key AS evidence
+FROM ruled r LEFT JOIN best b ON r.page_id = b.page_id
+"""
+
 OP9_SQL = r"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -87,6 +156,8 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_url_filter": op2_url_filter,
+        "op3_secret_scan": op3_secret_scan,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op7_simhash": op7_simhash,
@@ -97,4 +168,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_line_dedup": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op9_line_dedup": OP9_SQL}
