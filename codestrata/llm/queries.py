@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, line_dedup, quality, secret_scan, simhash, url_filter
+from . import bpe, decontaminate, embedding_dedup, langid, line_dedup, quality, secret_scan, simhash, url_filter
 from .session import table
 
 
@@ -33,6 +33,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "word_no", masked.alias("masked"), F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "is_secret")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_passages(docs, table(spark, sf_dir, "benchmark"))
@@ -133,6 +137,24 @@ SELECT r.page_id, r.host, r.path, r.rule,
 FROM ruled r LEFT JOIN best b ON r.page_id = b.page_id
 """
 
+OP4_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_inner_product(a.e, b.e) / sqrt(list_inner_product(a.e, a.e)) / sqrt(list_inner_product(b.e, b.e)) >= 0.98),
+reach AS (
+  SELECT vec_id AS node, vec_id AS other FROM embeddings
+  UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+named AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, n.component_id, e.vec_id = n.component_id AS kept
+FROM embeddings e JOIN named n ON e.vec_id = n.node LEFT JOIN counted c ON e.vec_id = c.a
+"""
+
 OP9_SQL = r"""
 WITH parts AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -158,6 +180,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_url_filter": op2_url_filter,
         "op3_secret_scan": op3_secret_scan,
+        "op4_embedding_dedup": op4_embedding_dedup,
         "op5_decontamination": op5_decontamination,
         "op6_bpe": op6_bpe,
         "op7_simhash": op7_simhash,
@@ -168,4 +191,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
