@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, langid, line_dedup, quality, secret_scan, simhash, url_filter
+from . import bpe, decontaminate, embedding_dedup, langid, license_scan, line_dedup, quality, secret_scan, simhash, url_filter
 from .session import table
 
 
@@ -21,6 +21,10 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = url_filter.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
     return done.select("page_id", "host", "path", "rule", "verdict", "evidence")
@@ -178,6 +182,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
         "op2_url_filter": op2_url_filter,
         "op3_secret_scan": op3_secret_scan,
         "op4_embedding_dedup": op4_embedding_dedup,
