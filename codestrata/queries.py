@@ -86,9 +86,9 @@ def style_counts(spark, d):
     return A.part_names(spark, d).groupBy("project_id", X.detect_style(F.col("name")).alias("style")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("entries_listing", PAGES + " SELECT project_id, rel_path, name, parent, CAST(depth AS BIGINT) AS depth, kind, CAST(size AS BIGINT) AS size FROM entries")
+@query("entries_listing", PAGES + " SELECT project_id, rel_path, name, parent, CAST(depth AS BIGINT) AS depth, kind, CAST(coalesce(size, -1) AS BIGINT) AS size FROM entries")
 def entries_listing(spark, d):
-    return page_entries(spark, d).select("project_id", "rel_path", "name", "parent", F.col("depth").cast("long").alias("depth"), "kind", "size")
+    return page_entries(spark, d).select("project_id", "rel_path", "name", "parent", F.col("depth").cast("long").alias("depth"), "kind", F.coalesce("size", F.lit(-1)).alias("size"))
 
 
 @query("source_file_listing", DOCS + r" SELECT project_id, rel_path FROM entries WHERE kind <> 'dir' AND regexp_matches(name, '\.(ts|tsx|js|jsx|mjs|cjs)$') AND NOT regexp_matches(name, '\.d\.ts$')")

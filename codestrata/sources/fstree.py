@@ -189,7 +189,7 @@ def load_aliases(configs: DataFrame, mode: str = "parity") -> DataFrame:
                 except (ValueError, AttributeError, TypeError):
                     continue
                 return pd.DataFrame({"project_id": [key[0]], "config_file": [name], "base_url": [base], "paths": [rows], "alias_count": [n]})
-        return pd.DataFrame({"project_id": [], "config_file": [], "base_url": [], "paths": [], "alias_count": []})
+        return pd.DataFrame({c: pd.Series(dtype=object) for c in ALIASES.names})
 
     wanted = configs.where(F.col("name").isin("tsconfig.json", "jsconfig.json"))
     return wanted.groupBy("project_id").applyInPandas(run, ALIASES)
