@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +14,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text looked at in one go.  A longer text is still taken whole.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+
+
+def _release() -> None:
+    """Hand freed memory back to the system: workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """Wraps a function of batches to release memory at the end of a task."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
 
 
 def raw_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,11 +111,12 @@ def rest_of(docs: DataFrame, *made: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in {m.lower() for m in made}])
 
 
-def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, replace_text: bool = False, limit: int = SLICE_BYTES) -> DataFrame:
+def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, replace_text: bool = False, limit: int = SLICE_BYTES, done=None) -> DataFrame:
     """Run ``work(slice) -> list of arrow arrays`` on slices of a table's text.
 
     The result has the table's other columns untouched and ``fields`` after
     them; with ``replace_text`` the first array replaces the text column.
+    ``done()`` is called at the end of a task.
     """
     at = docs.columns.index(text)
     docs = docs.select("*")
@@ -104,5 +131,8 @@ def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, repl
                     columns[at] = made[0].cast(columns[at].type)
                     made = made[1:]
                 yield pa.RecordBatch.from_arrays([*columns, *made], names=[*part.schema.names, *(f.name for f in fields)])
+                del part, made, columns
+        if done is not None:
+            done()
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

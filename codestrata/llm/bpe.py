@@ -32,12 +32,12 @@ from pyspark.sql import types as T
 
 from .arrow import map_docs, rest_of, texts
 
-#: Words kept between batches of a Python worker; beyond it the store starts anew.
-STORE_WORDS = 400_000
+#: Words kept between the batches of a task; beyond it the store starts anew.
+STORE_WORDS = 200_000
 #: A pair with more places than this is rewritten with numpy.
 VECTOR_PLACES = 24
-#: Bytes of text taken at once: the more words, the longer the lists of a pair.
-TAKE_BYTES = 8 << 20
+#: Bytes of text taken at once: the more words, the longer the lists of a pair, and the more memory.
+TAKE_BYTES = 2 << 20
 #: Unicode white space, as in the vocabulary's own pattern.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NARROW = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
@@ -73,7 +73,8 @@ class PairMerger:
         order = np.argsort(keys)
         self.pair_keys, self.pair_ranks = keys[order], np.array([r for r, _ in self.merges.values()], np.int64)[order]
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.store: dict[str, tuple[bytes, bytes]] = {}
+        self.store: dict[str, bytes] = {}
+        self.spelled = [self.tokens.get(i, "").encode() for i in range(max(self.tokens) + 1)]
 
     def pieces(self, text: str) -> list[str]:
         """Special tokens and words of a text, in order."""
@@ -189,16 +190,16 @@ class PairMerger:
         return " ".join([self.tokens[i] for i in ids if i in self.tokens])
 
     def learn(self, words: set[str]) -> None:
-        """Store the packed ids and the decoded text of words not yet stored."""
+        """Store the packed ids of words not yet stored."""
         new = [w for w in words if w not in self.store]
         if len(self.store) + len(new) > STORE_WORDS:
             self.store.clear()
             new = list(words)
         for w in [w for w in new if w in self.special]:
-            self.store[w] = (array("I", [self.special[w]]).tobytes(), w.encode())
+            self.store[w] = array("I", [self.special[w]]).tobytes()
         new = [w for w in new if w not in self.special]
         for w, ids in zip(new, self.merge(new)):
-            self.store[w] = (array("I", ids).tobytes(), self.decode(ids).encode())
+            self.store[w] = array("I", ids).tobytes()
 
     def encode_packed(self, bodies: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
@@ -206,8 +207,8 @@ class PairMerger:
         self.learn(set().union(*split))
         found = []
         for words in split:
-            rows = list(map(self.store.__getitem__, words))
-            found.append((b"".join([r[0] for r in rows]), b" ".join([r[1] for r in rows])))
+            ids = b"".join(map(self.store.__getitem__, words))
+            found.append((ids, b" ".join(map(self.spelled.__getitem__, array("I", ids)))))
         return found
 
 
@@ -236,7 +237,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             made.append(pa.array([d for _, d in done], pa.binary()).cast(pa.string()))
         return made
 
-    return map_docs(docs, text, fields, work, limit=TAKE_BYTES)
+    return map_docs(docs, text, fields, work, limit=TAKE_BYTES, done=lambda: merger(path).store.clear())
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

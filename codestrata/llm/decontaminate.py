@@ -248,7 +248,7 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         def work(batch, index=index):
             return [pa.array(index.search(texts(batch.column(text))), _ARROW_MATCH)]
 
-        done = map_docs(done, text, [T.StructField(name, T.ArrayType(MATCH))], work, limit=2 << 20)
+        done = map_docs(done, text, [T.StructField(name, T.ArrayType(MATCH))], work, limit=1 << 20)
         done = done.withColumn(column, F.concat(F.coalesce(column, F.array().cast(T.ArrayType(MATCH))), name)).drop(name)
     return done
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_docs, rest_of, texts
+from .arrow import map_docs, rest_of, texts, tidy
 
 #: Hashed trigrams.
 BINS = 1 << 13
@@ -94,40 +94,43 @@ class LangModel:
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
     """Unit centroids and the label of each row; starts spread by farthest-first."""
-    start = x.mean(0)
-    picks = [int(np.argmax(x @ start))]
+    picks = [int(np.argmax(x @ x.mean(0)))]
     near = x @ x[picks[0]]
     while len(picks) < min(k, len(x)):
         picks.append(int(np.argmin(near)))
         near = np.maximum(near, x @ x[picks[-1]])
     centres = x[picks]
-    label = np.zeros(len(x), np.int64)
+    label = None
     for _ in range(rounds):
         new = np.argmax(x @ centres.T, 1)
-        if (new == label).all() and _:
+        if label is not None and (new == label).all():
             break
         label = new
-        sums = np.stack([x[label == c].sum(0) if (label == c).any() else centres[c] for c in range(len(centres))])
+        own = (label[None, :] == np.arange(len(centres))[:, None]).astype(np.float32)
+        sums = np.where(own.any(1)[:, None], own @ x, centres)
         centres = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
     return centres, label
 
 
 def _train(rows: pd.DataFrame, per_language: int, slack: float) -> LangModel:
-    """From one row per sampled text: lang, bins (uint16 bytes), counts (float32 bytes)."""
+    """From one row per sampled text: lang, bins (uint16 bytes), counts (float32 bytes).
+
+    Holds one dense float32 matrix of the sample, filled row by row."""
     rows = rows.sort_values(["lang", "at"], kind="stable").reset_index(drop=True)
+    bins = [np.frombuffer(b, np.uint16) for b in rows.bins]
+    idf = np.log((1 + len(rows)) / (1 + np.bincount(np.concatenate(bins), minlength=BINS))) + 1
+    band = np.searchsorted(BANDS, [len(b) for b in bins], side="right")
     x = np.zeros((len(rows), BINS), np.float32)
-    for i, (bins, counts) in enumerate(zip(rows.bins, rows.counts)):
-        x[i, np.frombuffer(bins, np.uint16)] = np.frombuffer(counts, np.float32)
-    idf = np.log((1 + len(rows)) / (1 + (x > 0).sum(0))) + 1
-    band = np.searchsorted(BANDS, (x > 0).sum(1), side="right")
-    x = np.where(x > 0, (1 + np.log(np.maximum(x, 1))) * idf, 0).astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    for row, at, counts in zip(x, bins, rows.counts):
+        v = (1 + np.log(np.frombuffer(counts, np.float32))) * idf[at]
+        row[at] = v / max(np.sqrt(v @ v), 1e-12)
     languages, centroids, nearest = [], [], np.ones(len(rows))
     for lang, own in rows.groupby("lang", sort=True):
-        mine = x[own.index]
-        centres, label = spherical_kmeans(mine, per_language)
-        nearest[own.index] = (mine * centres[label]).sum(1)
+        lo, hi = own.index[0], own.index[-1] + 1
+        centres, label = spherical_kmeans(x[lo:hi], per_language)
         for c in range(len(centres)):
+            mine = lo + np.flatnonzero(label == c)
+            nearest[mine] = x[lo:hi].dot(centres[c])[mine - lo]
             languages.append(lang)
             centroids.append(centres[c])
     floors = [slack * nearest[band == b].min(initial=1) if (band == b).sum() >= 20 else 0 for b in range(len(BANDS) + 1)]
@@ -140,7 +143,7 @@ def sampled(rows: DataFrame, key: str, expect: int) -> DataFrame:
     return rows if n <= expect else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int((1 << 40) * expect / n)))
 
 
-def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4, sample_rows: int = 4000, slack: float = 0.25) -> LangModel:
+def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4, sample_rows: int = 3000, slack: float = 0.25) -> LangModel:
     """Learn from the rows where ``train`` holds and ``lang`` is not null.  The
     model is small and fixed in size: languages x per_language x BINS floats."""
     rows = sampled(docs.where(train & F.col(lang).isNotNull()), key, sample_rows)
@@ -150,7 +153,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
             made = [(b.astype(np.uint16).tobytes(), c.astype(np.float32).tobytes()) for b, c in trigram_counts(texts(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([b for b, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], ["lang", "at", "bins", "counts"])
 
-    counts = rows.select(text, F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("at")).mapInArrow(count, "lang string, at long, bins binary, counts binary")
+    counts = rows.select(text, F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("at")).mapInArrow(tidy(count), "lang string, at long, bins binary, counts binary")
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
         m = _train(pdf, per_language, slack)
