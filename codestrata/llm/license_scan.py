@@ -32,9 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import text_slices, texts
+from .arrow import text_slices, texts, tidy
 
-LEVEL = 9
+LEVEL = 19
+#: Around blocks and templates, as zstandard looks for no match in a block's last bytes.
+_PAD = b"\n" * 8
 LONG_WORDS = 40
 
 # The wording of public licenses and their usual notices.
@@ -104,7 +106,7 @@ class Finding:
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words(text)
-        plain = " ".join(self.words).encode()
+        plain = _PAD + " ".join(self.words).encode() + _PAD
         self.dictionary = zstandard.ZstdCompressionDict(plain, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.dictionary.precompute_compress(level=LEVEL)
         self.codec = _codec(self.dictionary)
@@ -139,7 +141,7 @@ class Scanner:
         """(license, reduction, missing, extra, first word, last word) or None."""
         if not block:
             return None
-        plain = " ".join(block).encode()
+        plain = _PAD + " ".join(block).encode() + _PAD
         alone = len(self.alone.compress(plain))
         ranks = sorted(((-t.reduction(plain, alone), t.name, i) for i, t in enumerate(self.long if long else self.short)))
         best = None
@@ -229,4 +231,4 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], [key, *FINDING.names])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema[key], *FINDING.fields]))
+    return rows.mapInArrow(tidy(run), T.StructType([rows.schema[key], *FINDING.fields]))
