@@ -4,6 +4,12 @@ benchmark decontamination, BPE encoding.
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 and returns a frame that is written as Parquet and read again as the next
 stage's ``docs``.  All but the last return the columns of ``documents``.
+
+Cases, for every stage: other columns are carried untouched, whatever their
+names; rows with nulls stay unless the stage's decision is about the null (a
+null text has no letter, so language ID drops it); rows that repeat an id are
+one document and stay or go together; a null id is never a copy of another
+document; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,17 +21,26 @@ from codestrata.llm import bpe, decontaminate, langid, line_dedup, queries, simh
 from codestrata.llm.session import Scratch, table
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the rest as one column that no operator's names can clash with."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def _unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language ID rejects go: no letter, or far from every centroid."""
     train = F.coalesce(langid.fold_of("doc_id", 4) != 2, F.lit(False))
-    found = langid.identify(docs, langid.fit(docs, train))
-    return found.where(~F.col("rejected")).select(*docs.columns)
+    found = langid.identify(_packed(docs), langid.fit(docs, train))
+    return _unpacked(found.where(~F.col("rejected")), docs)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least 10 documents go; every document stays."""
-    done = line_dedup.dedup_lines(docs)
-    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    done = _unpacked(line_dedup.dedup_lines(_packed(docs)), docs)
+    return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +52,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return _unpacked(decontaminate.decontaminate(_packed(docs), table(spark, sf_dir, "benchmark")), docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,6 +76,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES:
         docs = scratch.keep(stage(spark, docs, sf_dir), name)
+        if before:
+            scratch.drop(before)
+        before = name
     return docs
