@@ -62,7 +62,7 @@ def tarjan(edges: list[tuple[str, str]]) -> list[list[str]]:
     return found
 
 
-def _local(key, pdf: pd.DataFrame) -> pd.DataFrame:
+def _local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     rows = [(key[0], min(group), n) for group in tarjan(list(zip(pdf.from_path, pdf.to_path))) for n in group]
     return pd.DataFrame(rows, columns=["project_id", "component", "node"])
 

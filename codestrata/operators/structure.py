@@ -7,6 +7,7 @@ keyed by path, so a large project is spread over many tasks.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, detect_style, is_script
@@ -125,7 +126,9 @@ def empty_dirs(entries: DataFrame) -> DataFrame:
 
 def root_chaos(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = entries.where("parent = '' AND kind = 'file'").where(is_script(F.col("name")) & ~F.col("name").rlike(ROOT_EXEMPT))
-    found = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("n"), F.slice(F.array_sort(F.collect_list("name")), 1, 5).alias("names")).where(F.col("n") > limits.root_files)
+    many = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > limits.root_files)
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy("project_id").orderBy("name"))).where("place <= 5")
+    found = many.join(first.groupBy("project_id").agg(F.array_sort(F.collect_list("name")).alias("names")), "project_id")
     text = F.format_string("%d source files lie loose in the project root. Move them into src/.", "n")
     return issue(found, "root-chaos", F.lit("."), F.array_join("names", ", "), text, file_count=F.col("n"))
 
