@@ -36,6 +36,7 @@ def detect_style(name: Column) -> Column:
 
 def strip_comments(source: Column) -> Column:
     """Block comments go; line comments go unless a colon or quote precedes them."""
+    # Fixed values.
     return F.regexp_replace(F.regexp_replace(source, r"(?s)/\*.*?\*/", ""), r"(\A|[^:\"'`])//[^\n]*", "$1")
 
 
