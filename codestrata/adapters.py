@@ -205,3 +205,12 @@ def event_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 
 STACK_PATHS = ((2, "pnpm-lock.yaml"), (3, "yarn.lock"), (5, "src/app/page.tsx"), (7, "pages/index.tsx"), (3, "tsconfig.json"), (11, "turbo.json"), (4, "tests/a.test.ts"))
+
+
+def event_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event as a project with an alias file; one in five is broken and has a fallback."""
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"))
+    body = F.concat(F.lit('{ // paths\n"compilerOptions": {"baseUrl": "./src", "paths": {"@k/*": ["k'), (F.col("i") % 10).cast("string"), F.lit('/*", "../lib/*"],}}}'))
+    first = events.select("project_id", F.lit("tsconfig.json").alias("name"), F.when(F.col("i") % 5 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("content"))
+    second = events.where("i % 10 = 0").select("project_id", F.lit("jsconfig.json").alias("name"), F.lit("{}").alias("content"))
+    return first.unionByName(second)

@@ -14,8 +14,8 @@ from .operators import structure as S
 from .operators.components import strong_components
 from .operators.profile import detect_stack
 from .plans import migration, render, report
-from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, RULES, Limits
-from .sources.fstree import source_files
+from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, EXPLANATIONS, RULES, Limits, rules
+from .sources.fstree import load_aliases, source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -444,6 +444,44 @@ def render_script(spark, d):
     return render.bash_script(entries, migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues))
 
 
+@query("render_powershell")
+def render_powershell(spark, d):
+    entries = doc_entries(spark, d)
+    issues = S.structural_issues(entries, DOC_LIMITS)
+    return render.powershell_script(entries, migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues))
+
+
+@query("render_markdown")
+def render_markdown(spark, d):
+    entries = doc_entries(spark, d)
+    issues = S.structural_issues(entries, DOC_LIMITS)
+    return render.markdown_plan(S.project_stats(entries), migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues))
+
+
+_QUOTED = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in (*r, *EXPLANATIONS[r[0]])) + ")" for r in RULES)
+
+
+@query("rules_dimension", f"r(rule, badge, category, label, severity, penalty, sort_ord, migration_ord, explanation, example) AS (VALUES {_QUOTED}) SELECT rule, badge, category, label, severity, CAST(penalty AS BIGINT) AS penalty, CAST(sort_ord AS BIGINT) AS sort_ord, CAST(coalesce(migration_ord, 0) AS BIGINT) AS migration_ord, explanation, example FROM r")
+def rules_dimension(spark, d):
+    return rules(spark).withColumns({"penalty": F.col("penalty").cast("long"), "sort_ord": F.col("sort_ord").cast("long"), "migration_ord": F.coalesce("migration_ord", F.lit(0)).cast("long")})
+
+
+@query("score_bar", "s AS (SELECT p_partkey, p_partkey % 101 AS score FROM part) SELECT p_partkey, repeat('█', CAST(floor(score / 100.0 * 30 + 0.5) AS BIGINT)) || repeat('░', 30 - CAST(floor(score / 100.0 * 30 + 0.5) AS BIGINT)) AS bar FROM s")
+def score_bar(spark, d):
+    return A.table(spark, d, "part").select("p_partkey", render.progress_bar(F.col("p_partkey") % 101).alias("bar"))
+
+
+ALIAS_SQL = """e AS (SELECT event_id AS i FROM events)
+SELECT 'e' || i AS project_id, CASE WHEN i % 5 = 0 THEN 'jsconfig.json' ELSE 'tsconfig.json' END AS config_file, CASE WHEN i % 5 = 0 THEN '' ELSE 'src' END AS base_url,
+  CASE WHEN i % 5 = 0 THEN '' ELSE '@k/ src/k' || (i % 10) || '/*|@k/ lib/*' END AS aliases FROM e WHERE i % 5 <> 0 OR i % 10 = 0"""
+
+
+@query("load_aliases", ALIAS_SQL)
+def alias_files(spark, d):
+    rows = load_aliases(A.event_configs(spark, d))
+    return rows.select("project_id", "config_file", "base_url", F.array_join(F.transform("paths", lambda p: F.concat_ws(" ", p.prefix, p.target)), "|").alias("aliases"))
+
+
 @query("agent_brief")
 def agent_brief(spark, d):
     entries = doc_entries(spark, d)

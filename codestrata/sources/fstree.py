@@ -13,6 +13,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -179,17 +180,21 @@ def load_aliases(configs: DataFrame, mode: str = "parity") -> DataFrame:
     """One row per project with a usable tsconfig.json, else jsconfig.json;
     order of aliases and targets as declared, ``*`` kept in targets."""
 
-    def run(key, pdf):
-        import pandas as pd
+    names = ("tsconfig.json", "jsconfig.json")
 
-        for name in ("tsconfig.json", "jsconfig.json"):
-            for text in pdf.content[pdf["name"] == name]:
-                try:
-                    base, rows, n = parse_aliases(text, mode)
-                except (ValueError, AttributeError, TypeError):
-                    continue
-                return pd.DataFrame({"project_id": [key[0]], "config_file": [name], "base_url": [base], "paths": [rows], "alias_count": [n]})
-        return pd.DataFrame({c: pd.Series(dtype=object) for c in ALIASES.names})
-
-    wanted = configs.where(F.col("name").isin("tsconfig.json", "jsconfig.json"))
-    return wanted.groupBy("project_id").applyInPandas(run, ALIASES)
+    def run(batches):
+        for pdf in batches:
+            found = []
+            for project, *texts in zip(pdf.project_id, pdf["first"], pdf["second"]):
+                for name, text in zip(names, texts):
+                    try:
+                        base, rows, n = parse_aliases(text, mode)
+                    except (ValueError, AttributeError, TypeError):  # absent or not valid: the next one
+                        continue
+                    found.append((project, name, base, rows, n))
+                    break
+            yield pd.DataFrame(found, columns=ALIASES.names, dtype=object)
+
+    of = lambda name: F.min(F.when(F.col("name") == name, F.col("content")))
+    texts = configs.where(F.col("name").isin(*names)).groupBy("project_id").agg(of(names[0]).alias("first"), of(names[1]).alias("second"))
+    return texts.mapInPandas(run, ALIASES)
