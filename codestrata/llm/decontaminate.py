@@ -13,7 +13,8 @@ weighted Jaccard similarity of the shingles' words then decides exactly.
 A window can only reach the similarity s if at least s * n of the item's n
 shingles are in it, so windows with fewer benchmark shingles than that get no
 fingerprint; this loses nothing.  A pair at similarity 0.8 differs in about 10
-of 64 bits, three standard deviations of 3 bits below the radius being spare.
+of 64 bits with a standard deviation of 3, so the radius is more than four of
+these away.
 
 Documents are never shuffled.  The benchmark is taken in passes of about
 ``pass_bytes`` of text, so that what executors hold is bounded for any number
