@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Tables
+from ..ship import ship
 
 LOCAL_EDGES = 1_000_000
 SCHEMA = "project_id string, component string, node string"
@@ -113,6 +114,7 @@ def _spread(tables: Tables, edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """(project_id, component, node) of components of two or more nodes; a
     component is named by its smallest node."""
+    ship(edges.sparkSession)
     tables = Tables(edges.sparkSession, "scc")
     edges = tables.keep(edges.select("project_id", "from_path", "to_path"))
     large = [r[0] for r in edges.groupBy("project_id").count().where(F.col("count") > local_edges).select("project_id").collect()]  # few by their size

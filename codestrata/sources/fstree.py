@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import ALIASES, CONFIGS, ENTRIES, SKIP_DIRS, SOURCE_EXTENSIONS, SOURCES
+from ..ship import ship
 
 
 class Subtree(InputPartition):
@@ -100,6 +101,7 @@ class FsTree(DataSource):
 
 
 def read_entries(spark: SparkSession, projects: dict[str, str], skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
+    ship(spark)
     spark.dataSource.register(FsTree)
     return spark.read.format("fstree").option("projects", json.dumps(projects)).option("skipDirs", json.dumps(list(skip_dirs))).load()
 
@@ -127,11 +129,13 @@ def _reader(projects: dict[str, str], schema):
 
 def read_sources(entries: DataFrame, projects: dict[str, str]) -> DataFrame:
     """Whole text of each source file; one that cannot be read is empty."""
+    ship(entries.sparkSession)
     return source_files(entries).select("project_id", "rel_path").mapInPandas(_reader(projects, SOURCES), SOURCES)
 
 
 def read_configs(entries: DataFrame, projects: dict[str, str]) -> DataFrame:
     """package.json, tsconfig.json and jsconfig.json of each project's root."""
+    ship(entries.sparkSession)
     wanted = entries.where("parent = '' AND kind <> 'dir'").where(F.col("name").isin("package.json", "tsconfig.json", "jsconfig.json"))
     return wanted.select("project_id", "rel_path", "name").mapInPandas(_reader(projects, CONFIGS), CONFIGS)
 
@@ -197,4 +201,5 @@ def load_aliases(configs: DataFrame, mode: str = "parity") -> DataFrame:
 
     of = lambda name: F.min(F.when(F.col("name") == name, F.col("content")))
     texts = configs.where(F.col("name").isin(*names)).groupBy("project_id").agg(of(names[0]).alias("first"), of(names[1]).alias("second"))
+    ship(configs.sparkSession)
     return texts.mapInPandas(run, ALIASES)
