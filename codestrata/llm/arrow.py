@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ..ship import ship
+
 #: Bytes of text looked at in one go.  A longer text is still taken whole.
 SLICE_BYTES = 2 << 20
 
@@ -111,6 +113,12 @@ def rest_of(docs: DataFrame, *made: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in {m.lower() for m in made}])
 
 
+def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` of a function that workers can load, tidying up after itself."""
+    ship(frame.sparkSession)
+    return frame.mapInArrow(tidy(run), schema)
+
+
 def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, replace_text: bool = False, limit: int = SLICE_BYTES, done=None) -> DataFrame:
     """Run ``work(slice) -> list of arrow arrays`` on slices of a table's text.
 
@@ -135,4 +143,4 @@ def map_docs(docs: DataFrame, text: str, fields: list[T.StructField], work, repl
         if done is not None:
             done()
 
-    return docs.mapInArrow(tidy(run), schema)
+    return map_arrow(docs, run, schema)

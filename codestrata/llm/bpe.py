@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrow import map_docs, rest_of, texts
+from .arrow import map_arrow, map_docs, rest_of, texts
 
 #: Words kept between the batches of a task; beyond it the store starts anew.
 STORE_WORDS = 200_000
@@ -250,4 +250,4 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded
             made = [merger(path).decode(x or []) for x in batch.column(ids).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)

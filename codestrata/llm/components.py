@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import tidy
+from .arrow import map_arrow
 from .session import Scratch
 
 
@@ -62,7 +62,7 @@ def _contract(batches):
 
 def contract(edges: DataFrame) -> DataFrame:
     """Same components, at most one edge per node and partition; columns u > v."""
-    return edges.mapInArrow(tidy(_contract), "u long, v long")
+    return map_arrow(edges, _contract, "u long, v long")
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:

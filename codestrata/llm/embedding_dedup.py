@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import runs, tidy, whole_groups
+from .arrow import map_arrow, runs, whole_groups
 from .components import components, local_roots
 from .session import Scratch, partitions, split_hot
 
@@ -202,11 +202,11 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
 
     forest = {dim: grow(dim) for dim in sample}
     fresh = lambda dim: [Tree(t, np.zeros((0, dim)), dim, spill * reach / np.sqrt(dim)) for t in range(trees)]
-    entries = deep.mapInArrow(tidy(_entries(forest, fresh)), "label_hash long, leaf long, cid long, copies long, unit binary, leaves array<long>")
+    entries = map_arrow(deep, _entries(forest, fresh), "label_hash long, leaf long, cid long, copies long, unit binary, leaves array<long>")
     entries = scratch.keep(entries.withColumn("key", F.xxhash64("label_hash", "leaf", F.length("unit"))), "entries")
     dealt = split_hot(scratch, entries, "key", "cid", block).select("key", "bi", "bj", "b", "leaf", "cid", "copies", "unit", "leaves")
     dealt = dealt.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    links = scratch.keep(dealt.mapInArrow(tidy(_verify(threshold)), "cid long, root long, links long"), "links")
+    links = scratch.keep(map_arrow(dealt, _verify(threshold), "cid long, root long, links long"), "links")
     scratch.drop("entries")
     found = components(scratch, links.where("cid <> root").select("cid", "root"))
     named = classes.select("h1", "h2", "cid", "copies").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_docs, rest_of, texts, tidy
+from .arrow import map_arrow, map_docs, rest_of, texts
 
 #: Hashed trigrams.
 BINS = 1 << 13
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
             made = [(b.astype(np.uint16).tobytes(), c.astype(np.float32).tobytes()) for b, c in trigram_counts(texts(batch.column(0)))]
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([b for b, _ in made], pa.binary()), pa.array([c for _, c in made], pa.binary())], ["lang", "at", "bins", "counts"])
 
-    counts = rows.select(text, F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("at")).mapInArrow(tidy(count), "lang string, at long, bins binary, counts binary")
+    counts = map_arrow(rows.select(text, F.col(lang).cast("string").alias("lang"), F.xxhash64(key).alias("at")), count, "lang string, at long, bins binary, counts binary")
 
     def train_one(pdf: pd.DataFrame) -> pd.DataFrame:
         m = _train(pdf, per_language, slack)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import text_slices, texts, tidy
+from .arrow import map_arrow, text_slices, texts
 
 LEVEL = 19
 #: Around blocks and templates, as zstandard looks for no match in a block's last bytes.
@@ -231,4 +231,4 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tu
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds))], [key, *FINDING.names])
 
-    return rows.mapInArrow(tidy(run), T.StructType([rows.schema[key], *FINDING.fields]))
+    return map_arrow(rows, run, T.StructType([rows.schema[key], *FINDING.fields]))

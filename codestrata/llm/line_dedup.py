@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_docs, rest_of, text_slices, texts, tidy
+from .arrow import map_arrow, map_docs, rest_of, text_slices, texts
 from .session import Scratch
 
 BLANK = b" \t\n\x0b\x0c\r"
@@ -158,7 +158,7 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 h1, h2 = _digests(list(seen))
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h1", "h2", "n"])
 
-    each = docs.select(text).mapInArrow(tidy(run), "h1 long, h2 long, n long")
+    each = map_arrow(docs.select(text), run, "h1 long, h2 long, n long")
     return each.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"))
 
 
@@ -255,7 +255,7 @@ class LineDedupIndex:
                 yield pa.RecordBatch.from_arrays([pa.array(h1[hit].view(np.int64)), pa.array(h2[hit].view(np.int64))], ["h1", "h2"])
 
         rare = self.counts.where(F.col("n_docs") < self.min_docs).select("h1", "h2")
-        return rare.mapInArrow(tidy(run), "h1 long, h2 long")
+        return map_arrow(rare, run, "h1 long, h2 long")
 
     def apply(self, docs: DataFrame, text: str = "text", key: str = "doc_id", indexed: bool = True) -> DataFrame:
         """``docs`` with the dropped lines gone from ``text``, and n_lines (before
@@ -296,7 +296,7 @@ class LineDedupIndex:
                     h1, h2 = _digests(found)
                     yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(key).type), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], [key, "h1", "h2"])
 
-        own = docs.select(key, text).mapInArrow(tidy(keys), T.StructType([docs.schema[key], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+        own = map_arrow(docs.select(key, text), keys, T.StructType([docs.schema[key], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
         frequent = self.counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
         hits = own.join(frequent, ["h1", "h2"]).groupBy(key).agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
         both = docs.join(hits.withColumnRenamed(key, "_key"), F.col("_key").eqNullSafe(docs[key]), "left").drop("_key")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_docs, rest_of, texts, tidy
+from .arrow import map_arrow, map_docs, rest_of, texts
 from .langid import sampled
 
 #: Bytes whose share is a feature of its own.
@@ -136,7 +136,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
             x = features(texts(batch.column(0)))
             yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["y", "at", "x"])
 
-    counts = rows.select(text, F.col(label).cast("double").alias("y"), F.xxhash64(key).alias("at")).mapInArrow(tidy(count), "y double, at long, x binary")
+    counts = map_arrow(rows.select(text, F.col(label).cast("double").alias("y"), F.xxhash64(key).alias("at")), count, "y double, at long, x binary")
 
     def train(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["at", "y"], kind="stable")

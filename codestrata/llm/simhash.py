@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_docs, rest_of, runs, texts, tidy, whole_groups
+from .arrow import map_arrow, map_docs, rest_of, runs, texts, whole_groups
 from .components import components, local_roots
 from .session import BLOCK_ROWS, Scratch, partitions, split_hot
 
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
     entries = scratch.keep(entries, "entries")
     dealt = split_hot(scratch, entries, "key", "code", block).select("key", "bi", "bj", "b", "code", "rep")
     dealt = dealt.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    found = components(scratch, dealt.mapInArrow(tidy(_links(radius)), "u long, v long"))
+    found = components(scratch, map_arrow(dealt, _links(radius), "u long, v long"))
     scratch.drop("entries")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("simhash").alias("_print"), F.coalesce("component", "rep").alias("component_id"))
     named = scratch.keep(named, "named")
