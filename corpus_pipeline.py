@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codestrata.llm import bpe, decontaminate, langid, line_dedup, queries, simhash
+from codestrata.llm import bpe, decontaminate, langid, line_dedup, near_copies, queries
 from codestrata.llm.session import Scratch, table
 
 
@@ -44,8 +44,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    """Of each group of near copies (five-word similarity of 0.8 or more) the document with the smallest id stays."""
+    groups = near_copies.near_copies(docs.select("doc_id", "text"))
     copies = groups.where("doc_id <> component_id").select("doc_id")
     return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
 
