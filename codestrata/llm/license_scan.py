@@ -1,7 +1,7 @@
 """License scan by conditional compression.
 
 Candidate blocks are cut from texts that mention a license at all: each
-sentence with a license word, and each stretch of text in which such sentences
+sentence with a license word (by lines, and with wrapped lines joined), and each stretch of text in which such sentences
 follow one another closely.  A block is compressed by zstandard alone and with
 each template as a raw dictionary; the share of the size that the template
 saves ranks the templates.  The ``ranked`` best are then compared word by word
@@ -80,6 +80,8 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 HINTS = ("licens", "licenc", "copyright", "permission is hereby", "permission to use", "redistribution", "public domain", "rights reserved", "warrant", "mozilla public", "creative commons")
 _HINT = re.compile("|".join(map(re.escape, HINTS)), re.IGNORECASE)
 _SENTENCE_END = re.compile(r"[.!?](?=\s)|\n+")
+#: As before, but a wrapped line goes on up to a blank one (comment marks alone leave a line blank).
+_WRAPPED_END = re.compile(r"[.!?](?=\s)|\n(?:[^\w\n]*\n)+")
 _WORD = re.compile(r"[^\W_]+")
 
 FINDING = T.StructType([
@@ -162,20 +164,27 @@ class Scanner:
             name, reduction, missing, extra, first, last = hit
             found.append(Finding(name, spans[first][0], spans[last - 1][1], reduction, missing, extra, last - first))
 
-    def scan(self, text: str) -> list[Finding]:
-        marks = [m.start() for m in _HINT.finditer(text)]
-        if not marks:
-            return []
-        cuts = [0, *(m.end() for m in _SENTENCE_END.finditer(text)), len(text)]
+    def _sentences(self, text: str, marks: list[int], end: re.Pattern) -> tuple[list[int], list[int]]:
+        """(cuts of the text, the sentences with a mark)."""
+        cuts = [0, *(m.end() for m in end.finditer(text)), len(text)]
         sentences, at = [], 0
         for mark in marks:
             while cuts[at + 1] <= mark and at + 2 < len(cuts):
                 at += 1
             if not sentences or sentences[-1] != at:
                 sentences.append(at)
+        return cuts, sentences
+
+    def scan(self, text: str) -> list[Finding]:
+        marks = [m.start() for m in _HINT.finditer(text)]
+        if not marks:
+            return []
+        cuts, sentences = self._sentences(text, marks, _SENTENCE_END)
+        wrapped, joined = self._sentences(text, marks, _WRAPPED_END)
+        pieces = dict.fromkeys([*((cuts[i], cuts[i + 1]) for i in sentences), *((wrapped[i], wrapped[i + 1]) for i in joined)])
         found: list[Finding] = []
-        for i in sentences:  # a sentence with all that surrounds a short notice in it
-            spans = self._spans(text, cuts[i], cuts[i + 1])
+        for lo, hi in pieces:  # a sentence with all that surrounds a short notice in it
+            spans = self._spans(text, lo, hi)
             near = max((len(t.words) for t in self.short), default=0) + 2
             marked = [k for k, (a, b) in enumerate(spans) if _HINT.match(text, a) or any(a <= m < b for m in marks)] if len(spans) > near else [0]
             if len(spans) <= near:
