@@ -11,7 +11,9 @@ and block words inside the matched stretch that the template does not have.
 
 Short templates (notices) are matched against sentences, long ones (license
 texts) against stretches, taken in overlapping windows so that a long stretch
-costs linear time.  A finding inside a longer one is left out.
+costs linear time.  What lies before and
+after a match is judged again, so a block gives a row for every license in it.
+A finding that overlaps a longer one is left out.
 
 Cases: null and empty texts give no row; repeated rows and repeated notices
 each give a row; ties go to the better reduction, then the first name; an empty
@@ -117,13 +119,20 @@ class Template:
         """Share of the compressed size that the template saves."""
         return 1 - len(self.codec.compress(plain)) / alone
 
-    def differences(self, block: list[str]) -> tuple[int, int, int, int]:
-        """(missing, extra, first, last) words of the best alignment."""
-        matched = [m for m in difflib.SequenceMatcher(None, self.words, block, autojunk=False).get_matching_blocks() if m.size]
-        if not matched:
+    def differences(self, block: list[str], slack: int) -> tuple[int, int, int, int]:
+        """(missing, extra, first, last) words of the best alignment around the
+        longest run of equal words, as another copy of the text may follow."""
+        matcher = difflib.SequenceMatcher(None, self.words, block, autojunk=False)
+        top = matcher.find_longest_match()
+        if not top.size:
             return len(self.words), 0, 0, 0
+        lo = max(0, top.b - top.a - slack)
+        own = block[lo : top.b - top.a + len(self.words) + slack]
+        if len(own) < len(block):
+            matcher.set_seq2(own)
+        matched = [m for m in matcher.get_matching_blocks() if m.size]
         same, first, last = sum(m.size for m in matched), matched[0].b, matched[-1].b + matched[-1].size
-        return len(self.words) - same, last - first - same, first, last
+        return len(self.words) - same, last - first - same, lo + first, lo + last
 
 
 def _codec(dictionary=None) -> zstandard.ZstdCompressor:
@@ -149,7 +158,7 @@ class Scanner:
         best = None
         for minus, name, i in ranks[: self.ranked]:
             t = (self.long if long else self.short)[i]
-            missing, extra, first, last = t.differences(list(block))
+            missing, extra, first, last = t.differences(list(block), int(self.tolerance * len(t.words)))
             if minus < 0 and missing + extra <= self.tolerance * len(t.words):
                 found = ((missing + extra) / len(t.words), -len(t.words), minus, name, missing, extra, first, last)
                 best = found if best is None or found < best else best
@@ -159,10 +168,17 @@ class Scanner:
         return [(m.start() + lo, m.end() + lo) for m in _WORD.finditer(text[lo:hi].lower())] if len(text[lo:hi].lower()) == hi - lo else [m.span() for m in _WORD.finditer(text, lo, hi)]
 
     def _try(self, text: str, spans: list[tuple[int, int]], long: bool, found: list[Finding]) -> None:
-        hit = self.judge(tuple(text[a:b].lower() for a, b in spans), long)
-        if hit:
+        left = [spans]  # what lies before and after a finding is judged again
+        while left:
+            spans = left.pop()
+            if not spans or long and len(spans) < LONG_WORDS // 2:
+                continue
+            hit = self.judge(tuple(text[a:b].lower() for a, b in spans), long)
+            if not hit:
+                continue
             name, reduction, missing, extra, first, last = hit
             found.append(Finding(name, spans[first][0], spans[last - 1][1], reduction, missing, extra, last - first))
+            left += [spans[:first], spans[last:]]
 
     def _sentences(self, text: str, marks: list[int], end: re.Pattern) -> tuple[list[int], list[int]]:
         """(cuts of the text, the sentences with a mark)."""
@@ -204,7 +220,7 @@ class Scanner:
         found = sorted(set(found), key=lambda f: (f.start - f.end, f.start, f.license))
         kept: list[Finding] = []
         for f in found:
-            if not any(k.start <= f.start and f.end <= k.end for k in kept):
+            if not any(k.start < f.end and f.start < k.end for k in kept):
                 kept.append(f)
         return sorted(kept, key=lambda f: f.start)
 

@@ -20,3 +20,20 @@ def test_wrapped_notices(text, name):
 
 def test_notices_on_lines_of_their_own():
     assert found("Licensed under the MIT License\nAll rights reserved\n") == ["MIT", "Proprietary"]
+
+
+def full(name, start):
+    return next(t for n, t in license_scan.TEMPLATES if n == name and t.startswith(start) and len(t) > 300)
+
+
+def test_every_license_of_a_block():
+    apache, gpl, isc = full("Apache-2.0", "Licensed under"), full("GPL-3.0", "This program"), full("ISC", "Permission to use")
+    mit, bsd = full("MIT", "Permission is"), full("BSD-3-Clause", "Redistribution")
+    assert found(gpl + "\n\nor\n\n" + apache) == ["GPL-3.0", "Apache-2.0"]
+    assert found(isc + "\n\n" + isc) == ["ISC", "ISC"]
+    assert found(mit + "\n\nCopyright (c) Other\n\n" + bsd) == ["MIT", "BSD-3-Clause"]
+    assert found(isc + "\n" + isc.replace("copyright notice", "copyright note") + "\n" + apache + "\n" + isc) == ["ISC", "ISC", "Apache-2.0", "ISC"]
+
+
+def test_two_notices_in_one_sentence():
+    assert found("Licensed under the MIT License, or licensed under the Apache License, Version 2.0, as you like.") == ["MIT", "Apache-2.0"]
