@@ -11,7 +11,9 @@ and block words inside the matched stretch that the template does not have.
 
 Short templates (notices) are matched against sentences, long ones (license
 texts) against stretches, taken in overlapping windows so that a long stretch
-costs linear time.  What lies before and
+costs linear time.  A short
+notice that matches no template is judged by the words that name the license,
+which must all be there; the words that introduce them are free.  What lies before and
 after a match is judged again, so a block gives a row for every license in it.
 A finding that overlaps a longer one is left out.
 
@@ -78,8 +80,31 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
     ("Proprietary", "All rights reserved."),
 )
+# Words that name a license, after "under" and whatever of _FREE stands before them.
+_VERSIONED = (
+    ("LGPL-3.0", ("gnu lesser general public license", "gnu lgpl", "lgpl"), "3"), ("AGPL-3.0", ("gnu affero general public license", "gnu agpl", "agpl"), "3"),
+    ("GPL-3.0", ("gnu general public license", "gnu gpl", "gpl"), "3"), ("GPL-2.0", ("gnu general public license", "gnu gpl", "gpl"), "2"),
+    ("MPL-2.0", ("mozilla public license", "mpl"), "2"), ("Apache-2.0", ("apache license", "apache software license", "apache"), "2"),
+)
+_FORMS = ("{0} version {1} 0", "{0} version {1}", "{0} v {1} 0", "{0} v {1}", "{0} v{1} 0", "{0} v{1}", "{0}v{1} 0", "{0}v{1}", "{0} {1} 0", "{0} {1}", "version {1} 0 of the {0}", "version {1} of the {0}", "v{1} 0 of the {0}", "v{1} of the {0}")
+NAMES: tuple[tuple[str, str], ...] = (
+    *((name, form.format(called, n)) for name, all_called, n in _VERSIONED for called in all_called for form in _FORMS),
+    ("MIT", "mit"), ("MIT", "expat"), ("ISC", "isc"), ("Unlicense", "unlicense"), ("CC0-1.0", "cc0 1 0"), ("CC0-1.0", "cc0"),
+    *((f"BSD-{n}-Clause", form.format(n)) for n in "23" for form in ("bsd {0} clause", "{0} clause bsd")),
+    *((name, form + " 4 0") for name, low, long in (
+        ("CC-BY-4.0", "by", "attribution"), ("CC-BY-SA-4.0", "by sa", "attribution sharealike"), ("CC-BY-NC-4.0", "by nc", "attribution noncommercial"),
+        ("CC-BY-NC-SA-4.0", "by nc sa", "attribution noncommercial sharealike"), ("CC-BY-ND-4.0", "by nd", "attribution noderivatives"),
+    ) for form in (f"cc {low}", f"creative commons {long}")),
+)
+_VERBS = {"licensed", "licenced", "released", "distributed", "published", "available", "provided", "redistributed", "covered", "offered", "shared", "made", "code", "is"}
+_FREE = {"the", "a", "an", "terms", "and", "conditions", "of", "or", "either", "both", "license", "licence", "licenses", "your", "choice", "at", "option", "international", "permissive", "standard", "open", "source"}
+_NAMES = {}
+for _name, _text in NAMES:
+    _NAMES.setdefault(_text.split()[0], []).append((tuple(_text.split()), _name))
+for _list in _NAMES.values():
+    _list.sort(key=lambda x: -len(x[0]))
 #: A text without any of these (lower-cased) holds no candidate.
-HINTS = ("licens", "licenc", "copyright", "permission is hereby", "permission to use", "redistribution", "public domain", "rights reserved", "warrant", "mozilla public", "creative commons")
+HINTS = ("licens", "licenc", "copyright", "permission is hereby", "permission to use", "redistribution", "public domain", "rights reserved", "warrant", "mozilla public", "creative commons", "released under", "distributed under", "published under", "available under", "provided under")
 _HINT = re.compile("|".join(map(re.escape, HINTS)), re.IGNORECASE)
 _SENTENCE_END = re.compile(r"[.!?](?=\s)|\n+")
 #: As before, but a wrapped line goes on up to a blank one (comment marks alone leave a line blank).
@@ -175,11 +200,38 @@ class Scanner:
                 continue
             hit = self.judge(tuple(text[a:b].lower() for a, b in spans), long)
             if not hit:
+                if not long:
+                    self._named(text, spans, found)
                 continue
             name, reduction, missing, extra, first, last = hit
             found.append(Finding(name, spans[first][0], spans[last - 1][1], reduction, missing, extra, last - first))
             left += [spans[:first], spans[last:]]
 
+    def _named(self, text: str, spans: list[tuple[int, int]], found: list[Finding]) -> None:
+        """Licenses named after "under", whatever words introduce them."""
+        block = [text[a:b].lower() for a, b in spans]
+        for k, word in enumerate(block):
+            verb = next((v for v in range(k - 1, max(-1, k - 4), -1) if block[v] in _VERBS), None)
+            if word != "under" or verb is None:
+                continue
+            at, first = k + 1, verb
+            while at < len(block):
+                hit = next(((ws, name) for ws, name in _NAMES.get(block[at], ()) if tuple(block[at : at + len(ws)]) == ws), None)
+                if hit:
+                    end = at + len(hit[0])
+                    end += block[end : end + 1] in (["license"], ["licence"])
+                    found.append(Finding(hit[1], spans[first][0], spans[end - 1][1], self._saved(hit[1], block[first:end]), 0, 0, end - first))
+                    at = first = end
+                elif block[at] in _FREE:
+                    at += 1
+                else:
+                    break
+
+    def _saved(self, name: str, block: list[str]) -> float:
+        plain = _PAD + " ".join(block).encode() + _PAD
+        alone = len(self.alone.compress(plain))
+        return max((t.reduction(plain, alone) for t in self.short if t.name == name), default=0.0)
+
     def _sentences(self, text: str, marks: list[int], end: re.Pattern) -> tuple[list[int], list[int]]:
         """(cuts of the text, the sentences with a mark)."""
         cuts = [0, *(m.end() for m in end.finditer(text)), len(text)]

@@ -37,3 +37,19 @@ def test_every_license_of_a_block():
 
 def test_two_notices_in_one_sentence():
     assert found("Licensed under the MIT License, or licensed under the Apache License, Version 2.0, as you like.") == ["MIT", "Apache-2.0"]
+
+
+@pytest.mark.parametrize("text,names", [
+    ("Distributed under the MIT License.", ["MIT"]),
+    ("Licensed under the terms of the MIT License.", ["MIT"]),
+    ("This software is released under the terms of the MIT license.", ["MIT"]),
+    ("The code is available under the Apache License 2.0.", ["Apache-2.0"]),
+    ("It is distributed under version 2 of the GNU General Public License.", ["GPL-2.0"]),
+    ("Released under GPLv3.", ["GPL-3.0"]),
+    ("Licensed under either the MIT license or the Apache License, Version 2.0 at your option.", ["MIT", "Apache-2.0"]),
+    ("This text is licensed under the terms of CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("You need a license to drive under the bridge of MIT.", []),
+    ("Not everything was released under Apache rule.", []),
+])
+def test_usual_wordings(text, names):
+    assert found(text) == names
