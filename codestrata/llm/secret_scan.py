@@ -4,7 +4,9 @@ DataFrame operations and Spark ML only.
 
 A candidate is a run of 16 or more letters, digits and ``_+/-`` that has a
 letter and a digit (access key ids need no digit), inside a word (words are
-split at blanks).  Its features
+split at blanks); or the value, of any length and alphabet up to a blank or quote,
+after a name such as password or api_key and = or : (in the same word or the word
+before).  A run inside such a value is not a candidate of its own.  Its features
 are length, character transitions, dictionary coverage, character classes, the
 path it was found in and the words before it.  A random forest, trained on
 labelled findings with the same features, gives each candidate a score.
@@ -33,6 +35,14 @@ from pyspark.sql import functions as F
 
 _RUN = "[A-Za-z0-9_+/-]"
 CANDIDATE = rf"(?<!{_RUN})(?:(?=[0-9_+/-]*[A-Za-z])(?=[A-Za-z_+/-]*[0-9]){_RUN}{{16,}}={{0,2}}|A[KS]IA[A-Z0-9]{{16}}(?!{_RUN}))"
+#: Names that a secret is assigned to, and the value of any length and alphabet after one.
+_NAME = r"(?:passw(?:or)?d|passphrase|pwd|token|secret|credentials?|(?<![A-Za-z])(?:[A-Za-z0-9]*[_-])?(?:api|access|private|signing|auth|secret)?key)s?[0-9]*[\"'`\])]*"
+_SIGN = r"(?::=|=>|==?|:)"
+_VALUE = r"(?:(?!&\w+=)[^\s\"'`])+"
+ASSIGNED = rf"(?i){_NAME}{_SIGN}[\"'`]?({_VALUE})"
+#: The end of the words before, where the value is a word of its own; and where any text may hold such a value.
+ANNOUNCED = rf"(?i)(?:{_NAME}\s?{_SIGN}|(?:passw(?:or)?d|passphrase|pwd|token|secret) is)$"
+HOLDS_VALUE = rf"(?i)(?:{_NAME}[\x20\x09-\x0D]*{_SIGN}|(?:passw(?:or)?d|passphrase|pwd|token|secret)[\x20\x09-\x0D]+is[\x20\x09-\x0D])"
 BLANKS = r"[\x20\x09-\x0D]+"
 #: Words that make a string look written by a person.
 DICTIONARY = (
@@ -72,7 +82,7 @@ def with_features(found: DataFrame) -> DataFrame:
     left = F.length(F.regexp_replace(F.lower(c), "|".join(sorted(DICTIONARY, key=len, reverse=True)), ""))
     made = {
         "length": F.length(c).cast("double"),
-        "transitions": F.regexp_count(c, F.lit(change)) / (F.length(c) - 1),
+        "transitions": F.regexp_count(c, F.lit(change)) / F.greatest(F.length(c) - 1, F.lit(1)),
         "consonant_vowel": _share(F.lower(c), "[bcdfghjklmnpqrstvwxz][aeiouy]"),
         "coverage": 1 - left / F.length(c),
         "digit_share": _share(c, "[0-9]"),
@@ -94,12 +104,21 @@ def with_features(found: DataFrame) -> DataFrame:
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", context: int = 3) -> DataFrame:
     """(key, path, word_no, candidate, word, before) of every candidate."""
-    rows = docs.where(F.col(text).rlike(CANDIDATE)).select(F.col(key), F.col(path).cast("string").alias("path"), F.split(text, BLANKS).alias("_words"))
-    hit = F.filter(F.transform("_words", lambda w, i: F.when(w.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
+    rows = docs.where(F.col(text).rlike(CANDIDATE) | F.col(text).rlike(HOLDS_VALUE)).select(F.col(key), F.col(path).cast("string").alias("path"), F.split(text, BLANKS).alias("_words"))
+    back = lambda i, n: F.when(i >= n, F.get("_words", i - n)).otherwise("")
+    announced = lambda i: back(i, 1).rlike(r"[:=>]$|^is$") & F.concat_ws(" ", back(i, 2), back(i, 1)).rlike(ANNOUNCED)
+    hit = F.filter(F.transform("_words", lambda w, i: F.when(w.rlike(CANDIDATE) | w.rlike(ASSIGNED) | announced(i), i)), lambda i: i.isNotNull())
     rows = rows.select("*", F.explode(hit).alias("word_no"))
     first = F.greatest(F.col("word_no") - context, F.lit(0))
     rows = rows.select(key, "path", "word_no", F.get("_words", F.col("word_no")).alias("word"), F.array_join(F.slice("_words", first + 1, F.col("word_no") - first), " ").alias("before"))
-    return rows.withColumn("candidate", F.explode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))))
+    whole = F.regexp_extract("word", rf"^[\"'`]?({_VALUE})", 1)
+    last = F.element_at(F.split("before", " "), -1)
+    told = last.rlike(r"[:=>]$|^is$") & F.col("before").rlike(ANNOUNCED)
+    values = F.concat(F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1)), F.when(told & ~F.col("word").rlike(ASSIGNED), F.array(whole)).otherwise(F.array().cast("array<string>")))
+    values = F.filter(F.transform(values, lambda v: F.regexp_replace(v, r"[,;.)\]}>]+$", "")), lambda v: v.rlike("[A-Za-z0-9]"))
+    rows = rows.withColumn("_values", values)
+    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda r: ~F.exists("_values", lambda v: v.contains(r)))
+    return rows.withColumn("candidate", F.explode(F.concat(runs, "_values"))).drop("_values")
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
@@ -122,19 +141,32 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     snake = F.concat_ws("_", word(5), word(10), made_up, (part(20, 3) % 100).cast("string"), word(30))
     fake = F.concat_ws("_", F.lit("your"), word(5), pick(8, "token", "secret", "key", "password"), F.lit("here"), (part(20, 3) % 100).cast("string"))
     flat = F.concat(F.repeat(pick(9, "x", "0", "a", "ab12", "A"), 20), F.lit("1a"))
+    said = pick(62, "password:", "pwd:", "the password is", "passwd =", "secret =", "db_password:", "token:")
+    set_to = pick(7, "password=", "pwd=", "passwd:", "DB_PASSWORD=", "secret=", "token=")
+    cased = F.concat(F.upper(F.substring(made_up, 1, 1)), F.substring(made_up, 2, 4))
+    number = (part(20, 3) % 2030).cast("string")
+    mixed = F.substring(base64, 1, (part(24, 4) % 8 + 8).cast("int"))
+    marked = F.concat(F.translate(cased, "aeiost", "@31057"), number, pick(28, "!", "#", "$x", "%", "?!", "*"))
+    letters = F.substring(F.translate(F.sha2(F.concat(h, F.lit("l")), 256), "0123456789", "ghjkmnpqrs"), 1, (part(24, 4) % 20 + 8).cast("int"))
+    simple = F.concat(F.substring(made_up, 1, (part(32, 2) % 3 + 4).cast("int")), (part(20, 3) % 1000).cast("string"))
+    empty = pick(28, "null", "none", "true", "false", "required", "changeme", "***x***", "<password>", "${PASSWORD}", "xxxxxxxx", "string", "str", "os.environ['KEY']", "get_password()", "optional")
     kinds = [  # label, candidate, text before it in its word, words before
         (1, hexed, F.lit('"'), cue), (1, hexed, pick(7, "password=", "token=", "secret:", "pwd="), plain), (1, base64, F.lit('"'), cue),
         (1, base64, pick(7, "password=", "token=", "apikey="), plain), (1, F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.lit(""), plain),
         (1, F.concat(pick(7, "ghp_", "sk_live_", "xoxb-", "AIza", "hf_"), F.substring(base64, 1, 36)), F.lit(""), plain),
         (0, hexed, F.lit(""), against), (0, hexed, F.lit(""), plain), (0, uuid, F.lit(""), pick(7, against, plain)), (0, slug, pick(7, "", "/", '"'), pick(11, plain, cue)),
         (0, snake, pick(7, "", "=", '"'), pick(11, plain, cue)), (0, fake, pick(7, "token=", '"', "password="), pick(11, plain, cue)), (0, flat, pick(7, "", "token=", '"'), pick(11, plain, cue, against)),
+        (1, mixed, set_to, plain), (1, mixed, F.lit('"'), said), (1, marked, set_to, plain), (1, marked, pick(7, "", '"'), said), (1, letters, set_to, plain), (1, letters, pick(7, "", '"'), said),
+        (1, simple, set_to, plain), (1, simple, pick(7, "", '"'), said), (0, empty, set_to, plain), (0, empty, pick(7, "", '"'), said), (0, word(5), set_to, plain), (0, word(5), pick(7, "", '"'), said),
+        (0, F.concat_ws("_", word(5), word(10)), set_to, plain), (0, F.concat_ws(".", word(5), word(10), word(15)), pick(7, "", set_to), said), (0, pick(32, "the", "a", "not", "stored", "expired", "wrong", "sent", "valid", "in", "that", "to", "used", "hashed", "optional"), F.lit(""), said),
     ]
     n = F.col("id") % len(kinds)
     choose = lambda k: F.element_at(F.array(*[kind[k] for kind in kinds]), (n + 1).cast("int"))
     label = F.element_at(F.array(*[F.lit(float(kind[0])) for kind in kinds]), (n + 1).cast("int"))
     path = pick(21, "src0", "app/config/settings.env", "tests/fixtures/a.txt", "docs/example.md", "deploy/secrets.yml", "src/main.py", "")
     rows_ = spark.range(0, rows, 1, 4).select("id", choose(1).alias("candidate"), F.concat(choose(2), choose(1), F.lit('"')).alias("word"), choose(3).alias("before"), path.alias("path"), label.alias("label"))
-    return rows_.where(F.col("candidate").rlike(CANDIDATE))
+    assigned = F.col("word").rlike(ASSIGNED) | F.col("before").rlike(ANNOUNCED)
+    return rows_.where(F.col("candidate").rlike(CANDIDATE) | assigned)
 
 
 def fit(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 7) -> PipelineModel:

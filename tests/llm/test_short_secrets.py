@@ -1,0 +1,16 @@
+"""Secrets shorter than 16 characters, without digits or with punctuation."""
+
+from codestrata.llm import secret_scan
+
+
+def test_short_secrets(spark):
+    want = {
+        1: ("use password=hunter2 to log in", "hunter2"), 2: ("pwd: S3cret99 for all", "S3cret99"), 3: ("x password=p@ssW0rd!2024 y", "p@ssW0rd!2024"),
+        4: ('token = "kqjhgxmnrpdfcbs"', "kqjhgxmnrpdfcbs"), 5: ("DB_PASSWORD: 'Zx9!kq'", "Zx9!kq"), 6: ("the password is tr0ub4dor&3.", "tr0ub4dor&3"),
+    }
+    no = {11: "password: required", 12: "The key is that all monkeys: are here", 13: "password=null", 14: "the token is expired", 15: "password:"}
+    rows = [(i, t, "src") for i, (t, _) in want.items()] + [(i, t, "src") for i, t in no.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = secret_scan.scan(docs, secret_scan.fit(secret_scan.labelled_findings(spark))).collect()
+    assert {(r.doc_id, r.candidate) for r in got if r.doc_id < 10} == {(i, c) for i, (_, c) in want.items()}
+    assert {r.doc_id for r in got if r.is_secret} == set(want)
