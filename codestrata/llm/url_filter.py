@@ -106,7 +106,7 @@ def with_rules(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
     return pages.withColumn("rule", rule if rules else F.lit(None).cast("string")).withColumn("verdict", verdict if rules else F.lit(None).cast("string"))
 
 
-def mine(scratch: Scratch, labelled: DataFrame, min_support: float = 0.02, min_confidence: float = 0.8, max_tokens: int = 3) -> DataFrame:
+def mine(scratch: Scratch, labelled: DataFrame, min_support: float = 0.02, min_confidence: float = 0.8, max_tokens: int | None = None) -> DataFrame:
     """Rules (key, tokens, label, support, confidence) from rows of tokens and label.
 
     ``key`` is the sorted tokens joined by a blank; ``support`` counts rows."""
@@ -114,7 +114,7 @@ def mine(scratch: Scratch, labelled: DataFrame, min_support: float = 0.02, min_c
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(rows).freqItemsets
     labels = F.filter("items", lambda x: x.startswith("label="))
     rest = F.array_sort(F.filter("items", lambda x: ~x.startswith("label=")))
-    sets = sets.select(F.element_at(F.concat(labels, F.array(F.lit(""))), 1).alias("label"), rest.alias("tokens"), "freq").where(F.size("tokens").between(1, max_tokens))
+    sets = sets.select(F.element_at(F.concat(labels, F.array(F.lit(""))), 1).alias("label"), rest.alias("tokens"), "freq").where((F.size("tokens") >= 1) & (F.size("tokens") <= (max_tokens or F.size("tokens"))))
     sets = scratch.keep(sets.withColumn("key", F.array_join("tokens", " ")), "sets")
     whole = sets.where("label = ''").select("key", F.col("freq").alias("n"))
     rules = sets.where("label <> ''").join(whole, "key").select("key", "tokens", F.substring("label", 7, 1000).alias("label"), F.col("freq").alias("support"), (F.col("freq") / F.col("n")).alias("confidence"))
@@ -122,8 +122,9 @@ def mine(scratch: Scratch, labelled: DataFrame, min_support: float = 0.02, min_c
     # every proper subset of a rule's tokens: drop one token, and from those one more, ...
     smaller = rules.select("key", "label", "confidence", "tokens", F.col("tokens").alias("part"))
     parts = None
-    for _ in range(max_tokens - 1):
-        smaller = smaller.where(F.size("part") > 1).select("key", "label", "confidence", F.explode(F.transform("part", lambda t: F.array_remove(F.col("part"), t))).alias("part"))
+    longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 1
+    for _ in range(longest - 1):
+        smaller = smaller.where(F.size("part") > 1).select("key", "label", "confidence", F.explode(F.transform("part", lambda t: F.array_remove(F.col("part"), t))).alias("part")).distinct()
         parts = smaller if parts is None else parts.unionByName(smaller)
     if parts is None:
         return rules
@@ -149,7 +150,7 @@ def judge(scratch: Scratch, pages: DataFrame, rules: DataFrame, url: str = "url"
     return done.withColumn("verdict", F.coalesce("verdict", "_label", F.lit(default))).drop("_signature", "_label")
 
 
-def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES, labelled: DataFrame | None = None, min_support: float = 0.02, min_confidence: float = 0.8, max_tokens: int = 3, default: str = "allow") -> DataFrame:
+def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES, labelled: DataFrame | None = None, min_support: float = 0.02, min_confidence: float = 0.8, max_tokens: int | None = None, default: str = "allow") -> DataFrame:
     """``pages`` with host, path, rule, verdict and evidence.
 
     ``labelled``: rows (url, label) to mine; by default the pages on which a
