@@ -10,7 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..ship import ship
@@ -113,6 +114,26 @@ def rest_of(docs: DataFrame, *made: str) -> DataFrame:
     return docs.drop(*[c for c in docs.columns if c.lower() in {m.lower() for m in made}])
 
 
+#: Columns of a packed frame.
+TEXT, KEY, ROW = "_text", "_key", "_row"
+
+
+def column(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def packed(docs: DataFrame, text: str, key: str | None = None) -> DataFrame:
+    """Text, key and all other columns as one, so that none can clash with an operator's own names."""
+    rest = [column(c) for c in docs.columns if c != text] or [F.lit(0).alias("_none")]
+    return docs.select(column(text).alias(TEXT), (column(key) if key else F.lit(None)).alias(KEY), F.struct(*rest).alias(ROW))
+
+
+def unpacked(rows: DataFrame, columns: list[str], text: str | None, *made: str) -> DataFrame:
+    """The columns of a packed frame in their old order, and ``made`` after them."""
+    own = [F.col(TEXT).alias(c) if c == text else F.col(ROW).getField(c).alias(c) for c in columns]
+    return rows.select(*own, *made)
+
+
 def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` of a function that workers can load, tidying up after itself."""
     ship(frame.sparkSession)

@@ -4,13 +4,19 @@
 word shingles is at least ``least`` (words and hashes as in ``simhash``; a
 shorter text is one shingle of all its words, a text without words has the empty
 set).  Texts with equal sets are first folded into one class, so copies cost
-nothing.  A class has a fingerprint of ``BITS`` bits; keys are ``KEY_BITS`` of
-them at a time, in ``ROUNDS`` orders of all the bits, and classes that share a
-key and differ in at most ``radius`` bits are candidates.  The candidates'
-components are then taken one at a time with their sets, and every pair of a
-component not linked yet is compared exactly.  Keys and components with more
-than a block of rows are dealt in blocks to several tasks.  Tasks send on
-spanning forests, never the pairs.
+nothing.  A class has a fingerprint of ``BITS`` bits; keys are some of its bits
+at a time, in several orders of all the bits, and classes that share a key and
+differ in at most ``radius`` bits are candidates, found by ``simhash``'s Gray
+index.  The bits of a key grow with the logarithm of the number of classes, so
+that spread fingerprints give a key ``KEY_ROWS`` rows at most, and the number of
+keys grows with them (as the 0.24th power of the classes), so that a pair is
+missed as seldom at every size (``key_plan``).
+
+Candidates' components are confirmed exactly: every member is first compared
+with its component's smallest, which settles a group of alike texts in one pass;
+those not linked so are then compared with all members of the component, in
+groups of at most twice ``pair_rows`` rows.  Tasks send on spanning forests,
+never the pairs.
 
 Only the search is approximate: a link holds exactly, but a pair near ``least``
 may share no key (see README).
@@ -28,28 +34,33 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import map_arrow, map_docs, runs, texts, whole_groups
-from .components import components, local_roots
-from .session import BLOCK_ROWS, Scratch, partitions, split_hot
-from .simhash import _BITS, LEAF, SEED
-
-WORDS, BITS, KEY_BITS, ROUNDS, RADIUS = 5, 128, 16, 8, 32
+from .components import components
+from .session import BLOCK_ROWS, Scratch, partitions
+from .simhash import _BITS, SEED, deal, indexed_links, shingle_digests
+
+WORDS, BITS, RADIUS = 5, 128, 32
+#: Least bits of a key, keys of so many bits, and rows of a key beyond which keys get more bits.
+KEY_BITS, KEYS, KEY_ROWS = 16, 64, 256
+#: Share of bits in which texts of similarity 0.8 agree: 1 - acos(0.8 / 0.9) / pi.
+_AGREE = 0.849
 #: Rows of one component that are compared in one task.
 PAIR_ROWS = 1024
 _PLACE = np.arange(BITS // 8, dtype=np.int64) * 256
-_ORDERS = np.stack([np.random.default_rng(SEED + r).permutation(BITS) for r in range(ROUNDS)])
+
+
+def key_plan(classes: int) -> np.ndarray:
+    """(keys, bits of a key) numbers of the bits that make each key."""
+    bits = max(KEY_BITS, int(np.ceil(np.log2(max(1, classes) / KEY_ROWS))))
+    keys = int(np.ceil(KEYS * _AGREE ** (KEY_BITS - bits)))
+    pieces = BITS // bits
+    orders = [np.random.default_rng(SEED + r).permutation(BITS)[: pieces * bits].reshape(pieces, bits) for r in range(-(-keys // pieces))]
+    return np.concatenate(orders)[:keys]
 
 
 def shingle_set(body: bytes, size: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's shingles."""
-    words = body.lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(size, len(words))
-    made = {xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())}
-    return np.sort(np.fromiter(made, np.uint64, len(made)))
+    parts = [np.unique(np.frombuffer(d, ">u8")) for d in shingle_digests(body, size)]
+    return np.unique(np.concatenate(parts)).astype(np.uint64) if parts else np.empty(0, np.uint64)
 
 
 def wide_print(own: np.ndarray) -> np.ndarray:
@@ -77,43 +88,19 @@ def prints(docs: DataFrame, text: str) -> DataFrame:
     return map_docs(docs, text, fields, work, replace_text=True).drop(text)
 
 
-def _keys(batches):
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 2000):
-            batch = whole.slice(lo, 2000)
-            rep, a, b = (batch.column(c).to_numpy() for c in ("rep", "_a", "_b"))
-            bits = np.unpackbits(np.stack([a, b], 1).view(np.uint8), axis=1)
-            keys = np.ascontiguousarray(np.packbits(bits[:, _ORDERS.ravel()], axis=1)).view(np.uint16).astype(np.int32)
-            n = keys.shape[1]
-            keys += np.arange(n, dtype=np.int32) << KEY_BITS
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(rep, n)), pa.array(np.repeat(a, n)), pa.array(np.repeat(b, n))], ["key", "rep", "_a", "_b"])
-
-
-def _candidates(radius: int):
-    """Spanning forests of the candidate pairs inside each (key, bi, bj) group."""
-
+def _keys(plan: np.ndarray):
     def run(batches):
-        for batch in whole_groups(batches, ["key", "bi", "bj"]):
-            rep, a, b = (batch.column(c).to_numpy() for c in ("rep", "_a", "_b"))
-            a, b = a.view(np.uint64), b.view(np.uint64)
-            cuts = runs(batch, ["key", "bi", "bj"])
-            sizes = np.diff(cuts)
-            group = np.repeat(np.arange(len(sizes)), sizes)
-            small = sizes <= LEAF
-            found = [(rep[:0], rep[:0])]
-            for gap in range(1, min(LEAF, int(sizes.max(initial=1)))):
-                at = np.flatnonzero((group[:-gap] == group[gap:]) & small[group[:-gap]])
-                near = at[np.bitwise_count(a[at] ^ a[at + gap]).astype(np.int64) + np.bitwise_count(b[at] ^ b[at + gap]) <= radius]
-                found.append((rep[near], rep[near + gap]))
-            for g in np.flatnonzero(~small):
-                lo, hi = cuts[g], cuts[g + 1]
-                for at in range(lo, hi, 256):
-                    end = min(at + 256, hi)
-                    gone = np.bitwise_count(a[at:end, None] ^ a[at:hi]) + np.bitwise_count(b[at:end, None] ^ b[at:hi])
-                    x, y = np.nonzero(gone <= radius)
-                    found.append(local_roots(rep[at + x], rep[at + y]))
-            u, v = local_roots(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]))
-            yield pa.RecordBatch.from_arrays([pa.array(u[u != v], pa.int64()), pa.array(v[u != v], pa.int64())], ["u", "v"])
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                batch = whole.slice(lo, 1000)
+                rep, a, b = (batch.column(c).to_numpy() for c in ("rep", "_a", "_b"))
+                bits = np.unpackbits(np.stack([a, b], 1).view(np.uint8), axis=1)
+                n = len(plan)
+                value = np.zeros((len(bits), n, 8), np.uint8)
+                held = np.packbits(bits[:, plan], axis=2)
+                value[:, :, 8 - held.shape[2] :] = held
+                keys = value.view(">i8")[:, :, 0] + (np.arange(n, dtype=np.int64) << 48)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64).ravel()), pa.array(np.repeat(rep, n)), pa.array(np.repeat(a, n)), pa.array(np.repeat(b, n))], ["key", "rep", "_a", "_b"])
 
     return run
 
@@ -141,6 +128,21 @@ def links(sets: list[np.ndarray], least: float) -> np.ndarray:
     return root
 
 
+def _near_smallest(least: float):
+    """Whether each member links to the smallest of its component."""
+
+    def run(batches):
+        for batch in batches:
+            near = []
+            for own, first in zip(batch.column("_words"), batch.column("_first")):
+                x, y = np.frombuffer(own.as_py(), np.uint64), np.frombuffer(first.as_py(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                near.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("node"), pa.array(near, pa.bool_())], ["component", "node", "near"])
+
+    return run
+
+
 def _confirmed(least: float):
     """Spanning forests of the links inside each (component, bi, bj) group."""
 
@@ -160,6 +162,24 @@ def _confirmed(least: float):
     return run
 
 
+def confirm(scratch: Scratch, members: DataFrame, least: float, pair_rows: int) -> DataFrame:
+    """Edges (u, v) that span the links among the members (component, node, _words) of each component."""
+    first = members.where("node = component").groupBy("component").agg(F.min("_words").alias("_first"))
+    told = scratch.keep(map_arrow(members.join(first, "component"), _near_smallest(least), "component long, node long, near boolean"), "told")
+    stars = told.where("near AND node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
+    far = told.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("near")).alias("n_far")).where("n_far > 0")
+    parts = lambda n: F.ceil(F.col(n) / pair_rows).cast("int")
+    far = scratch.keep(far.select("component", parts("n").alias("s"), parts("n_far").alias("t")), "far")
+    rows = members.join(far, "component")
+    mine = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sent = rows.select("component", mine("s").alias("bi"), every("t").alias("bj"), "node", "_words")
+    lost = rows.join(told.where(~F.col("near")).select("component", "node").distinct(), ["component", "node"], "left_semi")
+    sent = sent.unionByName(lost.select("component", every("s").alias("bi"), mine("t").alias("bj"), "node", "_words"))
+    sent = sent.repartition(partitions(scratch.spark), "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
+    return stars.unionByName(map_arrow(sent, _confirmed(least), "u long, v long"))
+
+
 def _with_sets(text: str):
     def work(part):
         return [pa.array([shingle_set(body).tobytes() for body in texts(part.column(text))], pa.binary())]
@@ -174,17 +194,18 @@ def near_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", least:
     docs = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
     made = first.keep(prints(docs, "_text"), "prints")
     classes = first.keep(made.groupBy("_set").agg(F.min("_id").alias("rep"), F.first("_a").alias("_a"), F.first("_b").alias("_b")), "classes")
-    entries = first.keep(map_arrow(classes.where("rep IS NOT NULL").select("rep", "_a", "_b"), _keys, "key int, rep long, _a long, _b long"), "entries")
-    dealt = split_hot(first, entries, "key", "rep", block).select("key", "bi", "bj", "rep", "_a", "_b")
+    classes_found = classes.where("rep IS NOT NULL")
+    entries = map_arrow(classes_found.select("rep", "_a", "_b"), _keys(key_plan(classes_found.count())), "key long, rep long, _a long, _b long")
+    dealt = deal(first, first.keep(entries, "entries"), ["_a", "_b"], radius, block)
     dealt = dealt.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    maybe = first.keep(components(first, map_arrow(dealt, _candidates(radius), "u long, v long")), "maybe")
-    first.drop("entries")
+    maybe = first.keep(components(first, map_arrow(dealt, indexed_links(["_a", "_b"], radius), "u long, v long")), "maybe")
+    for name in ("entries", "hot", "cuts", "ranked", "nodes"):
+        first.drop(name)
     members = docs.join(maybe, F.col("_id") == F.col("node")).select("component", "node", "_text")
     members = second.keep(map_docs(members, "_text", [T.StructField("_words", T.BinaryType())], _with_sets("_text")).drop("_text"), "members")
-    dealt = split_hot(second, members, "component", "node", pair_rows).select("component", "bi", "bj", "node", "_words")
-    dealt = dealt.repartition(partitions(spark), "component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    found = components(second, map_arrow(dealt, _confirmed(least), "u long, v long"))
-    second.drop("members")
+    found = components(second, confirm(second, members, least, pair_rows))
+    for name in ("members", "told", "far"):
+        second.drop(name)
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("_set", F.coalesce("component", "rep").alias("component_id"))
     named = second.keep(named, "named")
     return made.join(named, "_set", "left").select(F.col("_id").alias(key), "component_id")
