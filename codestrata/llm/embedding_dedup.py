@@ -6,23 +6,30 @@ zero or hold null or non-finite components link with nothing.
 
 * Equal vectors of a label are folded into one class with a count, so a group
   of copies costs one row.
-* Each class goes down ``trees`` trees of recursive random splits.  A level of a
+* Each class goes down some trees of recursive random splits.  A level of a
   tree has one random direction, each node its own threshold: the median of a
   bounded sample at that node.  A vector near a threshold goes both ways: two
   vectors at the limit of similarity differ by about sqrt(2 - 2*threshold) /
   sqrt(dimension) along a random direction, and the overlap is ``spill`` of
-  these on each side.  A tree parts such a pair with a chance of about 0.4 % a
-  level, so four trees of 20 levels all part one in 30,000 of the least similar
-  pairs.  A label is split until a leaf has about ``leaf_rows`` rows.
-* Leaves are compared with matrix products.  A leaf that stays large, as all its
-  vectors are alike, is dealt in blocks to several tasks.
+  these on each side.  A label is split until a leaf has about ``leaf_rows``
+  rows; the fewer levels, the fewer rows the overlap makes.
+* A level parts a pair at the limit with a chance of about 0.019 times the ratio
+  of that difference to the vectors' spread in their label, which the sample
+  gives.  A label gets as many trees as keep the chance that all part it below
+  ``miss`` (one tree where it is a single leaf).
+* A leaf's row carries the vector as it was given (single precision if so) and
+  its leaves of all trees.  Leaves are compared with matrix products in double
+  precision.  A leaf that stays large, as all its vectors are alike, is dealt in
+  blocks of about ``BLOCK_BYTES`` to several tasks.
 * A pair that meets in several leaves is counted in the first of them only,
   which each side knows from both lists of leaves, so pairs are never emitted:
   a leaf sends on, for each vector, the number of its links and the smallest
   vector it reaches there.
 
-Cases: repeated rows are vectors of their own; vectors of different dimension
-never link; an empty table gives an empty result; columns other than the id,
+Cases: repeated rows (and ids) are vectors of their own; a null id names no
+component and is its own row; vectors of different dimension never link, and one
+of any width is taken whole; ties need no rule, as the smallest id names a
+component; an empty table gives an empty result; columns other than the id,
 vector and label are not carried, so none can clash.
 """
 
@@ -32,13 +39,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrow import map_arrow, runs, whole_groups
 from .components import components, local_roots
 from .session import Scratch, partitions, split_hot
 
-LEAF_ROWS = 400
-BLOCK = 2048
+LEAF_ROWS = 2048
+BLOCK_ROWS, BLOCK_BYTES = 8192, 16 << 20
 SAMPLE_ROWS = 4096
 SAMPLE_NUMBERS = 1 << 21
 DEPTH = 40
@@ -95,32 +103,52 @@ class Tree:
         return np.concatenate(done_row), np.concatenate(done_leaf)
 
 
-def _entries(trees: dict[int, list[Tree]], fresh):
-    """A row for each leaf of each class."""
+def trees_for(depth: np.ndarray, ratio: float, miss: float) -> np.ndarray:
+    """Trees that keep the chance of parting a pair at the limit in all of them below ``miss``."""
+    parted = 1 - (1 - np.minimum(0.5, 0.0186 * ratio)) ** np.asarray(depth, float)
+    return np.maximum(1, np.ceil(np.log(miss) / np.log(np.clip(parted, 1e-300, 0.999)))).astype(np.int64)
+
+
+def _entries(forest, miss: float):
+    """A row for each leaf of each class.  ``forest``: of a dimension the trees'
+    maker and the ratio of a limit pair's difference to the spread."""
 
     def run(batches):
+        grown: dict[int, list[Tree]] = {}
         for batch in batches:
-            vectors = batch.column("vector").to_pylist()
-            depth = np.minimum(batch.column("depth").to_numpy(), DEPTH)
-            dims = np.array([len(v) for v in vectors])
+            dims = np.diff(batch.column("vector").offsets.to_numpy())
             for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                x = unit_rows(np.array([vectors[i] for i in at.tolist()], np.float64))
-                rows, leaves = (np.concatenate(p) for p in zip(*(t.leaves(x, depth[at]) for t in trees.get(dim) or fresh(dim))))
+                make, ratio = forest(dim)
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                raw = part.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                x = unit_rows(raw.astype(np.float64))
+                depth = np.minimum(part.column("depth").to_numpy(), DEPTH)
+                trees = trees_for(depth, ratio, miss)
+                own = grown.setdefault(dim, [])
+                own += [make(t) for t in range(len(own), int(trees.max()))]
+                rows, leaves = [], []
+                for t in range(int(trees.max())):
+                    at = np.flatnonzero(trees > t)
+                    row, leaf = own[t].leaves(x[at], depth[at])
+                    rows.append(at[row])
+                    leaves.append(leaf)
+                rows, leaves = np.concatenate(rows), np.concatenate(leaves)
                 order = np.lexsort((leaves, rows))
                 rows, leaves = rows[order], leaves[order]
-                own = np.split(leaves, np.flatnonzero(np.diff(rows)) + 1)
-                raw = [v.tobytes() for v in x]
-                part = batch.take(pa.array(at[rows]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("label_hash"), pa.array(leaves), part.column("cid"), part.column("copies"), pa.array([raw[i] for i in rows.tolist()], pa.binary()), pa.array([own[i] for i in rows.tolist()], pa.list_(pa.int64()))],
-                    ["label_hash", "leaf", "cid", "copies", "unit", "leaves"],
-                )
+                ends = np.searchsorted(rows, np.arange(len(x) + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(leaves))
+                step = max(1, (4 << 20) // (dim * raw.itemsize))
+                for lo in range(0, len(rows), step):
+                    at = rows[lo : lo + step]
+                    some = part.take(pa.array(at))
+                    bytes_ = np.ascontiguousarray(raw[at]).view(np.uint8).reshape(len(at), -1)
+                    vectors = pa.array([v.tobytes() for v in bytes_], pa.binary())
+                    yield pa.RecordBatch.from_arrays([some.column("label_hash"), pa.array(leaves[lo : lo + step]), some.column("cid"), some.column("copies"), vectors, lists.take(pa.array(at))], ["label_hash", "leaf", "cid", "copies", "raw", "leaves"])
 
     return run
 
 
-def _verify(threshold: float, tile: int = 512):
+def _verify(threshold: float, kind: str, tile: int = 512):
     """Links inside each (key, bi, bj) group: per class its count of links first
     met here, weighted by copies, and the smallest class reached here."""
 
@@ -130,24 +158,29 @@ def _verify(threshold: float, tile: int = 512):
             out = []
             for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
                 if hi - lo > 1:
-                    out += _group(batch.slice(lo, hi - lo), threshold, tile)
+                    out += _group(batch.slice(lo, hi - lo), threshold, kind, tile)
             cid, root, links = (np.concatenate([o[k] for o in out]) if out else np.empty(0, np.int64) for k in range(3))
             yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(root, pa.int64()), pa.array(links, pa.int64())], ["cid", "root", "links"])
 
     return run
 
 
-def _group(part: pa.RecordBatch, threshold: float, tile: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _group(part: pa.RecordBatch, threshold: float, kind: str, tile: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     cid, copies, leaf = (part.column(c).to_numpy() for c in ("cid", "copies", "leaf"))
     b, bi, bj = (part.column(c).to_numpy() for c in ("b", "bi", "bj"))
-    x = np.frombuffer(b"".join(part.column("unit").to_pylist()), np.float64).reshape(len(part), -1)
-    leaves = part.column("leaves")
-    ids, owner = leaves.flatten().to_numpy(), np.repeat(np.arange(len(part)), np.diff(leaves.offsets.to_numpy()))
-    before = ids < leaf[0]
-    seen, column = np.unique(ids[before], return_inverse=True)
-    member = np.zeros((len(part), len(seen)), np.float32)
-    member[owner[before], column] = 1
+    x = unit_rows(np.frombuffer(b"".join(part.column("raw").to_pylist()), kind).reshape(len(part), -1).astype(np.float64))
     n = len(part)
+    # rows with the same earlier leaves go together; two of them met before if they share one
+    before: dict[bytes, int] = {}
+    combo = np.empty(n, np.int64)
+    ids, ends = part.column("leaves").flatten().to_numpy(), np.concatenate(([0], np.cumsum(part.column("leaves").value_lengths().to_numpy())))
+    for i in range(n):
+        own = ids[ends[i] : ends[i + 1]]
+        combo[i] = before.setdefault(own[: np.searchsorted(own, leaf[0])].tobytes(), len(before))
+    lists = [np.frombuffer(k, np.int64) for k in before]
+    seen, column = np.unique(np.concatenate(lists), return_inverse=True)
+    member = np.zeros((len(lists), len(seen)), np.float32)
+    member[np.repeat(np.arange(len(lists)), [len(k) for k in lists]), column] = 1
     links, found = np.zeros(n, np.int64), []
     for lo in range(0, n, tile):
         near = x[lo : lo + tile] @ x.T >= threshold
@@ -158,10 +191,10 @@ def _group(part: pa.RecordBatch, threshold: float, tile: int) -> list[tuple[np.n
             continue
         i, j = np.nonzero(near)
         keep = lo + i < j
-        nodes, roots = local_roots(cid[lo + i[keep]], cid[j[keep]])
-        found.append((nodes, roots))
+        found.append(local_roots(cid[lo + i[keep]], cid[j[keep]]))
         if len(seen):
-            near &= member[lo : lo + tile] @ member.T == 0
+            met = member[combo[lo : lo + tile]] @ member.T > 0
+            near &= ~met[:, combo]
         links[lo : lo + tile] += near @ copies
     if not found:
         return []
@@ -172,11 +205,13 @@ def _group(part: pa.RecordBatch, threshold: float, tile: int) -> list[tuple[np.n
     return [(cid[hit], roots[order][place[hit]], links[hit])]
 
 
-def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, trees: int = 4, spill: float = 0.8, leaf_rows: int = LEAF_ROWS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, miss: float = 3e-5, spill: float = 0.8, leaf_rows: int = LEAF_ROWS, block: int | None = None) -> DataFrame:
     """One row per vector: key, n_links, component_id (smallest key reachable) and kept."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"), F.col(label).alias("label"))
+    given = vectors.schema[vector].dataType
+    single = isinstance(given, T.ArrayType) and isinstance(given.elementType, T.FloatType)
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>" if single else "array<double>").alias("vector"), F.col(label).alias("label"))
     able = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     rows = rows.withColumn("h1", F.when(able, F.xxhash64("label", "vector"))).withColumn("h2", F.when(able, F.xxhash64("vector", "label", F.lit(1))))
     members = rows.select("id", "h1", "h2")
@@ -186,33 +221,42 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     big = scratch.keep(big.select("label_hash", F.ceil(F.log2(F.col("n") / leaf_rows)).cast("int").alias("depth")), "labels")
     deep = classes.join(big, "label_hash", "left").select("label_hash", "cid", "copies", "vector", F.coalesce("depth", F.lit(0)).alias("depth"))
 
-    total = classes.count()
+    total, widest = classes.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
     sample: dict[int, list] = {}
     if total:
-        widest = classes.agg(F.max(F.size("vector"))).first()[0]
         expect = max(64, min(SAMPLE_ROWS, SAMPLE_NUMBERS // widest))
         chosen = classes.where(F.pmod(F.xxhash64("cid", F.lit("sample")), F.lit(1 << 40)) < F.lit(min(1 << 40, (1 << 40) * expect // total)))
-        for r in chosen.select("cid", "vector").limit(2 * expect).sort("cid").collect():
-            sample.setdefault(len(r.vector), []).append(r.vector)
+        for r in chosen.select("cid", "vector", "label_hash").sort("cid").limit(2 * expect).collect():  # about half that
+            sample.setdefault(len(r.vector), []).append((r.vector, r.label_hash))
     reach = np.sqrt(max(0.0, 2 - 2 * threshold))
+    held = {}
+    for dim, own in sample.items():
+        x = unit_rows(np.array([v for v, _ in own], np.float64))
+        _, of = np.unique([h for _, h in own], return_inverse=True)
+        mean = np.zeros((of.max() + 1, dim))
+        np.add.at(mean, of, x)
+        rest = ((x - (mean / np.bincount(of)[:, None])[of]) ** 2).sum() / max(1, len(x) - len(mean))
+        held[dim] = (x, reach / max(np.sqrt(rest), reach / 10))
 
-    def grow(dim: int) -> list[Tree]:
-        x = unit_rows(np.array(sample[dim], np.float64)) if dim in sample else np.zeros((0, dim))
-        return [Tree(t, x, dim, spill * reach / np.sqrt(dim)) for t in range(trees)]
+    def forest(dim: int):
+        x, ratio = held.get(dim, (np.zeros((0, dim)), 1.0))
+        return lambda t: Tree(t, x, dim, spill * reach / np.sqrt(dim)), ratio
 
-    forest = {dim: grow(dim) for dim in sample}
-    fresh = lambda dim: [Tree(t, np.zeros((0, dim)), dim, spill * reach / np.sqrt(dim)) for t in range(trees)]
-    entries = map_arrow(deep, _entries(forest, fresh), "label_hash long, leaf long, cid long, copies long, unit binary, leaves array<long>")
-    entries = scratch.keep(entries.withColumn("key", F.xxhash64("label_hash", "leaf", F.length("unit"))), "entries")
-    dealt = split_hot(scratch, entries, "key", "cid", block).select("key", "bi", "bj", "b", "leaf", "cid", "copies", "unit", "leaves")
+    size = 4 if single else 8
+    block = block or max(256, min(BLOCK_ROWS, BLOCK_BYTES // (8 * (widest or 1))))
+    entries = map_arrow(deep, _entries(forest, miss), "label_hash long, leaf long, cid long, copies long, raw binary, leaves array<long>")
+    entries = scratch.keep(entries.withColumn("key", F.xxhash64("label_hash", "leaf", F.length("raw"))).drop("label_hash"), "entries")
+    dealt = split_hot(scratch, entries, "key", "cid", block).select("key", "bi", "bj", "b", "leaf", "cid", "copies", "raw", "leaves")
     dealt = dealt.repartition(partitions(spark), "key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    links = scratch.keep(map_arrow(dealt, _verify(threshold), "cid long, root long, links long"), "links")
+    links = scratch.keep(map_arrow(dealt, _verify(threshold, f"f{size}"), "cid long, root long, links long"), "links")
     scratch.drop("entries")
     found = components(scratch, links.where("cid <> root").select("cid", "root"))
     named = classes.select("h1", "h2", "cid", "copies").join(links.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left")
     named = named.join(found.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "cid").alias("component_id"))
     named = scratch.keep(named, "named")
+    for name in ("classes", "labels", "links"):
+        scratch.drop(name)
     done = members.join(named, ["h1", "h2"], "left")
     done = done.select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return done.withColumn("kept", F.col(key) == F.col("component_id"))

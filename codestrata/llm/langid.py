@@ -11,13 +11,15 @@ every centroid.  A text without a letter has language ``und``, score 0 and is
 rejected.
 
 The model is fitted on a bounded sample: of the training rows with a language,
-about ``sample_rows`` by the hash of their id, the same ones in every run; each
-is used whole.  Prediction reads nothing but the text.
+about ``sample_rows`` by the hash of their id and text, the same ones in every
+run, and of every language about ``LEAST_ROWS`` or all it has; each is used
+whole.  Prediction reads nothing but the text.
 
 Cases: null and empty texts have no letter; ties between centroids go to the
-first in order of language; an empty table gives an empty result; without any
-training row every text is ``und`` with score 0 and rejected; input columns
-named like an output column are replaced.
+first in order of language; repeated rows train once and are judged alike; a
+very long text is one vector of its counts; an empty table gives an empty
+result; without any training row every text is ``und`` with score 0 and
+rejected; input columns named like an output column are replaced.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ BINS = 1 << 13
 UNKNOWN = "und"
 #: Rejection floors are learned for texts of fewer distinct trigrams than each of these, and for the rest.
 BANDS = (8, 32, 128, 512)
+#: Rows of a sample that every language (or label) gets, if it has them.
+LEAST_ROWS = 100
 MADE = ("lang_pred", "score", "rejected")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[:128] = 32
@@ -137,16 +141,25 @@ def _train(rows: pd.DataFrame, per_language: int, slack: float) -> LangModel:
     return LangModel(languages, np.array(centroids, np.float32), idf, np.maximum(floors, 1e-4))
 
 
-def sampled(rows: DataFrame, key: str, expect: int) -> DataFrame:
-    """About ``expect`` rows, by the hash of their key: the same in every run."""
-    n = rows.count()
-    return rows if n <= expect else rows.where(F.pmod(F.xxhash64(key), F.lit(1 << 40)) < F.lit(int((1 << 40) * expect / n)))
+def sampled(rows: DataFrame, keys: list[str], expect: int, group: str, least: int = LEAST_ROWS) -> DataFrame:
+    """About ``expect`` rows by the hash of their keys, the same in every run, and
+    of every value of ``group`` at least about ``least`` or all it has: so no
+    value is lost for being rare.  A count for each value is collected."""
+    counts = {r[0]: r[1] for r in rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1))).collect()}
+    share = expect / max(1, sum(counts.values()))
+    whole = [value for value, n in counts.items() if n <= least or share >= 1]
+    place = F.pmod(F.xxhash64(*keys), F.lit(1 << 40))
+    keep = F.col(group).isin(whole) if whole else F.lit(False)
+    for value, n in counts.items():
+        if value not in whole and share < least / n:
+            keep |= (F.col(group) == F.lit(value)) & (place < F.lit(int((1 << 40) * least / n)))
+    return rows.where(F.col(group).isNotNull() & (keep | (place < F.lit(min(1 << 40, int((1 << 40) * share))))))
 
 
 def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 4, sample_rows: int = 3000, slack: float = 0.25) -> LangModel:
     """Learn from the rows where ``train`` holds and ``lang`` is not null.  The
     model is small and fixed in size: languages x per_language x BINS floats."""
-    rows = sampled(docs.where(train & F.col(lang).isNotNull()), key, sample_rows)
+    rows = sampled(docs.where(train & F.col(lang).isNotNull()), [key, text], sample_rows, lang)
 
     def count(batches):
         for batch in batches:
@@ -159,7 +172,7 @@ def fit(docs: DataFrame, train: Column, text: str = "text", lang: str = "lang",
         m = _train(pdf, per_language, slack)
         return pd.DataFrame({"languages": [m.languages], "centroids": [m.centroids.tobytes()], "idf": [m.idf.astype(np.float64).tobytes()], "floors": [m.floors.tobytes()]})
 
-    made = counts.groupBy().applyInPandas(train_one, "languages array<string>, centroids binary, idf binary, floors binary").collect()
+    made = counts.distinct().groupBy().applyInPandas(train_one, "languages array<string>, centroids binary, idf binary, floors binary").collect()
     if not made:
         return LangModel([], np.zeros((0, BINS), np.float32), np.ones(BINS), np.ones(len(BANDS) + 1))
     row = made[0]

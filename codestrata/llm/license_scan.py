@@ -4,10 +4,12 @@ Candidate blocks are cut from texts that mention a license at all: each
 sentence with a license word (by lines, and with wrapped lines joined), and each stretch of text in which such sentences
 follow one another closely.  A block is compressed by zstandard alone and with
 each template as a raw dictionary; the share of the size that the template
-saves ranks the templates.  The ``ranked`` best are then compared word by word
-with the block, and the one with the fewest differences is confirmed if it
+saves ranks the templates.  Templates are then compared word by word with the
+block, best first, and the one with the fewest differences is confirmed if it
 differs in at most ``tolerance`` of its words: template words that are missing,
-and block words inside the matched stretch that the template does not have.
+and block words inside the matched stretch that the template does not have.  All
+templates that save anything are compared, unless the block has too few of a
+template's words for it to be confirmed at all; ``ranked`` stops sooner.
 
 Short templates (notices) are matched against sentences, long ones (license
 texts) against stretches, taken in overlapping windows so that a long stretch
@@ -17,16 +19,22 @@ which must all be there; the words that introduce them are free.  What lies befo
 after a match is judged again, so a block gives a row for every license in it.
 A finding that overlaps a longer one is left out.
 
-Cases: null and empty texts give no row; repeated rows and repeated notices
-each give a row; ties go to the better reduction, then the first name; an empty
-table gives an empty result; columns other than the key and text are not
-carried, so none can clash.
+The words that make a text a candidate are ``HINTS`` and, for a template that
+holds none of them, as many of its longest words as a confirmed copy cannot all
+lack (``hints_for``).
+
+Cases: null and empty texts give no row; a text of any length is scanned whole,
+block by block; repeated rows, ids and notices each give a row; ties go to the
+better reduction, then the first name; an empty table gives an empty result;
+columns other than the key and text are not carried, so none can clash.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import re
+from collections import Counter
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -67,6 +75,14 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."),
     ("ISC", "Licensed under the ISC License."),
+    ("Apache-2.0", "Grant of Copyright License. Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("GPL-3.0", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("GPL-2.0", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software is free for all its users."),
+    ("LGPL-3.0", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("AGPL-3.0", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("CC-BY-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution 4.0 International Public License (\"Public License\")."),
+    ("CC-BY-SA-4.0", "By exercising the Licensed Rights (defined below), You accept and agree to be bound by the terms and conditions of this Creative Commons Attribution-ShareAlike 4.0 International Public License (\"Public License\")."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
@@ -105,7 +121,8 @@ for _list in _NAMES.values():
     _list.sort(key=lambda x: -len(x[0]))
 #: A text without any of these (lower-cased) holds no candidate.
 HINTS = ("licens", "licenc", "copyright", "permission is hereby", "permission to use", "redistribution", "public domain", "rights reserved", "warrant", "mozilla public", "creative commons", "released under", "distributed under", "published under", "available under", "provided under")
-_HINT = re.compile("|".join(map(re.escape, HINTS)), re.IGNORECASE)
+#: Judged blocks that a worker remembers, by digest, within a task.
+MEMO = 50_000
 _SENTENCE_END = re.compile(r"[.!?](?=\s)|\n+")
 #: As before, but a wrapped line goes on up to a blank one (comment marks alone leave a line blank).
 _WRAPPED_END = re.compile(r"[.!?](?=\s)|\n(?:[^\w\n]*\n)+")
@@ -135,6 +152,7 @@ class Finding:
 class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, words(text)
+        self.count = Counter(self.words)
         plain = _PAD + " ".join(self.words).encode() + _PAD
         self.dictionary = zstandard.ZstdCompressionDict(plain, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.dictionary.precompute_compress(level=LEVEL)
@@ -144,6 +162,10 @@ class Template:
         """Share of the compressed size that the template saves."""
         return 1 - len(self.codec.compress(plain)) / alone
 
+    def possible(self, block: Counter, slack: int) -> bool:
+        """Whether at most ``slack`` of the template's words can be missing."""
+        return sum(min(n, block[w]) for w, n in self.count.items()) >= len(self.words) - slack
+
     def differences(self, block: list[str], slack: int) -> tuple[int, int, int, int]:
         """(missing, extra, first, last) words of the best alignment around the
         longest run of equal words, as another copy of the text may follow."""
@@ -164,27 +186,50 @@ def _codec(dictionary=None) -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
+def hints_for(templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[str, ...]:
+    """HINTS, and for every template without one of them its longest words, one
+    more than a confirmed copy can lack."""
+    more: dict[str, None] = {}
+    for _, text in templates:
+        low, own = text.lower(), words(text)
+        if own and not any(h in low for h in HINTS):
+            more.update(dict.fromkeys(sorted(set(own), key=lambda w: (-len(w), w))[: int(tolerance * len(own)) + 1]))
+    return (*HINTS, *(w for w in more if not any(h in w for h in HINTS)))
+
+
 class Scanner:
-    def __init__(self, templates: tuple[tuple[str, str], ...], ranked: int, tolerance: float):
+    def __init__(self, templates: tuple[tuple[str, str], ...], ranked: int | None, tolerance: float):
         made = [Template(*t) for t in templates]
         self.short = [t for t in made if len(t.words) < LONG_WORDS]
         self.long = [t for t in made if len(t.words) >= LONG_WORDS]
         self.window = 2 * max([LONG_WORDS, *(len(t.words) for t in self.long)])
         self.alone, self.ranked, self.tolerance = _codec(), ranked, tolerance
-        self.judge = lru_cache(50_000)(self._judge)
+        self.hint = re.compile("|".join(map(re.escape, hints_for(templates, tolerance))), re.IGNORECASE)
+        self.memo: dict[bytes, tuple | None] = {}
+
+    def judge(self, block: tuple[str, ...], long: bool):
+        key = hashlib.blake2b(b"%d" % long + " ".join(block).encode("utf-8", "replace"), digest_size=16).digest()
+        if key not in self.memo:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            self.memo[key] = self._judge(block, long)
+        return self.memo[key]
 
     def _judge(self, block: tuple[str, ...], long: bool):
         """(license, reduction, missing, extra, first word, last word) or None."""
         if not block:
             return None
-        plain = _PAD + " ".join(block).encode() + _PAD
+        plain = _PAD + " ".join(block).encode("utf-8", "replace") + _PAD
         alone = len(self.alone.compress(plain))
         ranks = sorted(((-t.reduction(plain, alone), t.name, i) for i, t in enumerate(self.long if long else self.short)))
-        best = None
+        count, best = Counter(block), None
         for minus, name, i in ranks[: self.ranked]:
             t = (self.long if long else self.short)[i]
-            missing, extra, first, last = t.differences(list(block), int(self.tolerance * len(t.words)))
-            if minus < 0 and missing + extra <= self.tolerance * len(t.words):
+            slack = int(self.tolerance * len(t.words))
+            if minus >= 0 or not t.possible(count, slack):
+                continue
+            missing, extra, first, last = t.differences(list(block), slack)
+            if missing + extra <= self.tolerance * len(t.words):
                 found = ((missing + extra) / len(t.words), -len(t.words), minus, name, missing, extra, first, last)
                 best = found if best is None or found < best else best
         return best and (best[3], -best[2], *best[4:])
@@ -228,7 +273,7 @@ class Scanner:
                     break
 
     def _saved(self, name: str, block: list[str]) -> float:
-        plain = _PAD + " ".join(block).encode() + _PAD
+        plain = _PAD + " ".join(block).encode("utf-8", "replace") + _PAD
         alone = len(self.alone.compress(plain))
         return max((t.reduction(plain, alone) for t in self.short if t.name == name), default=0.0)
 
@@ -244,7 +289,7 @@ class Scanner:
         return cuts, sentences
 
     def scan(self, text: str) -> list[Finding]:
-        marks = [m.start() for m in _HINT.finditer(text)]
+        marks = [m.start() for m in self.hint.finditer(text)]
         if not marks:
             return []
         cuts, sentences = self._sentences(text, marks, _SENTENCE_END)
@@ -254,7 +299,7 @@ class Scanner:
         for lo, hi in pieces:  # a sentence with all that surrounds a short notice in it
             spans = self._spans(text, lo, hi)
             near = max((len(t.words) for t in self.short), default=0) + 2
-            marked = [k for k, (a, b) in enumerate(spans) if _HINT.match(text, a) or any(a <= m < b for m in marks)] if len(spans) > near else [0]
+            marked = [k for k, (a, b) in enumerate(spans) if any(a <= m < b for m in marks)] if len(spans) > near else [0]
             if len(spans) <= near:
                 self._try(text, spans, False, found)
             for k in marked if len(spans) > near else ():
@@ -278,25 +323,26 @@ class Scanner:
 
 
 @lru_cache(4)
-def scanner(templates: tuple[tuple[str, str], ...], ranked: int, tolerance: float) -> Scanner:
+def scanner(templates: tuple[tuple[str, str], ...], ranked: int | None, tolerance: float) -> Scanner:
     return Scanner(templates, ranked, tolerance)
 
 
-def mentions(text: Column) -> Column:
+def mentions(text: Column, hints: tuple[str, ...] = HINTS) -> Column:
     low = F.lower(text)
-    hit = low.contains(HINTS[0])
-    for h in HINTS[1:]:
+    hit = low.contains(hints[0])
+    for h in hints[1:]:
         hit |= low.contains(h)
     return hit
 
 
-def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, ranked: int = 3, tolerance: float = 0.15) -> DataFrame:
+def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, ranked: int | None = None, tolerance: float = 0.15) -> DataFrame:
     """A row for each license found: key, license, start_char, end_char,
     reduction, n_missing, n_extra (differing words) and n_words."""
-    rows = docs.where(mentions(F.col(text))).select(key, text)
+    rows = docs.where(mentions(F.col(text), hints_for(templates, tolerance))).select(key, text)
 
     def run(batches):
         own = scanner(templates, ranked, tolerance)
+        own.memo.clear()
         for batch in batches:
             for part in text_slices(batch, text):
                 at, found = [], []

@@ -16,13 +16,17 @@ from their shard's filter, so deleting what was inserted restores the index.
 filter alone may err, but every line of an indexed document is in ``counts``,
 so the keys on which a filter errs are found exactly by probing it with the
 keys below the threshold; they are passed along as exceptions.  If filters and
-exceptions exceed ``broadcast_bytes``, an exact shuffle join on the keys takes
-their place with the same result.
+exceptions exceed ``broadcast_bytes``, the documents' line keys are sent to
+their shard's filter instead, and the few it lets through are verified by the
+counts, with the same result.
 
 Cases: a null or empty text is one empty line; empty keys never drop; a line
-repeated within one document counts once; an empty table gives an empty result
-with the same columns; input columns named like an output column are replaced.
-Documents that the index has not seen are judged by the shuffle join.
+repeated within one document counts once; rows that repeat an id are documents
+of their own, or with ``repeated_ids`` (``key``) one document, a null id always a
+document of its own; a very long text is split like any other; an empty table
+gives an empty result with the same columns; input columns named like an output
+column are replaced, others are carried whatever their names.  Documents that
+the index has not seen are judged by the routed way.
 """
 
 from __future__ import annotations
@@ -33,13 +37,14 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrow import map_arrow, map_docs, rest_of, text_slices, texts
-from .session import Scratch
+from .arrow import KEY, TEXT, column, map_arrow, map_docs, packed, rest_of, runs, text_slices, texts, unpacked
+from .session import Scratch, partitions
 
 BLANK = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -145,8 +150,28 @@ def _digests(keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pairs[:, 0], pairs[:, 1]
 
 
-def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(h1, h2, n_docs): documents that hold each non-empty line key."""
+def _line_keys(docs: DataFrame, text: str, key: str) -> DataFrame:
+    """(id, h1, h2): the distinct non-empty line keys of each row."""
+
+    def run(batches):
+        for batch in batches:
+            for part in text_slices(batch, text):
+                at, found = [], []
+                for i, body in enumerate(texts(part.column(text))):
+                    own = set(map(line_key, body.split(b"\n"))) - {b""}
+                    found += own
+                    at += [i] * len(own)
+                h1, h2 = _digests(found)
+                yield pa.RecordBatch.from_arrays([part.column(key).take(pa.array(at, pa.int64())), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], ["id", "h1", "h2"])
+
+    return map_arrow(docs.select(key, text), run, T.StructType([T.StructField("id", docs.schema[key].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+
+
+def line_counts(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
+    """(h1, h2, n_docs): documents that hold each non-empty line key.
+
+    Every row is a document; with ``key`` rows that repeat an id are one (a null
+    id is a document of its own), and only their lines are shuffled by id."""
 
     def run(batches):
         for batch in batches:
@@ -159,6 +184,13 @@ def line_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(list(seen.values()), pa.int64())], ["h1", "h2", "n"])
 
     each = map_arrow(docs.select(text), run, "h1 long, h2 long, n long")
+    if key is not None:
+        docs = docs.select(column(key).alias(KEY), column(text).alias(TEXT))
+        again = docs.where(F.col(KEY).isNotNull()).groupBy(KEY).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select(KEY)
+        if not again.isEmpty():
+            own = _line_keys(docs.join(again, KEY, "left_semi"), TEXT, KEY)
+            extra = own.groupBy("id", "h1", "h2").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+            each = each.unionByName(extra.select("h1", "h2", (1 - F.col("rows")).alias("n")))
     return each.groupBy("h1", "h2").agg(F.sum("n").alias("n_docs"))
 
 
@@ -184,12 +216,13 @@ class LineDedupIndex:
     version: int = 0
 
     @classmethod
-    def build(cls, docs: DataFrame, text: str = "text", min_docs: int = 10, keys_per_shard: int = 250_000, broadcast_bytes: int = 64 << 20) -> LineDedupIndex:
+    def build(cls, docs: DataFrame, text: str = "text", min_docs: int = 10, keys_per_shard: int = 250_000, broadcast_bytes: int = 64 << 20, key: str | None = None) -> LineDedupIndex:
         """Index a corpus.  Shards are as many as give each about
-        ``keys_per_shard`` keys, so one filter fits a task at any size."""
+        ``keys_per_shard`` keys, so one filter fits a task at any size.  With
+        ``key`` rows that repeat an id are one document."""
         spark = docs.sparkSession
         scratch = Scratch(spark, "lines")
-        counts = scratch.keep(line_counts(docs, text), "counts_0")
+        counts = scratch.keep(line_counts(docs, text, key), "counts_0")
         frequent = counts.where(F.col("n_docs") >= min_docs)
         n_shards = max(1, -(-frequent.count() // keys_per_shard))
 
@@ -200,16 +233,17 @@ class LineDedupIndex:
         filters = frequent.withColumn("shard", _shard(n_shards)).groupBy("shard").applyInPandas(fill, "shard long, slots binary")
         return cls(spark, scratch, counts, scratch.keep(filters, "filters_0"), n_shards, min_docs, broadcast_bytes)
 
-    def insert(self, docs: DataFrame, text: str = "text") -> LineDedupIndex:
-        return self._change(docs, text, 1)
+    def insert(self, docs: DataFrame, text: str = "text", key: str | None = None) -> LineDedupIndex:
+        """Add documents that the index does not hold."""
+        return self._change(docs, text, key, 1)
 
-    def delete(self, docs: DataFrame, text: str = "text") -> LineDedupIndex:
+    def delete(self, docs: DataFrame, text: str = "text", key: str | None = None) -> LineDedupIndex:
         """Take back documents that were inserted, with the texts they had."""
-        return self._change(docs, text, -1)
+        return self._change(docs, text, key, -1)
 
-    def _change(self, docs: DataFrame, text: str, sign: int) -> LineDedupIndex:
+    def _change(self, docs: DataFrame, text: str, key: str | None, sign: int) -> LineDedupIndex:
         v, least = self.version + 1, self.min_docs
-        delta = line_counts(docs, text).select("h1", "h2", (F.col("n_docs") * sign).alias("d"))
+        delta = line_counts(docs, text, key).select("h1", "h2", (F.col("n_docs") * sign).alias("d"))
         both = self.counts.join(delta, ["h1", "h2"], "full").select("h1", "h2", F.coalesce("n_docs", F.lit(0)).alias("old"), F.coalesce("d", F.lit(0)).alias("d"))
         both = self.scratch.keep(both.withColumn("n_docs", F.col("old") + F.col("d")), f"change_{v}")
         if not both.where("n_docs < 0").isEmpty():
@@ -268,7 +302,7 @@ class LineDedupIndex:
             wrong = self._exceptions(shards).limit(most + 1).collect() if shards else []  # all of them, or one too many
             if len(wrong) <= most:
                 return self._probe(docs, text, shards, {(r.h1, r.h2) for r in wrong})
-        return self._join(docs, text, key)
+        return self._routed(docs, text, key)
 
     def _probe(self, docs: DataFrame, text: str, shards: dict[int, CuckooFilter], wrong: set[tuple[int, int]]) -> DataFrame:
         n_shards = self.n_shards
@@ -282,28 +316,43 @@ class LineDedupIndex:
 
         return map_docs(docs, text, [T.StructField(c, T.LongType()) for c in MADE], lambda part: _drop_lines(texts(part.column(text)), drops), replace_text=True)
 
-    def _join(self, docs: DataFrame, text: str, key: str) -> DataFrame:
-        """The exact way for filters of any size: shuffles line keys, then documents with hits."""
+    def _routed(self, docs: DataFrame, text: str, key: str) -> DataFrame:
+        """For filters of any size: line keys go to their shard's filter, what it
+        lets through is verified by the counts, and documents get their hits.
 
-        def keys(batches):
-            for batch in batches:
-                for part in text_slices(batch, text):
-                    ids, found = [], []
-                    for i, body in zip(part.column(key).to_pylist(), texts(part.column(text))):
-                        own = set(map(line_key, body.split(b"\n"))) - {b""}
-                        found += own
-                        ids += [i] * len(own)
-                    h1, h2 = _digests(found)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids, part.column(key).type), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], [key, "h1", "h2"])
+        A shard's keys are dealt to as many tasks as give every task a part; each
+        of them gets the shard's filter first and then its keys, a batch at a time."""
+        spread = max(1, -(-partitions(self.spark) // self.n_shards))
+        rows = packed(docs, text, key)
+        own = _line_keys(rows, TEXT, KEY).select(_shard(self.n_shards).alias("shard"), F.pmod("h1", F.lit(spread)).cast("int").alias("part"), "id", "h1", "h2", F.lit(None).cast("binary").alias("slots"))
+        filters = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("part"), F.lit(None).cast(own.schema["id"].dataType).alias("id"), F.lit(None).cast("long").alias("h1"), F.lit(None).cast("long").alias("h2"), "slots")
+        both = filters.unionByName(own).withColumn("order", F.col("slots").isNull())
+        both = both.repartition(max(partitions(self.spark), self.n_shards * spread), "shard", "part").sortWithinPartitions("shard", "part", "order").drop("order")
 
-        own = map_arrow(docs.select(key, text), keys, T.StructType([docs.schema[key], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
+        def run(batches):
+            shard = cuckoo = None
+            for batch in batches:
+                shards, h1, h2 = (pc.fill_null(batch.column(c), 0).to_numpy() for c in ("shard", "h1", "h2"))
+                slots = batch.column("slots")
+                hit = np.zeros(len(batch), bool)
+                cuts = runs(batch, ["shard", "part"])
+                for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+                    if slots[lo].is_valid:
+                        shard, cuckoo = shards[lo], CuckooFilter.load(slots[lo].as_py())
+                        lo += 1
+                    if hi > lo and shard == shards[lo]:  # a shard without a filter has no frequent key
+                        hit[lo:hi] = cuckoo.contains(h1[lo:hi].view(np.uint64), h2[lo:hi].view(np.uint64))
+                kept = batch.filter(pa.array(hit))
+                yield pa.RecordBatch.from_arrays([kept.column(c) for c in ("id", "h1", "h2")], ["id", "h1", "h2"])
+
+        maybe = map_arrow(both, run, T.StructType([T.StructField("id", own.schema["id"].dataType), T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType())]))
         frequent = self.counts.where(F.col("n_docs") >= self.min_docs).select("h1", "h2")
-        hits = own.join(frequent, ["h1", "h2"]).groupBy(key).agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
-        both = docs.join(hits.withColumnRenamed(key, "_key"), F.col("_key").eqNullSafe(docs[key]), "left").drop("_key")
+        hits = maybe.join(frequent, ["h1", "h2"]).groupBy("id").agg(F.collect_set(F.struct("h1", "h2")).alias("hits"))  # lines of one document
+        with_hits = rows.join(hits, F.col("id").eqNullSafe(F.col(KEY)), "left").drop("id")
 
         def work(part):
             out: list[list] = [[], [], []]
-            for body, hits in zip(texts(part.column(text)), part.column("_hits").to_pylist()):
+            for body, hits in zip(texts(part.column(TEXT)), part.column("hits").to_pylist()):
                 bad = {(h["h1"], h["h2"]) for h in hits or ()}
 
                 def drops(found, bad=bad):
@@ -314,7 +363,8 @@ class LineDedupIndex:
                     all_rows += one.to_pylist()
             return [pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())]
 
-        return map_docs(both, text, [T.StructField(c, T.LongType()) for c in MADE], work, replace_text=True).drop("_hits")
+        done = map_docs(with_hits, TEXT, [T.StructField(c, T.LongType()) for c in MADE], work, replace_text=True)
+        return unpacked(done, docs.columns, text, *MADE)
 
 
 def _shard(n_shards: int):
@@ -337,7 +387,8 @@ def _drop_lines(bodies: list[bytes], drops) -> list[pa.Array]:
     return [pa.array(kept, pa.binary()).cast(pa.string()), pa.array([len(x) for x in lines], pa.int64()), pa.array(n_dropped, pa.int64())]
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, **options) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, repeated_ids: bool = False, **options) -> DataFrame:
     """Drop from every document the lines whose key is in at least ``min_docs``
-    documents: an index over ``docs``, applied to ``docs``."""
-    return LineDedupIndex.build(docs, text, min_docs, **options).apply(docs, text, key)
+    documents: an index over ``docs``, applied to ``docs``.  Every row is a
+    document; with ``repeated_ids`` rows that repeat an id are one."""
+    return LineDedupIndex.build(docs, text, min_docs, key=key if repeated_ids else None, **options).apply(docs, text, key)

@@ -7,11 +7,13 @@ flattened into arrays (feature, threshold, leaf value by node number), so
 scoring walks all texts of a batch through one level of a tree at a time.
 
 The model is fitted on a bounded sample: about ``sample_rows`` of the labelled
-training rows by the hash of their id, each used whole.  A score reads nothing
-but the text.
+training rows by the hash of their id and text, and of every label at least
+about ``langid.LEAST_ROWS`` or all it has, each used whole.  A score reads
+nothing but the text.
 
 Cases: null and empty texts have all-zero features and a score like any other;
-a document with several labels trains once with each; null labels are left out;
+equal texts tie in score; a very long text is one row of statistics; repeated
+rows train once, a document with several labels once with each; null labels are left out;
 with no training row or a single class every score is the class share (0.5
 without rows); an empty table gives an empty result; input columns named like
 an output column are replaced.
@@ -129,7 +131,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 5, rate: f
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id", sample_rows: int = 8000, **options) -> Forest:
     """Learn from rows with text and a 0/1 label; the model's size is fixed."""
-    rows = sampled(labelled.where(F.col(label).isNotNull()), key, sample_rows)
+    rows = sampled(labelled.where(F.col(label).isNotNull()), [key, text], sample_rows, label)
 
     def count(batches):
         for batch in batches:
@@ -143,7 +145,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", key: st
         m = boost(np.frombuffer(b"".join(pdf.x)).reshape(-1, N_FEATURES), pdf.y.to_numpy(), **options)
         return pd.DataFrame({"feature": [m.feature.tobytes()], "threshold": [m.threshold.tobytes()], "value": [m.value.tobytes()], "shape": [list(m.feature.shape)], "base": [m.base]})
 
-    made = counts.groupBy().applyInPandas(train, "feature binary, threshold binary, value binary, shape array<long>, base double").collect()
+    made = counts.distinct().groupBy().applyInPandas(train, "feature binary, threshold binary, value binary, shape array<long>, base double").collect()
     if not made:
         return boost(np.zeros((0, N_FEATURES)), np.zeros(0), **options)
     row = made[0]

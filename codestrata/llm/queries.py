@@ -69,7 +69,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = line_dedup.dedup_lines(docs)
+    done = line_dedup.dedup_lines(docs, repeated_ids=True)
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -77,9 +77,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(True))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    chosen = langid.sampled(labels.where(~held_out & F.col("quality").isNotNull()), "doc_id", QUALITY_ROWS)
-    chosen = F.broadcast(chosen.limit(2 * QUALITY_ROWS))  # two numbers a row
-    model = quality.fit(docs.join(chosen, "doc_id"), sample_rows=QUALITY_ROWS)
+    chosen = langid.sampled(labels.where(~held_out & F.col("quality").isNotNull()).distinct(), ["doc_id"], QUALITY_ROWS, "quality")
+    model = quality.fit(docs.join(F.broadcast(chosen), "doc_id"), sample_rows=QUALITY_ROWS)  # two numbers a row, each row once
     done = quality.score(docs, model)
     return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -3,13 +3,16 @@
 DataFrame operations and Spark ML only.
 
 A candidate is a run of 16 or more letters, digits and ``_+/-`` that has a
-letter and a digit (access key ids need no digit), inside a word (words are
-split at blanks); or the value, of any length and alphabet up to a blank or quote,
-after a name such as password or api_key and = or : (in the same word or the word
-before).  A run inside such a value is not a candidate of its own.  Its features
-are length, character transitions, dictionary coverage, character classes, the
-path it was found in and the words before it.  A random forest, trained on
-labelled findings with the same features, gives each candidate a score.
+letter and a digit (access key ids need no digit; the lines of a key block are
+such runs), inside a word (words are split at blanks); or a token of parts with
+dots between them that begins like one (``DOTTED``); or the password of a url's
+``user:password@``; or the value, of any length and alphabet up to a blank or
+quote, after a name such as password or api_key and = or : (in the same word or
+the word before).  A run inside such a value is not a candidate of its own.  Its
+features are length, character transitions, dictionary coverage, character
+classes, the path it was found in and the words on both sides of its own place.
+A random forest, trained on labelled findings with the same features, gives each
+candidate a score.
 
 ``labelled_findings`` makes findings of known kind (keys and passwords in use;
 hashes, identifiers, placeholders and the like) from numbers by hash functions,
@@ -18,10 +21,11 @@ for want of a public labelled table; ``fit`` takes any table of its shape.
 Nothing is shuffled or collected in a scan; texts without a candidate are
 dropped by one pattern before they are split into words.
 
-Cases: null and empty texts give no row; each candidate of a word gives a row,
-repeats included; a null path counts as empty; an empty table gives an empty
-result; columns other than the key, text and path are not carried, so none can
-clash.
+Cases: null and empty texts give no row; a text of any length is split whole;
+each candidate of a word gives a row with its own surroundings, repeats
+included; a score of exactly the threshold is a secret; a null path counts as
+empty; an empty table gives an empty result; columns other than the key, text
+and path are not carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -35,6 +39,9 @@ from pyspark.sql import functions as F
 
 _RUN = "[A-Za-z0-9_+/-]"
 CANDIDATE = rf"(?<!{_RUN})(?:(?=[0-9_+/-]*[A-Za-z])(?=[A-Za-z_+/-]*[0-9]){_RUN}{{16,}}={{0,2}}|A[KS]IA[A-Z0-9]{{16}}(?!{_RUN}))"
+#: Tokens of several parts, and passwords in urls.
+DOTTED = rf"(?<!{_RUN})(?:eyJ[A-Za-z0-9_-]{{5,}}\.[A-Za-z0-9_-]{{5,}}(?:\.[A-Za-z0-9_-]+)?|SG\.[A-Za-z0-9_-]{{16,}}\.[A-Za-z0-9_-]{{16,}}|ya29\.[A-Za-z0-9_-]{{16,}})"
+IN_URL = r"://[^\s/:@\"'`]*:([^\s/@\"'`]+)@"
 #: Names that a secret is assigned to, and the value of any length and alphabet after one.
 _NAME = r"(?:passw(?:or)?d|passphrase|pwd|token|secret|credentials?|(?<![A-Za-z])(?:[A-Za-z0-9]*[_-])?(?:api|access|private|signing|auth|secret)?key)s?[0-9]*[\"'`\])]*"
 _SIGN = r"(?::=|=>|==?|:)"
@@ -62,7 +69,7 @@ AGAINST = "example|sample|dummy|test|placeholder|sha1|sha256|sha512|md5|checksum
 PREFIX = "^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|glpat-|sk_live_|sk-|rk_live_|xox[abps]-|AIza|eyJ|SG_|hf_|npm_)"
 FEATURES = (
     "length transitions consonant_vowel coverage digit_share upper_share hex_share distinct_share longest_repeat known_prefix "
-    "cue_near against_near assigned quoted path_test path_config path_depth"
+    "cue_near against_near cue_after against_after key_block in_url assigned quoted path_test path_config path_depth"
 ).split()
 
 
@@ -71,11 +78,12 @@ def _share(text: Column, pattern: str) -> Column:
 
 
 def with_features(found: DataFrame) -> DataFrame:
-    """Features of rows with candidate, word (that holds it), before (words
-    before, joined by a blank) and path."""
+    """Features of rows with candidate, ahead and behind (what its word has on
+    either side), before and after (words, joined by a blank) and path."""
     c = F.col("candidate")
-    ahead = F.expr("substring_index(word, candidate, 1)")
+    ahead = F.col("ahead")
     near = F.lower(F.concat_ws(" ", "before", ahead))
+    next_ = F.lower(F.concat_ws(" ", "behind", "after"))
     path = F.lower(F.coalesce("path", F.lit("")))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     change = "(?<=[a-z])(?=[A-Z0-9_+/=-])|(?<=[A-Z])(?=[a-z0-9_+/=-])|(?<=[0-9])(?=[A-Za-z_+/=-])|(?<=[_+/=-])(?=[A-Za-z0-9])"
@@ -93,6 +101,10 @@ def with_features(found: DataFrame) -> DataFrame:
         "known_prefix": flag(c.rlike(PREFIX)),
         "cue_near": flag(near.rlike(CUES)),
         "against_near": flag(near.rlike(AGAINST)),
+        "cue_after": flag(next_.rlike(CUES)),
+        "against_after": flag(next_.rlike(AGAINST)),
+        "key_block": flag(near.rlike("key-----|(^| )[a-z0-9+/]{60,}$|(^| )[a-z0-9+/]{60,} $")),
+        "in_url": flag(ahead.rlike("://[^/@]*:$") & F.col("behind").startswith("@")),
         "assigned": flag(near.rlike(r"[=:]\s*[\"'`]?$")),
         "quoted": flag(ahead.rlike("[\"'`]$")),
         "path_test": flag(path.rlike("test|example|sample|fixture|mock|doc|spec")),
@@ -102,28 +114,50 @@ def with_features(found: DataFrame) -> DataFrame:
     return found.withColumns(made)
 
 
+def _placed(found: str, start: str) -> Column:
+    """The strings of an array column, which follow one another in ``word``, with their places."""
+    return F.expr(
+        f"aggregate({found}, cast(array() as array<struct<c:string,at:int>>), (made, x) -> concat(made, array(struct(x as c, "
+        f"locate(x, word, if(size(made) = 0, {start}, element_at(made, -1).at + length(element_at(made, -1).c))) as at))))"
+    )
+
+
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", context: int = 3) -> DataFrame:
-    """(key, path, word_no, candidate, word, before) of every candidate."""
-    rows = docs.where(F.col(text).rlike(CANDIDATE) | F.col(text).rlike(HOLDS_VALUE)).select(F.col(key), F.col(path).cast("string").alias("path"), F.split(text, BLANKS).alias("_words"))
+    """(key, path, word_no, candidate, ahead, behind, before, after) of every candidate."""
+    holds = F.col(text).rlike(CANDIDATE) | F.col(text).rlike(DOTTED) | F.col(text).rlike(IN_URL) | F.col(text).rlike(HOLDS_VALUE)
+    rows = docs.where(holds).select(F.col(key), F.col(path).cast("string").alias("path"), F.split(text, BLANKS).alias("_words"))
     back = lambda i, n: F.when(i >= n, F.get("_words", i - n)).otherwise("")
     announced = lambda i: back(i, 1).rlike(r"[:=>]$|^is$") & F.concat_ws(" ", back(i, 2), back(i, 1)).rlike(ANNOUNCED)
-    hit = F.filter(F.transform("_words", lambda w, i: F.when(w.rlike(CANDIDATE) | w.rlike(ASSIGNED) | announced(i), i)), lambda i: i.isNotNull())
+    hit = F.filter(F.transform("_words", lambda w, i: F.when(w.rlike(CANDIDATE) | w.rlike(ASSIGNED) | w.rlike(DOTTED) | w.rlike(IN_URL) | announced(i), i)), lambda i: i.isNotNull())
     rows = rows.select("*", F.explode(hit).alias("word_no"))
     first = F.greatest(F.col("word_no") - context, F.lit(0))
-    rows = rows.select(key, "path", "word_no", F.get("_words", F.col("word_no")).alias("word"), F.array_join(F.slice("_words", first + 1, F.col("word_no") - first), " ").alias("before"))
+    before = F.array_join(F.slice("_words", first + 1, F.col("word_no") - first), " ")
+    after = F.array_join(F.slice("_words", F.col("word_no") + 2, F.lit(context)), " ")
+    rows = rows.select(key, "path", "word_no", F.get("_words", F.col("word_no")).alias("word"), before.alias("before"), after.alias("after"))
     whole = F.regexp_extract("word", rf"^[\"'`]?({_VALUE})", 1)
     last = F.element_at(F.split("before", " "), -1)
     told = last.rlike(r"[:=>]$|^is$") & F.col("before").rlike(ANNOUNCED)
-    values = F.concat(F.regexp_extract_all("word", F.lit(ASSIGNED), F.lit(1)), F.when(told & ~F.col("word").rlike(ASSIGNED), F.array(whole)).otherwise(F.array().cast("array<string>")))
-    values = F.filter(F.transform(values, lambda v: F.regexp_replace(v, r"[,;.)\]}>]+$", "")), lambda v: v.rlike("[A-Za-z0-9]"))
-    rows = rows.withColumn("_values", values)
-    runs = F.filter(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0)), lambda r: ~F.exists("_values", lambda v: v.contains(r)))
-    return rows.withColumn("candidate", F.explode(F.concat(runs, "_values"))).drop("_values")
+    extract = lambda pattern, group: F.regexp_extract_all("word", F.lit(pattern), F.lit(group))
+    rows = rows.withColumns({"_runs": extract(CANDIDATE, 0), "_dotted": extract(DOTTED, 0), "_sets": extract(ASSIGNED, 0), "_values": extract(ASSIGNED, 1), "_urls": extract(IN_URL, 0), "_inner": extract(IN_URL, 1)})
+    rows = rows.withColumns({c: _placed(c, "1") for c in ("_runs", "_dotted", "_sets", "_urls")})
+    # a value is the end of what its pattern matched; punctuation after it is none of its own
+    value = F.expr("zip_with(_sets, _values, (s, v) -> struct(v as c, s.at + length(s.c) - length(v) as at))")
+    inner = F.expr("zip_with(_urls, _inner, (s, v) -> struct(v as c, s.at + length(s.c) - length(v) - 1 as at))")
+    kind = "array<struct<c:string,at:int>>"
+    opened = F.length(F.regexp_extract("word", "^[\"'`]?", 0)) + 1
+    alone = F.when(told & (F.size("_values") == 0), F.array(F.struct(whole.alias("c"), opened.alias("at")))).otherwise(F.array().cast(kind))
+    rows = rows.withColumn("_told", F.concat(value.cast(kind), alone.cast(kind)))
+    rows = rows.withColumn("_told", F.filter(F.transform("_told", lambda x: F.struct(F.regexp_replace(x.c, r"[,;.)\]}>]+$", "").alias("c"), x.at.alias("at"))), lambda x: x.c.rlike("[A-Za-z0-9]")))
+    inside = lambda x, held: F.exists(held, lambda v: (v.at <= x.at) & (x.at + F.length(x.c) <= v.at + F.length(v.c)))
+    rows = rows.withColumn("_told", F.concat("_told", F.filter(F.concat(inner.cast(kind), F.col("_dotted").cast(kind)), lambda x: ~inside(x, "_told"))))
+    rows = rows.withColumn("_found", F.explode(F.concat(F.filter(F.col("_runs").cast(kind), lambda x: ~inside(x, "_told")), "_told")))
+    at, size = F.col("_found.at"), F.length("_found.c")
+    return rows.select(key, "path", "word_no", F.col("_found.c").alias("candidate"), F.substring("word", F.lit(1), at - 1).alias("ahead"), F.substring("word", at + size, F.length("word")).alias("behind"), "before", "after")
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
-    """``rows`` findings of known kind, the same in every run: candidate, word,
-    before, path and label (1: a secret)."""
+    """``rows`` findings of known kind, the same in every run: candidate, ahead,
+    behind, before, after, path and label (1: a secret)."""
     h = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")), 256)
     part = lambda lo, n: F.conv(F.substring(h, lo, n), 16, 10).cast("long")
     pick = lambda lo, *values: F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), (part(lo, 4) % len(values) + 1).cast("int"))
@@ -150,7 +184,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     letters = F.substring(F.translate(F.sha2(F.concat(h, F.lit("l")), 256), "0123456789", "ghjkmnpqrs"), 1, (part(24, 4) % 20 + 8).cast("int"))
     simple = F.concat(F.substring(made_up, 1, (part(32, 2) % 3 + 4).cast("int")), (part(20, 3) % 1000).cast("string"))
     empty = pick(28, "null", "none", "true", "false", "required", "changeme", "***x***", "<password>", "${PASSWORD}", "xxxxxxxx", "string", "str", "os.environ['KEY']", "get_password()", "optional")
-    kinds = [  # label, candidate, text before it in its word, words before
+    said_after = pick(3, "is the token", "as api key", "is my password", "(secret)", "is the access_key to")
+    told_after = pick(3, "is the commit", "(sha256)", "checksum of it", "as trace id", "is the image hash", "of this build")
+    jwt = F.concat(F.lit("eyJ"), F.substring(base64, 1, 12), F.lit("."), F.substring(base64, 13, (part(24, 2) % 20 + 8).cast("int")), F.lit("."), F.substring(hexed, 1, 14))
+    line = F.concat(base64, F.substring(F.base64(F.unhex(F.sha2(F.concat(h, F.lit("k")), 256))), 1, 21))
+    at_host = pick(7, "postgres://app:", "https://user:", "amqp://guest:", "mongodb+srv://svc:")
+    kinds = [  # label, candidate, text before it in its word, words before; for some also the words after
+        (1, hexed, F.lit(""), plain, said_after), (1, base64, F.lit(""), plain, said_after), (0, hexed, F.lit(""), plain, told_after), (0, base64, F.lit(""), plain, told_after),
+        (1, jwt, pick(7, "", "Bearer", '"'), pick(11, plain, cue)), (1, line, F.lit(""), F.lit("RSA PRIVATE KEY-----")), (1, line, F.lit(""), F.concat_ws(" ", F.reverse(line), line)),
+        (1, mixed, at_host, plain), (1, marked, at_host, plain), (1, letters, at_host, plain), (0, empty, at_host, plain), (0, F.lit("password"), at_host, plain),
         (1, hexed, F.lit('"'), cue), (1, hexed, pick(7, "password=", "token=", "secret:", "pwd="), plain), (1, base64, F.lit('"'), cue),
         (1, base64, pick(7, "password=", "token=", "apikey="), plain), (1, F.concat(F.lit("AKIA"), F.substring(base32, 1, 16)), F.lit(""), plain),
         (1, F.concat(pick(7, "ghp_", "sk_live_", "xoxb-", "AIza", "hf_"), F.substring(base64, 1, 36)), F.lit(""), plain),
@@ -163,10 +205,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
     n = F.col("id") % len(kinds)
     choose = lambda k: F.element_at(F.array(*[kind[k] for kind in kinds]), (n + 1).cast("int"))
     label = F.element_at(F.array(*[F.lit(float(kind[0])) for kind in kinds]), (n + 1).cast("int"))
+    after = F.element_at(F.array(*[kind[4] if len(kind) > 4 else pick(55, made_up, plain, word(33), told_after if kind[0] else plain) for kind in kinds]), (n + 1).cast("int"))
     path = pick(21, "src0", "app/config/settings.env", "tests/fixtures/a.txt", "docs/example.md", "deploy/secrets.yml", "src/main.py", "")
-    rows_ = spark.range(0, rows, 1, 4).select("id", choose(1).alias("candidate"), F.concat(choose(2), choose(1), F.lit('"')).alias("word"), choose(3).alias("before"), path.alias("path"), label.alias("label"))
-    assigned = F.col("word").rlike(ASSIGNED) | F.col("before").rlike(ANNOUNCED)
-    return rows_.where(F.col("candidate").rlike(CANDIDATE) | assigned)
+    rows_ = spark.range(0, rows, 1, 4).select("id", choose(1).alias("candidate"), choose(2).alias("ahead"), choose(3).alias("before"), after.alias("after"), path.alias("path"), label.alias("label"))
+    rows_ = rows_.withColumn("behind", F.when(F.col("ahead").contains("://"), "@db.internal/x").otherwise('"'))
+    word_ = F.concat("ahead", "candidate", "behind")
+    assigned = word_.rlike(ASSIGNED) | word_.rlike(IN_URL) | F.col("before").rlike(ANNOUNCED)
+    return rows_.where(F.col("candidate").rlike(CANDIDATE) | F.col("candidate").rlike(DOTTED) | assigned)
 
 
 def fit(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 7) -> PipelineModel:

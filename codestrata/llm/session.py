@@ -7,6 +7,7 @@ of a cluster can read, so a lost executor costs only its running tasks.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -22,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set (tests)."""
+    """The cluster's shared folder; a temporary one only where none is set and
+    driver and tasks are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = getattr(context, "_codestrata_shared", None) or "file://" + tempfile.mkdtemp(prefix="codestrata-")
+        context._codestrata_shared = found
     return found.rstrip("/")
 
 

@@ -6,7 +6,7 @@ DataFrame operations only.
   rule that fits: a rule ``host/path`` fits its host and all subdomains if the
   url's path starts with the rule's.
 * ``mine`` runs Spark's FP-growth over the tokens of labelled urls and their
-  label, and keeps rules tokens -> label by confidence, support and length; a
+  label, and keeps rules tokens -> label by confidence and support; a
   rule is dropped if a rule of fewer of its tokens says the same at least as
   surely.
 * ``judge`` matches rules by an inverted index token -> rules.  A url's tokens
@@ -18,9 +18,11 @@ What is collected is bounded by support: at most (tokens of a url) / support
 tokens can be in a rule.
 
 Cases: a null url or one without ``://`` has empty host and path, no rule and no
-token, and gets the default verdict; repeated urls are judged alike; without
-labelled urls nothing is mined and the default stands; input columns named like
-an output column are replaced.
+token, and gets the default verdict; a url of any length and with any
+characters (blanks too) is taken whole; repeated urls are judged alike; of rules
+that tie the first in order decides; without labelled urls nothing is mined and
+the default stands; an empty table gives an empty result; input columns named
+like an output column are replaced, others are carried whatever their names.
 """
 
 from __future__ import annotations
@@ -31,11 +33,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import rest_of
+from .arrow import ROW, column, rest_of
 from .session import Scratch
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MADE = ("host", "path", "rule", "verdict", "evidence")
+#: Before a label among the items, which no token begins with.
+_LABEL = "label="
 
 
 @dataclass(frozen=True)
@@ -106,31 +110,49 @@ def with_rules(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
     return pages.withColumn("rule", rule if rules else F.lit(None).cast("string")).withColumn("verdict", verdict if rules else F.lit(None).cast("string"))
 
 
+def _alike(scratch: Scratch, rows: DataFrame, least: float) -> DataFrame:
+    """(first, tokens): frequent tokens by the rows they are in; those of exactly the same rows go together."""
+    each = rows.select(F.explode("tokens").alias("token"), F.xxhash64("id").cast("decimal(38,0)").alias("h"))
+    each = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("h").alias("h")).where(F.col("n") >= least)
+    return scratch.keep(each.groupBy("n", "h").agg(F.min("token").alias("first"), F.array_sort(F.collect_list("token")).alias("tokens")), "alike")
+
+
 def mine(scratch: Scratch, labelled: DataFrame, min_support: float = 0.02, min_confidence: float = 0.8, max_tokens: int | None = None) -> DataFrame:
     """Rules (key, tokens, label, support, confidence) from rows of tokens and label.
 
-    ``key`` is the sorted tokens joined by a blank; ``support`` counts rows."""
-    rows = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("label="), "label"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(rows).freqItemsets
-    labels = F.filter("items", lambda x: x.startswith("label="))
-    rest = F.array_sort(F.filter("items", lambda x: ~x.startswith("label=")))
-    sets = sets.select(F.element_at(F.concat(labels, F.array(F.lit(""))), 1).alias("label"), rest.alias("tokens"), "freq").where((F.size("tokens") >= 1) & (F.size("tokens") <= (max_tokens or F.size("tokens"))))
-    sets = scratch.keep(sets.withColumn("key", F.array_join("tokens", " ")), "sets")
-    whole = sets.where("label = ''").select("key", F.col("freq").alias("n"))
-    rules = sets.where("label <> ''").join(whole, "key").select("key", "tokens", F.substring("label", 7, 1000).alias("label"), F.col("freq").alias("support"), (F.col("freq") / F.col("n")).alias("confidence"))
+    ``key`` is the sorted tokens joined by a blank, to be read only; ``support``
+    counts rows.  Of tokens that are in exactly the same rows only the first is
+    mined, and its rules are copied for the others: a rule with two of them is
+    never shorter than it could be."""
+    rows = scratch.keep(labelled.select(F.monotonically_increasing_id().alias("id"), F.array_distinct("tokens").alias("tokens"), "label"), "labelled")
+    alike = _alike(scratch, rows, min_support * rows.count())
+    firsts = F.array(*[F.lit(r[0]) for r in alike.select("first").sort("first").collect()]).cast("array<string>")  # bounded by support
+    items = rows.select(F.concat(F.array_intersect("tokens", firsts), F.array(F.concat(F.lit(_LABEL), "label"))).alias("items"))
+    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(items).freqItemsets
+    labels = F.filter("items", lambda x: x.startswith(_LABEL))
+    rest = F.array_sort(F.filter("items", lambda x: ~x.startswith(_LABEL)))
+    sets = sets.select(F.get(labels, F.lit(0)).alias("label"), rest.alias("tokens"), "freq").where((F.size("tokens") >= 1) & (F.size("tokens") <= (max_tokens or F.size("tokens"))))
+    sets = scratch.keep(sets, "sets")
+    whole = sets.where("label IS NULL").select("tokens", F.col("freq").alias("n"))
+    rules = sets.where("label IS NOT NULL").join(whole, "tokens").select("tokens", F.expr(f"substring(label, {len(_LABEL) + 1})").alias("label"), F.col("freq").alias("support"), (F.col("freq") / F.col("n")).alias("confidence"))
     rules = scratch.keep(rules.where(F.col("confidence") >= min_confidence), "rules")
     # every proper subset of a rule's tokens: drop one token, and from those one more, ...
-    smaller = rules.select("key", "label", "confidence", "tokens", F.col("tokens").alias("part"))
+    smaller = rules.select("label", "confidence", "tokens", F.col("tokens").alias("part"))
     parts = None
     longest = rules.agg(F.max(F.size("tokens"))).first()[0] or 1
     for _ in range(longest - 1):
-        smaller = smaller.where(F.size("part") > 1).select("key", "label", "confidence", F.explode(F.transform("part", lambda t: F.array_remove(F.col("part"), t))).alias("part")).distinct()
+        smaller = smaller.where(F.size("part") > 1).select("tokens", "label", "confidence", F.explode(F.transform("part", lambda t: F.array_remove(F.col("part"), t))).alias("part")).distinct()
         parts = smaller if parts is None else parts.unionByName(smaller)
-    if parts is None:
-        return rules
-    simple = rules.select(F.col("key").alias("_key"), F.col("label").alias("_label"), F.col("confidence").alias("_confidence"))
-    needless = parts.join(simple, (F.array_join("part", " ") == F.col("_key")) & (F.col("label") == F.col("_label")) & (F.col("_confidence") >= F.col("confidence")), "left_semi")
-    return scratch.keep(rules.join(needless.select("key", "label").distinct(), ["key", "label"], "left_anti"), "pruned")
+    if parts is not None:
+        simple = rules.select(F.col("tokens").alias("part"), "label", F.col("confidence").alias("_confidence"))
+        needless = parts.join(simple, ["part", "label"]).where("_confidence >= confidence")
+        rules = rules.join(needless.select("tokens", "label").distinct(), ["tokens", "label"], "left_anti")
+    rules = scratch.keep(rules, "pruned")
+    other = rules.select("label", "support", "confidence", F.col("tokens").alias("mined"), F.posexplode("tokens").alias("at", "first")).join(alike.select("first", F.col("tokens").alias("same")), "first")
+    other = other.groupBy("label", "support", "confidence", "mined").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "same"))), lambda x: x.same).alias("choices"))
+    every = F.expr("explode(aggregate(choices, array(cast(array() as array<string>)), (made, same) -> flatten(transform(made, x -> transform(same, y -> concat(x, array(y)))))))")
+    rules = other.select(every.alias("tokens"), "label", "support", "confidence").withColumn("tokens", F.array_sort("tokens"))
+    return scratch.keep(rules.select(F.array_join("tokens", " ").alias("key"), "tokens", "label", "support", "confidence"), "all_rules")
 
 
 def judge(scratch: Scratch, pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
@@ -138,16 +160,17 @@ def judge(scratch: Scratch, pages: DataFrame, rules: DataFrame, url: str = "url"
     surest matching mined rule, whose key is ``evidence``, else by ``default``."""
     indexed = [r[0] for r in rules.select(F.explode("tokens").alias("t")).distinct().sort("t").collect()]  # bounded by support
     known = F.array(*[F.lit(t) for t in indexed]).cast("array<string>")
-    signature = F.when(F.col("verdict").isNull(), F.array_join(F.array_sort(F.array_intersect(tokens(F.col(url)), known)), " "))
-    pages = pages.withColumn("_signature", signature)
-    postings = rules.select(F.explode("tokens").alias("token"), "key", "label", "support", "confidence", F.size("tokens").alias("size"))
-    wanted = pages.where("_signature <> ''").select(F.col("_signature").alias("signature")).distinct()
-    hits = wanted.select("signature", F.explode(F.split("signature", " ")).alias("token")).join(postings, "token")
-    full = hits.groupBy("signature", "key", "label", "support", "confidence", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size")
-    best = full.groupBy("signature").agg(F.min_by(F.struct("label", "key"), F.struct(-F.col("confidence"), -F.col("support"), "size", "key", "label")).alias("best"))
-    best = scratch.keep(best.select(F.col("signature").alias("_signature"), F.col("best.label").alias("_label"), F.col("best.key").alias("evidence")), "judged")
-    done = pages.join(best, "_signature", "left")
-    return done.withColumn("verdict", F.coalesce("verdict", "_label", F.lit(default))).drop("_signature", "_label")
+    decided = pages.where("verdict IS NOT NULL").withColumn("evidence", F.lit(None).cast("string"))
+    open_ = pages.where("verdict IS NULL").select(F.struct(*[column(c) for c in pages.columns]).alias(ROW), F.array_sort(F.array_intersect(tokens(column(url)), known)).alias("_signature"))
+    postings = rules.select(F.explode("tokens").alias("token"), F.col("tokens").alias("rule"), "key", "label", "support", "confidence", F.size("tokens").alias("size"))
+    wanted = open_.select(F.col("_signature").alias("signature")).where(F.size("signature") > 0).distinct()
+    hits = wanted.select("signature", F.explode("signature").alias("token")).join(postings, "token")
+    full = hits.groupBy("signature", "rule", "key", "label", "support", "confidence", "size").agg(F.count(F.lit(1)).alias("n")).where("n = size")
+    best = full.groupBy("signature").agg(F.min_by(F.struct("label", "key"), F.struct(-F.col("confidence"), -F.col("support"), "size", "key", "rule", "label")).alias("best"))
+    best = scratch.keep(best.select(F.col("signature").alias("_signature"), F.col("best.label").alias("_label"), F.col("best.key").alias("_evidence")), "judged")
+    done = open_.join(best, "_signature", "left")
+    given = [F.coalesce(F.col("_label"), F.lit(default)).alias(c) if c == "verdict" else F.col(ROW).getField(c).alias(c) for c in pages.columns]
+    return decided.unionByName(done.select(*given, F.col("_evidence").alias("evidence")))
 
 
 def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] = RULES, labelled: DataFrame | None = None, min_support: float = 0.02, min_confidence: float = 0.8, max_tokens: int | None = None, default: str = "allow") -> DataFrame:
@@ -156,9 +179,11 @@ def filter_urls(pages: DataFrame, url: str = "url", rules: tuple[UrlRule, ...] =
     ``labelled``: rows (url, label) to mine; by default the pages on which a
     given rule decides, with its verdict."""
     scratch = Scratch(pages.sparkSession, "urls")
-    ruled = with_rules(pages, url, rules)
+    pages = rest_of(pages, *MADE)
+    rows = pages.select(column(url).alias("url"), F.struct(*[column(c) for c in pages.columns]).alias("page"))
+    ruled = with_rules(rows, "url", rules)
     if labelled is None:
-        labelled = ruled.where("verdict IS NOT NULL").select(F.col(url).alias("url"), F.col("verdict").alias("label"))
+        labelled = ruled.where("verdict IS NOT NULL").select("url", F.col("verdict").alias("label"))
     labelled = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(tokens(F.col("url")).alias("tokens"), "label")
-    mined = mine(scratch, labelled, min_support, min_confidence, max_tokens)
-    return judge(scratch, ruled, mined, url, default)
+    done = judge(scratch, ruled, mine(scratch, labelled, min_support, min_confidence, max_tokens), "url", default)
+    return done.select(*[F.col("page").getField(c).alias(c) for c in pages.columns], *MADE)
