@@ -1,5 +1,5 @@
 """Operators for building language-model training corpora.
 
-Self-contained: nothing outside this subpackage imports it, and it can be
+Nothing outside this subpackage imports it (it uses only ``codestrata.ship``), and it can be
 deleted without touching the source-structure engine.
 """

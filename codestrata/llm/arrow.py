@@ -18,6 +18,9 @@ from ..ship import ship
 
 #: Bytes of text looked at in one go.  A longer text is still taken whole.
 SLICE_BYTES = 2 << 20
+#: Bytes of a batch handed to Python, about; Spark's own bound is rows only.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def _release() -> None:
@@ -135,8 +138,13 @@ def unpacked(rows: DataFrame, columns: list[str], text: str | None, *made: str)
 
 
 def map_arrow(frame: DataFrame, run, schema) -> DataFrame:
-    """``mapInArrow`` of a function that workers can load, tidying up after itself."""
-    ship(frame.sparkSession)
+    """``mapInArrow`` of a function that workers can load, tidying up after itself.
+
+    Batches are bounded in bytes, by a setting of the session unless it has its own."""
+    spark = frame.sparkSession
+    ship(spark)
+    if not spark.sparkContext.getConf().contains(_BATCH_SETTING):
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return frame.mapInArrow(tidy(run), schema)
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of one key that one task may be given; larger keys are dealt in blocks.
 BLOCK_ROWS = 4096
+#: 2^19 longs, 4 MB, whatever is filtered.
+FILTER_BITS = 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,3 +92,16 @@ def split_hot(scratch: Scratch, rows: DataFrame, key: str, salt: str, block: int
     dealt = rows.join(hot, key, "left").withColumn("b", F.coalesce(b, F.lit(0)))
     dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("s"), F.lit(1)) - 1)))
     return dealt.withColumns({"bi": F.least("b", "o"), "bj": F.greatest("b", "o")}).drop("s", "o")
+
+
+def without(scratch: Scratch, rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone`` (a stored table of that one column).
+
+    A filter of 2^FILTER_BITS longs, the same at any size, is broadcast; only rows
+    that it lets through are shuffled to be compared."""
+    h = F.xxhash64(key)
+    word, bit = F.shiftrightunsigned(h, 64 - FILTER_BITS), F.expr(f"shiftleft(1L, cast(xxhash64(`{key}`) & 63 as int))")
+    words = scratch.keep(gone.groupBy(word.alias("_word")).agg(F.bit_or(bit).alias("_bits")), "filter")
+    marked = rows.join(F.broadcast(words), word == F.col("_word"), "left").withColumn("_maybe", F.coalesce("_bits", F.lit(0)).bitwiseAND(bit) != 0)
+    kept = marked.where(~F.col("_maybe")).select(*rows.columns)
+    return kept.unionByName(marked.where("_maybe").select(*rows.columns).join(gone, key, "left_anti").select(*rows.columns))

@@ -129,7 +129,7 @@ class GrayIndex:
     first ``exact`` words no difference is allowed."""
 
     def __init__(self, codes: np.ndarray, exact: int = 0):
-        codes = codes.reshape(len(codes), -1)
+        codes = codes if codes.ndim == 2 else codes[:, None]
         self.order = np.lexsort(gray_rank(codes).T[::-1])
         self.codes = [np.ascontiguousarray(codes[self.order, w]) for w in range(codes.shape[1])]
         self.size, self.exact = len(codes), exact
@@ -151,7 +151,7 @@ class GrayIndex:
 
     def search(self, queries: np.ndarray, radius: int, batch: int = 2048):
         """Yield (query position, code position) pairs within ``radius``, in pieces."""
-        queries = queries.reshape(len(queries), -1)
+        queries = queries if queries.ndim == 2 else queries[:, None]
         for lo in range(0, len(queries) if self.size else 0, batch):
             own = [np.ascontiguousarray(queries[lo : lo + batch, w]) for w in range(queries.shape[1])]
             q = np.arange(len(own[0]))
