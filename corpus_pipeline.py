@@ -9,7 +9,8 @@ Cases, for every stage: other columns are carried untouched, whatever their
 names; rows with nulls stay unless the stage's decision is about the null (a
 null text has no letter, so language ID drops it); rows that repeat an id are
 one document and stay or go together; a null id is never a copy of another
-document; an empty table gives an empty one.
+document; a text of any length is one text, taken whole; of copies that tie the
+smallest id stays; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codestrata.llm import bpe, decontaminate, langid, line_dedup, near_copies, queries
-from codestrata.llm.session import Scratch, table
+from codestrata.llm.session import Scratch, table, without
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -39,15 +40,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least 10 documents go; every document stays."""
-    done = _unpacked(line_dedup.dedup_lines(_packed(docs)), docs)
+    done = _unpacked(line_dedup.dedup_lines(_packed(docs), repeated_ids=True), docs)
     return done.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word similarity of 0.8 or more) the document with the smallest id stays."""
+    scratch = Scratch(spark, "copies")
     groups = near_copies.near_copies(docs.select("doc_id", "text"))
-    copies = groups.where("doc_id <> component_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    copies = scratch.keep(groups.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    return _unpacked(without(scratch, _packed(docs), "doc_id", copies), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
