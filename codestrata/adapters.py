@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 PROJECT_ALIASES = [("p", "tsconfig.json", "", [(0, "@lib/", "", True, 0, "missing/*"), (0, "@lib/", "", True, 1, "lib/*"), (1, "only", "", False, 0, "lib/part1")], 2)]
@@ -89,13 +90,13 @@ paths AS (SELECT 's' || l_suppkey AS project_id, repeat('d/', CAST(l_linenumber
 
 
 def customer_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nations are projects, customers folders, some of their orders files."""
-    customer, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    """Nations are projects, customers folders, the events of the user with the customer's number files."""
+    customer, events = table(spark, sf_dir, "customer"), table(spark, sf_dir, "events")
     folder = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
     project = F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
     dirs = customer.select(project.alias("project_id"), folder.alias("rel_path"), folder.alias("name"), F.lit("").alias("parent"), F.lit(1).alias("depth"), F.lit("dir").alias("kind"), F.lit(None).cast("long").alias("size"))
-    name = F.concat(F.lit("o"), F.col("o_orderkey").cast("string"))
-    kept = orders.where("o_orderstatus = 'F' AND o_totalprice > 400000").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    name = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    kept = events.join(customer, F.col("user_id") == F.col("c_custkey"))
     files = kept.select(project.alias("project_id"), F.concat(folder, F.lit("/"), name).alias("rel_path"), name.alias("name"), folder.alias("parent"), F.lit(1).alias("depth"), F.lit("file").alias("kind"), F.lit(1).cast("long").alias("size"))
     return dirs.unionByName(files).withColumn("readable", F.lit(True))
 
@@ -131,7 +132,7 @@ BASE_SQL = "regexp_replace(regexp_replace(name, '\\.[^.]+$', ''), '\\.[^.]+$', '
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: a supplier imports the supplier of the next line of an order; one project a year."""
     line = table(spark, sf_dir, "lineitem")
-    a = line.where("l_quantity >= 47 AND l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("n"), F.year("l_shipdate").cast("string").alias("project_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_path"))
+    a = line.select("l_orderkey", F.col("l_linenumber").alias("n"), F.year("l_shipdate").cast("string").alias("project_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_path"))
     b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to_path"))
     return a.join(b, ["l_orderkey", "n"]).where("from_path <> to_path").select("project_id", "from_path", "to_path").distinct()
 
@@ -140,7 +141,7 @@ LINE_EDGES_SQL = """
 edges AS (
   SELECT DISTINCT CAST(year(a.l_shipdate) AS VARCHAR) AS project_id, 's' || a.l_suppkey AS from_path, 's' || b.l_suppkey AS to_path
   FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1
-  WHERE a.l_quantity >= 47 AND a.l_returnflag = 'R' AND a.l_suppkey <> b.l_suppkey)"""
+  WHERE a.l_suppkey <> b.l_suppkey)"""
 
 
 def supplier_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,6 +157,21 @@ nodes AS (
   FROM lineitem)"""
 
 
+def order_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges): an order imports its customer's next order, so only first orders have no importer."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), (F.col("o_custkey") % 25).cast("string")).alias("project_id"), "o_custkey", F.col("o_orderkey").alias("k"))
+    name = lambda c: F.concat(F.lit("o"), c.cast("string"))
+    nodes = orders.select("project_id", name(F.col("k")).alias("rel_path"), (F.col("k") * 7 % 500).cast("int").alias("loc"), (F.col("k") % 3 != 0).alias("exports_something"))
+    after = F.lead("k").over(W.partitionBy("o_custkey").orderBy("k"))
+    edges = orders.withColumn("after", after).where("after IS NOT NULL").select("project_id", name(F.col("k")).alias("from_path"), name(F.col("after")).alias("to_path"))
+    return nodes, edges
+
+
+ORDER_GRAPH_SQL = """
+o AS (SELECT 'c' || (o_custkey % 25) AS project_id, o_orderkey AS k, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders),
+degree AS (SELECT project_id, 'o' || k AS rel_path, CAST(k * 7 % 500 AS INTEGER) AS loc, k % 3 <> 0 AS exports_something, CASE WHEN before IS NULL THEN 0 ELSE 1 END AS fan_in FROM o) """
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     end = F.when(F.col("p_size") % 3 == 0, ".ts").when(F.col("p_size") % 3 == 1, ".tsx").otherwise("/index.js")
@@ -182,15 +198,14 @@ def document_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.concat(
         F.lit("\nimport x from \"./"), "source", F.lit("\";\n// import y from \"./no\"\n/* import z\n from './never' */ require('../"), "lang", F.lit("/z');\nexport * from './e"), i, F.lit("'; import './side'; import('./side')\n"),
     )
-    content = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.concat("text", tail))
-    return docs.select("source", F.concat(F.lit("doc_"), i, F.lit(".ts")).alias("rel_path"), content.alias("content")).select(F.col("source").alias("project_id"), "rel_path", "content")
+    return docs.select("source", F.concat(F.lit("doc_"), i, F.lit(".ts")).alias("rel_path"), F.concat("text", tail).alias("content")).select(F.col("source").alias("project_id"), "rel_path", "content")
 
 
 DOCUMENT_SOURCES_SQL = """
 sources AS (
-  SELECT source AS project_id, 'doc_' || doc_id || '.ts' AS rel_path, CASE WHEN doc_id % 50 = 0 THEN '' ELSE text || chr(10) || 'import x from "./' || source || '";' || chr(10)
+  SELECT source AS project_id, 'doc_' || doc_id || '.ts' AS rel_path, text || chr(10) || 'import x from "./' || source || '";' || chr(10)
     || '// import y from "./no"' || chr(10) || '/* import z' || chr(10) || ' from ''./never'' */ require(''../' || lang || '/z'');' || chr(10)
-    || 'export * from ''./e' || doc_id || '''; import ''./side''; import(''./side'')' || chr(10) END AS content
+    || 'export * from ''./e' || doc_id || '''; import ''./side''; import(''./side'')' || chr(10) AS content
   FROM documents)"""
 
 
@@ -207,6 +222,24 @@ def event_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 STACK_PATHS = ((2, "pnpm-lock.yaml"), (3, "yarn.lock"), (5, "src/app/page.tsx"), (7, "pages/index.tsx"), (3, "tsconfig.json"), (11, "turbo.json"), (4, "tests/a.test.ts"))
 
 
+def document_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A package.json and an alias file for each source."""
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id")).distinct()
+    package = F.concat(F.lit('{"name": "pkg-'), "project_id", F.lit('", "dependencies": {"next": "^14.2", "tailwindcss": "3"}}'))
+    files = F.array(F.struct(F.lit("package.json").alias("name"), package.alias("content")), F.struct(F.lit("tsconfig.json").alias("name"), F.lit('{"compilerOptions": {"paths": {"@/*": ["src/*"]}}}').alias("content")))
+    return sources.select("project_id", F.explode(files).alias("f")).select("project_id", "f.*")
+
+
+def layout_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as projects with the folders that decide on a layout, by their number k."""
+    events = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"), F.from_json("props", "k int").getField("k").alias("k"))
+    choose = F.array(*[F.when(F.col("k") % m == 0, p) for m, p in LAYOUT_PATHS])
+    return entries_from_paths(events.select("project_id", F.explode(F.array_compact(F.array_append(choose, F.lit("README.md")))).alias("path"), F.lit(1).cast("long").alias("size")))
+
+
+LAYOUT_PATHS = ((2, "src/app/page.tsx"), (3, "pages/index.tsx"), (5, "prisma/schema.prisma"), (7, "public/a.svg"), (11, "tests/a.test.ts"), (13, "actions/a.ts"), (17, "app/page.tsx"), (19, "src/index.ts"))
+
+
 def event_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each event as a project with an alias file; one in five is broken and has a fallback."""
     events = table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"))

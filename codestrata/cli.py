@@ -75,8 +75,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
             print(render.render_tree(rows, project))
         return 0
     if args.recommend:
-        probes = {"has_app": ("app", "src/app"), "has_pages": ("pages", "src/pages"), "has_prisma": ("prisma",), "has_src": ("src",), "has_public": ("public",), "has_tests": ("__tests__", "tests"), "has_actions": ("actions", "src/actions")}
-        flags = entries.groupBy("project_id").agg(*[F.bool_or(F.col("rel_path").isin(*p)).alias(k) for k, p in probes.items()])
+        flags = render.layout_flags(entries)
         for r in render.recommended_structure(flags).collect():
             print(f"{r.project_id}\n{r.layout}")
         return 0

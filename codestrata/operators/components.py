@@ -55,8 +55,9 @@ def tarjan(edges: list[tuple[str, str]]) -> list[list[str]]:
                 if work:
                     low[work[-1][0]] = min(low[work[-1][0]], low[node])
                 if low[node] == order[node]:
-                    cut = path.index(node)
-                    group, path[cut:] = path[cut:], []
+                    group = [path.pop()]
+                    while group[-1] != node:
+                        group.append(path.pop())
                     on_path.difference_update(group)
                     if len(group) > 1:
                         found.append(group)
@@ -77,7 +78,8 @@ def _spread(tables: Tables, edges: DataFrame) -> DataFrame:
         while True:  # trim
             n = rest.count()
             starts, ends = rest.select(*key, F.col("a").alias("b")).distinct(), rest.select(*key, F.col("b").alias("a")).distinct()
-            rest = tables.keep(rest.join(starts, [*key, "b"], "left_semi").join(ends, [*key, "a"], "left_semi").select(*key, "a", "b"))
+            before, rest = rest, tables.keep(rest.join(starts, [*key, "b"], "left_semi").join(ends, [*key, "a"], "left_semi").select(*key, "a", "b"))
+            tables.drop(before)
             if rest.count() == n:
                 break
         if not n:
@@ -87,7 +89,9 @@ def _spread(tables: Tables, edges: DataFrame) -> DataFrame:
         while True:  # the smallest label flows forward
             came = rest.join(colour.withColumnRenamed("node", "a"), [*key, "a"]).groupBy(*key, F.col("b").alias("node")).agg(F.min("colour").alias("came"))
             step = tables.keep(colour.join(came, [*key, "node"], "left").select(*key, "node", F.least("colour", "came").alias("new"), "colour"))
+            tables.drop(colour)
             if step.where("new <> colour").isEmpty():
+                colour = step.select(*key, "node", "colour")
                 break
             colour = step.select(*key, "node", F.col("new").alias("colour"))
         left = colour.select(*key, F.col("node").alias("a"), F.col("colour").alias("ca"))
@@ -97,14 +101,16 @@ def _spread(tables: Tables, edges: DataFrame) -> DataFrame:
         size = group.count()
         while True:  # what reaches the root flows backward
             back = inner.join(group.select(*key, F.col("node").alias("b"), "colour"), [*key, "b", "colour"], "left_semi").select(*key, F.col("a").alias("node"), "colour")
-            group = tables.keep(group.unionByName(back).distinct())
+            before, group = group, tables.keep(group.unionByName(back).distinct())
+            tables.drop(before)
             if (now := group.count()) == size:
                 break
             size = now
         done = group.select(*key, F.col("colour").alias("component"), "node")
         found = done if found is None else found.unionByName(done)
         gone = group.select(*key, "node")
-        rest = tables.keep(rest.join(gone.withColumnRenamed("node", "a"), [*key, "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), [*key, "b"], "left_anti").select(*key, "a", "b"))
+        before, rest = rest, tables.keep(rest.join(gone.withColumnRenamed("node", "a"), [*key, "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), [*key, "b"], "left_anti").select(*key, "a", "b"))
+        tables.drop(before, colour, inner)
     if found is None:
         return edges.sparkSession.createDataFrame([], SCHEMA)
     many = found.groupBy("project_id", "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("project_id", "component")

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, detect_style, is_script
-from ..schema import BARREL_DIRS, CONCEPTS, ISSUE_COLUMNS, ISSUE_EXTRAS, RULE_FACTS, Limits
+from ..schema import BARREL_DIRS, CONCEPTS, ISSUE_COLUMNS, ISSUE_EXTRAS, ISSUE_TYPES, RULE_FACTS, Limits
 
 # Fixed values: (file name, path, target) of misplaced files, the first that fits decides.
 MISPLACED = (
@@ -20,6 +20,7 @@ MISPLACED = (
     (r"\.(config|rc)\.(ts|js|mjs|cjs)\z|^(jest|vitest|playwright|eslint|prettier|tailwind|postcss|next)\.config", r"/(src|components|lib|utils)/", "correct directory", "configuration belongs at the project root"),
     (r"\.prisma\z", r"/(src|app|components)/", "prisma/", "a schema belongs in prisma/"),
 )
+# Names of configuration files, and of sources that may lie at the root.
 CONFIG_NAME = r"\.(config|rc)\.(ts|js|mjs|cjs|json)\z|^\.eslintrc|^\.prettierrc|^jest\.config|^vitest\.config"
 ROOT_EXEMPT = r"^(index|app|main|server|entry)\.[tj]sx?\z"
 
@@ -28,7 +29,7 @@ def issue(rows: DataFrame, rule: str, file: Column, snippet: Column, message: Co
     """Rows of the issue relation from rows with project_id."""
     facts = RULE_FACTS[rule]
     own = {
-        "rule": F.lit(rule), "severity": F.lit(facts["severity"]), "file": file, "line": F.lit(1), "snippet": snippet, "message": message, "penalty": F.lit(facts["penalty"]),
+        "rule": F.lit(rule), "type": F.lit(ISSUE_TYPES[rule][0]), "severity": F.lit(facts["severity"]), "file": file, "line": F.lit(1), "snippet": snippet, "message": message, "penalty": F.lit(facts["penalty"]),
         **{k: extras.get(k, F.lit(None)).cast(t) for k, t in ISSUE_EXTRAS.items()},
     }
     return rows.select("project_id", *[own[c].alias(c) for c in ISSUE_COLUMNS if c != "project_id"])
@@ -60,22 +61,33 @@ def _folder(path: Column) -> Column:
 def deep_nesting(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = directories(entries).where(F.col("depth") > limits.max_depth)
     text = F.format_string("Folder %s lies %d levels deep; import paths through it get long. Flatten it or add a path alias.", "rel_path", "depth")
-    return issue(rows, "deep-nesting", F.col("rel_path"), F.format_string("%d levels", "depth"), text, depth=F.col("depth"))
+    return issue(rows, "deep-nesting", F.col("rel_path"), F.col("rel_path"), text, depth=F.col("depth"))
 
 
 def fat_folder(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     limit = F.when(F.col("rel_path") == "", limits.fat_root).otherwise(limits.fat_folder)
     kids = _in_listed(entries).where("kind <> 'dir'").groupBy("project_id", F.col("parent").alias("rel_path")).agg(F.count(F.lit(1)).alias("files"))
     text = F.format_string("Folder holds %d files without any grouping. Group them by concern.", "files")
-    return issue(kids.where(F.col("files") > limit), "fat-folder", _folder(F.col("rel_path")), F.format_string("%d files", "files"), text, file_count=F.col("files"))
+    return issue(kids.where(F.col("files") > limit), "fat-folder", _folder(F.col("rel_path")), F.format_string("%d files in one directory", "files"), text, file_count=F.col("files"))
+
+
+def _samples(rows: DataFrame, found: DataFrame, top: int) -> DataFrame:
+    """``found`` folders with ``names``: an array of (kind, their first ``top`` names) in order of kind.
+    Only the folders found are looked at again, so what is gathered is bounded."""
+    key = ["project_id", "rel_path"]
+    rows = rows.select("project_id", F.col("parent").alias("rel_path"), "name", "sample").join(found.select(*key), key, "left_semi")
+    first = rows.withColumn("place", F.row_number().over(W.partitionBy(*key, "sample").orderBy("name"))).where(F.col("place") <= top)
+    first = first.groupBy(*key, "sample").agg(F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("names"))
+    return found.join(first.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("sample", "names"))).alias("names")), key)
 
 
 def naming_folders(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rows = _in_listed(entries).where("kind = 'dir'").withColumn("style", detect_style(F.col("name"))).where("style NOT IN ('special', 'dotted', 'upper')")
     found = rows.groupBy("project_id", F.col("parent").alias("rel_path")).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("style")).alias("styles"))
-    found = found.where((F.col("n") >= limits.naming_folders) & (F.size("styles") > 1))
+    found = _samples(rows.withColumn("sample", F.col("style")), found.where((F.col("n") >= limits.naming_folders) & (F.size("styles") > 1)), 3)
+    snippet = F.array_join(F.transform("names", lambda x: F.concat(x["sample"], F.lit(": "), x["names"])), "  |  ")
     text = F.concat(F.lit("Subfolders mix naming styles: "), F.array_join("styles", ", "), F.lit(". Choose one."))
-    return issue(found, "naming-mismatch", _folder(F.col("rel_path")), F.array_join("styles", " + "), text, styles=F.col("styles"))
+    return issue(found, "naming-mismatch", _folder(F.col("rel_path")), snippet, text, styles=F.col("styles"))
 
 
 def naming_files(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -84,7 +96,9 @@ def naming_files(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.bool_or(F.col("style") == "pascal").alias("pascal"), F.bool_or(F.col("style").isin("kebab", "camel")).alias("other"),
     )
     found = found.where((F.col("n") >= limits.naming_files) & F.col("pascal") & F.col("other"))
-    return issue(found, "naming-mismatch", _folder(F.col("rel_path")), F.format_string("%d files", "n"), F.lit("Files mix PascalCase with kebab-case or camelCase. Choose one style by kind of file."))
+    found = _samples(rows.where("style NOT IN ('special', 'dotted')").withColumn("sample", F.when(F.col("style") == "pascal", "PascalCase").otherwise("other")), found, 2)
+    snippet = F.array_join(F.transform("names", lambda x: F.concat(x["sample"], F.lit(": "), x["names"])), "  |  ")
+    return issue(found, "naming-mismatch", _folder(F.col("rel_path")), snippet, F.lit("Files mix PascalCase with kebab-case or camelCase. Choose one style by kind of file."))
 
 
 def misplaced_files(entries: DataFrame) -> DataFrame:
@@ -106,7 +120,7 @@ def missing_barrel(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:
     files = files.agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("name").rlike(r"^index\.[tj]sx?\z")).alias("index"))
     found = dirs.join(files.where((F.col("n") >= limits.barrel_files) & ~F.col("index")), ["project_id", "rel_path"])
     text = F.format_string("Folder %s has %d source files and no index file to import them through.", "name", "n")
-    return issue(found, "missing-barrel", F.concat("rel_path", F.lit("/")), F.format_string("%d source files, no index", "n"), text, source_file_count=F.col("n"))
+    return issue(found, "missing-barrel", F.concat("rel_path", F.lit("/")), F.format_string("%d files, no index.ts", "n"), text, source_file_count=F.col("n"))
 
 
 def duplicate_concept(entries: DataFrame) -> DataFrame:
@@ -115,13 +129,13 @@ def duplicate_concept(entries: DataFrame) -> DataFrame:
     rows = _in_listed(entries).where("kind = 'dir'").withColumn("low", F.lower("name")).join(F.broadcast(concepts), "low")  # 43 fixed rows
     found = rows.groupBy("project_id", F.col("parent").alias("rel_path"), "concept").agg(F.array_sort(F.collect_list("low")).alias("duplicates")).where(F.size("duplicates") >= 2)
     text = F.concat(F.lit("Folders for one purpose side by side: "), F.array_join("duplicates", ", "), F.lit(". Keep one."))
-    return issue(found, "duplicate-concept", _folder(F.col("rel_path")), F.array_join("duplicates", " + "), text, duplicates=F.col("duplicates"))
+    return issue(found, "duplicate-concept", _folder(F.col("rel_path")), F.array_join("duplicates", ", "), text, duplicates=F.col("duplicates"))
 
 
 def empty_dirs(entries: DataFrame) -> DataFrame:
     kids = _in_listed(entries).select("project_id", F.col("parent").alias("rel_path"))
     rows = directories(entries).where("rel_path <> ''").join(kids, ["project_id", "rel_path"], "left_anti")
-    return issue(rows, "empty-dir", _folder(F.col("rel_path")), F.lit("empty"), F.lit("Folder holds nothing. Delete it."))
+    return issue(rows, "empty-dir", _folder(F.col("rel_path")), F.lit("(empty)"), F.lit("Folder holds nothing. Delete it."))
 
 
 def root_chaos(entries: DataFrame, limits: Limits = Limits()) -> DataFrame:

@@ -30,18 +30,17 @@ def plan_removes(issues: DataFrame) -> DataFrame:
 
 def plan_guidance(issues: DataFrame) -> DataFrame:
     """(project_id, n, rule, title, detail), numbered in order; deep nesting has none."""
-    keep = F.coalesce(F.get("duplicates", F.lit(0)), F.lit("lib"))
-    rest = F.array_join(F.transform(F.slice("duplicates", F.lit(2), F.greatest(F.size("duplicates") - 1, F.lit(0))), lambda d: F.concat(d, F.lit("/"))), ", ")
+    keep, c = F.coalesce(F.get("duplicates", F.lit(0)), F.lit("lib")), F.concat
     say = {
-        "duplicate-concept": (F.concat(F.lit("Merge duplicate folders in "), "file"), F.concat(F.lit("Keep "), keep, F.lit("/ and move what is in "), rest, F.lit(" there; update imports."))),
-        "fat-folder": (F.format_string("Split %s (%d files)", "file", "file_count"), F.lit("Make subfolders by concern and re-export from an index file.")),
-        "misplaced-file": (F.concat(F.lit("Move "), "file"), F.concat(F.lit("It belongs in: "), F.coalesce("target_dir", F.lit("correct directory")))),
-        "missing-barrel": (F.concat(F.lit("Add an index to "), "file"), F.concat(F.lit("Create "), "file", F.lit("index.ts that re-exports the public members."))),
-        "naming-mismatch": (F.concat(F.lit("Unify naming in "), "file"), F.lit("Folders and utilities in kebab-case, components in PascalCase; rename with git mv.")),
-        "circular-dependency": (F.concat(F.lit("Break the import circle: "), F.array_join("cycle", " ↔ ")), F.lit("Move shared symbols into a module that imports none of these.")),
-        "god-file": (F.format_string("Split %s (%s)", "file", "snippet"), F.lit("One module per responsibility, below about 300 lines each.")),
-        "deep-relative-import": (F.concat(F.lit("Shorten an import in "), "file"), F.concat(F.lit("Add a path alias and import "), "snippet", F.lit(" through it."))),
-        "orphan-file": (F.concat(F.lit("Check and delete "), "file"), F.lit("Nothing imports it; make sure that nothing else uses it, then git rm it.")),
+        "duplicate-concept": (c(F.lit("Same purpose twice: "), "file"), c(F.array_join("duplicates", ", "), F.lit(" could all be "), keep, F.lit("/."))),
+        "fat-folder": (c(F.lit("Crowded: "), "file"), c(F.col("file_count").cast("string"), F.lit(" files side by side; a subfolder for each topic makes them findable."))),
+        "misplaced-file": (c(F.lit("Out of place: "), "file"), c(F.lit("Its kind is kept under "), F.coalesce("target_dir", F.lit("another folder")), F.lit("."))),
+        "missing-barrel": (c(F.lit("No single address: "), "file"), c(F.col("source_file_count").cast("string"), F.lit(" sources are imported one by one for want of an index file."))),
+        "naming-mismatch": (c(F.lit("Names disagree: "), "file"), c("snippet", F.lit("; settle on one style for each kind of entry."))),
+        "circular-dependency": (c(F.lit("Import circle: "), "file"), c(F.array_join("cycle", ", "), F.lit("; cut one edge by moving what both sides use below them."))),
+        "god-file": (c(F.lit("Overloaded: "), "file"), c("snippet", F.lit("; what changes for different reasons can live apart."))),
+        "deep-relative-import": (c(F.lit("Import by distance: "), "file"), c("snippet", F.lit(" breaks when either end moves; an alias names the place itself."))),
+        "orphan-file": (c(F.lit("Unreferenced: "), "file"), c("snippet", F.lit("; remove it, or write down what loads it."))),
     }
     order = title = detail = None
     for i, rule in enumerate(GUIDANCE_ORDER):
@@ -50,14 +49,14 @@ def plan_guidance(issues: DataFrame) -> DataFrame:
         title = F.when(hit, say[rule][0]) if title is None else title.when(hit, say[rule][0])
         detail = F.when(hit, say[rule][1]) if detail is None else detail.when(hit, say[rule][1])
     rows = issues.withColumns({"o": order, "title": title, "detail": detail}).where("o IS NOT NULL")
-    number = F.row_number().over(W.partitionBy("project_id").orderBy("o", "file", "title"))
+    number = F.row_number().over(W.partitionBy("project_id").orderBy("o", "file", "title", "detail"))
     return rows.select("project_id", number.alias("n"), "rule", "title", "detail")
 
 
 def migration_plan(issues: DataFrame, top: int = 12) -> DataFrame:
-    """(project_id, n, rule, source, target, remaining): the first ``top``
+    """(project_id, n, rule, source, target, why, remaining): the first ``top``
     structural actions by priority; ``remaining`` counts those not shown."""
-    facts = F.broadcast(rules(issues.sparkSession).where("migration_ord IS NOT NULL").select("rule", "migration_ord"))  # 9 fixed rows
+    facts = F.broadcast(rules(issues.sparkSession).where("migration_ord IS NOT NULL").select("rule", "migration_ord", "explanation"))  # 9 fixed rows
     rows = issues.join(facts, "rule")
     joined = F.array_join(F.transform("duplicates", lambda d: F.concat(F.col("file"), d, F.lit("/"))), " + ")
     source = (
@@ -79,8 +78,9 @@ def migration_plan(issues: DataFrame, top: int = 12) -> DataFrame:
         .when(F.col("rule") == "scattered-config", basename(F.col("file")))
         .otherwise("(delete)")
     )
-    rows = rows.withColumns({"source": source, "target": target})
+    why = F.when(F.col("rule") == "misplaced-file", F.regexp_replace("message", r"(?s)\A.*: ", "")).otherwise(F.col("explanation"))
+    rows = rows.withColumns({"source": source, "target": target, "why": why})
     number = F.row_number().over(W.partitionBy("project_id").orderBy("migration_ord", "file", "source"))
     total = rows.groupBy("project_id").agg(F.count(F.lit(1)).alias("total"))
     first = rows.withColumn("n", number).where(F.col("n") <= top).join(total, "project_id")
-    return first.select("project_id", "n", "rule", "source", "target", F.greatest(F.col("total") - top, F.lit(0)).alias("remaining"))
+    return first.select("project_id", "n", "rule", "source", "target", "why", F.greatest(F.col("total") - top, F.lit(0)).alias("remaining"))

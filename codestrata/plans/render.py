@@ -86,14 +86,18 @@ def markdown_plan(stats: DataFrame, moves: DataFrame, removes: DataFrame, guidan
 
 def tree_rows(entries: DataFrame, tags: DataFrame, max_depth: int = 4, top_files: int = 6) -> DataFrame:
     """Rows of a tree view: folders, and the first files of each folder; the last
-    shown file of a folder carries the number of hidden ones."""
+    shown file of a folder carries the number of hidden ones, a folder how many
+    files and folders it holds (``hint``)."""
     kids = entries.where("parent IS NOT NULL").where(F.col("depth") <= F.when(F.col("kind") == "dir", max_depth).otherwise(max_depth - 1))
     order = W.partitionBy("project_id", "parent", F.col("kind") == "dir").orderBy(F.expr("name COLLATE UNICODE"), "name")
     total = kids.groupBy("project_id", "parent").agg(F.count_if(F.col("kind") != "dir").alias("n_files"))
     rows = kids.withColumn("place", F.row_number().over(order)).where((F.col("kind") == "dir") | (F.col("place") <= top_files))
     rows = rows.join(total, ["project_id", "parent"]).join(tags.withColumnRenamed("path", "rel_path"), ["project_id", "rel_path"], "left")
+    inside = entries.where("parent IS NOT NULL").groupBy("project_id", F.col("parent").alias("rel_path")).agg(F.count_if(F.col("kind") == "file").alias("files_in"), F.count_if(F.col("kind") == "dir").alias("dirs_in"))
+    rows = rows.join(inside, ["project_id", "rel_path"], "left")
+    hint = F.when(F.col("kind") == "dir", F.format_string("%df %dd", F.coalesce("files_in", F.lit(0)), F.coalesce("dirs_in", F.lit(0))))
     hidden = F.when((F.col("kind") != "dir") & (F.col("place") == top_files), F.greatest(F.col("n_files") - top_files, F.lit(0))).otherwise(0)
-    return rows.select("project_id", "rel_path", "parent", "name", "kind", "place", hidden.alias("hidden"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
+    return rows.select("project_id", "rel_path", "parent", "name", "kind", "place", hidden.alias("hidden"), hint.alias("hint"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
 def render_tree(rows: DataFrame, project_id: str) -> str:
@@ -110,7 +114,8 @@ def render_tree(rows: DataFrame, project_id: str) -> str:
         for i, r in enumerate(own):
             last = i == len(own) - 1 and not r.hidden
             marks = f"  [{', '.join(r.tags)}]" if r.tags else ""
-            out.append(f"{lead}{'└── ' if last else '├── '}{r.name}{'/' if r.kind == 'dir' else ''}{marks}")
+            hint = f"  {r.hint}" if r.hint else ""
+            out.append(f"{lead}{'└── ' if last else '├── '}{r.name}{'/' if r.kind == 'dir' else ''}{marks}{hint}")
             if r.kind == "dir":
                 show(r.rel_path, lead + ("    " if last else "│   "))
             if r.hidden:
@@ -120,19 +125,38 @@ def render_tree(rows: DataFrame, project_id: str) -> str:
     return "\n".join(out)
 
 
+#: Folders whose existence decides on a layout.
+PROBES = {
+    "has_app": ("app", "src/app"), "has_pages": ("pages", "src/pages"), "has_prisma": ("prisma",), "has_src": ("src",),
+    "has_public": ("public",), "has_tests": ("__tests__", "tests"), "has_actions": ("actions", "src/actions"),
+}
+_IN_SRC, _AT_ROOT = "(has_src OR NOT has_app)", "(has_app AND NOT has_src)"
+_SRC_APP, _SRC_PAGES = "(has_src AND has_app)", "(has_pages AND NOT has_app)"
+# The paths of the recommended layouts; when each belongs to one; a note of ours.
+LAYOUT = (
+    ("next.config.ts, tsconfig.json, package.json", "true", "configuration stays here"), ("README.md", "true", "what this is"), (".env.local, .env.example", "true", "settings, and a sample of them"),
+    ("public/icons/, public/images/", "has_public", "static files"), ("prisma/schema.prisma, prisma/migrations/, prisma/seed.ts", "has_prisma", "schema and its history"),
+    ("src/", _IN_SRC, "all sources"), ("src/app/", _SRC_APP, "routes"), ("src/app/(auth)/, src/app/(dashboard)/, src/app/api/, src/app/layout.tsx, src/app/page.tsx", _SRC_APP, "groups, handlers, frame and start page"),
+    ("src/pages/", _SRC_PAGES, "routes"), ("src/pages/api/, src/pages/_app.tsx, src/pages/_document.tsx, src/pages/index.tsx", _SRC_PAGES, "handlers, frame and start page"),
+    ("src/components/ui/, src/components/layout/, src/components/forms/, src/components/index.ts", _IN_SRC, "PascalCase, by concern, with an index"), ("src/lib/db.ts, src/lib/auth.ts, src/lib/index.ts", _IN_SRC, "ties to other systems"),
+    ("src/actions/posts.ts, src/actions/users.ts", f"{_IN_SRC} AND has_actions", "server actions"), ("src/utils/index.ts", _IN_SRC, "pure functions"), ("src/hooks/index.ts", _IN_SRC, "hooks"),
+    ("src/types/index.ts", _IN_SRC, "shared types"), ("src/config/", _IN_SRC, "constants"),
+    ("app/", _AT_ROOT, "routes"), ("app/(auth)/login/, app/(auth)/register/, app/(dashboard)/settings/, app/(dashboard)/profile/, app/api/, app/layout.tsx, app/page.tsx", _AT_ROOT, "groups, handlers, frame and start page"),
+    ("components/ui/, components/layout/, components/forms/, components/index.ts", _AT_ROOT, "PascalCase, by concern, with an index"), ("lib/, utils/, hooks/, types/", _AT_ROOT, "code of one kind each"),
+    ("actions/", f"{_AT_ROOT} AND has_actions", "server actions"), ("config/", _AT_ROOT, "constants"),
+    ("__tests__/unit/, __tests__/e2e/, __tests__/integration/", "has_tests", "tests, in the order of the sources"),
+)
+
+
+def layout_flags(entries: DataFrame) -> DataFrame:
+    """(project_id, flags): which of the folders of ``PROBES`` exist."""
+    return entries.groupBy("project_id").agg(*[F.bool_or(F.col("rel_path").isin(*paths)).alias(flag) for flag, paths in PROBES.items()])
+
+
 def recommended_structure(flags: DataFrame) -> DataFrame:
     """(project_id, layout): a folder layout by what exists; ``flags`` has
     has_app, has_pages, has_prisma, has_src, has_public, has_tests, has_actions."""
-    line = lambda text, when=None: F.lit(text) if when is None else F.when(when, text)
-    c = F.col
-    in_src = c("has_src") | ~c("has_app")
-    rows = [
-        line("package.json, tsconfig.json and other configuration"), line("public/  static files", c("has_public")), line("prisma/  schema and migrations", c("has_prisma")),
-        line("src/  all sources", in_src), line("src/app/  routes", in_src & c("has_app")), line("src/pages/  routes", in_src & c("has_pages")),
-        line("src/components/  PascalCase, with an index", in_src), line("src/hooks/  with an index", in_src), line("src/lib/  utilities", in_src), line("src/types/", in_src),
-        line("src/actions/  server actions", in_src & c("has_actions")), line("app/  routes", ~in_src), line("components/  PascalCase, with an index", ~in_src),
-        line("lib/  utilities", ~in_src), line("actions/  server actions", ~in_src & c("has_actions")), line("__tests__/  mirrors the sources", c("has_tests")),
-    ]
+    rows = [F.when(F.expr(when), f"{path}  {note}") for path, when, note in LAYOUT]
     return flags.select("project_id", F.array_join(F.array_compact(F.array(*rows)), "\n").alias("layout"))
 
 
@@ -146,7 +170,7 @@ def agent_brief(issues: DataFrame, stats: DataFrame) -> DataFrame:
     report order, and the order of work.  Text only; nothing is run."""
     rank = {r[0]: r[6] for r in RULES}
     order = F.coalesce(F.create_map(*[x for k, v in rank.items() for x in (F.lit(k), F.lit(v))])[F.col("rule")], F.lit(99))
-    listed = _lines(issues, 2, F.concat(F.lit("- ["), "rule", F.lit("] "), _comment(F.col("file")), F.lit(": "), _comment(F.col("message"))), F.concat(F.lpad(order.cast("string"), 3, "0"), "file"))
+    listed = _lines(issues, 2, F.concat(F.lit("- ["), "rule", F.lit("] "), _comment(F.col("file")), F.lit(": "), _comment(F.col("snippet"))), F.concat(F.lpad(order.cast("string"), 3, "0"), "file"))
     work = "\nOrder of work: " + ", ".join(r[0] for r in sorted((r for r in RULES if r[7]), key=lambda r: r[7])) + ".\nUpdate every import of what you move, and scan again after each kind of issue."
     head = F.format_string("Project: %d files, %d directories, depth %d\nConventions: sources in src/, folders in kebab-case, components in PascalCase, configuration at the root.\n", "total_files", "total_dirs", "max_depth")
     made = _script(stats, [_lines(stats, 0, head, F.lit("")), listed, _lines(stats, 3, F.lit(work), F.lit(""))])

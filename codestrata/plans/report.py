@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -10,7 +10,7 @@ from ..functions.text import grade
 from ..operators.graph import ImportGraph, build_graph, graph_issues, graph_stats
 from ..operators.profile import detect_stack
 from ..operators.structure import project_stats, structural_issues
-from ..schema import Limits, rules
+from ..schema import ISSUE_TYPES, Limits, rules
 from ..sources.fstree import load_aliases
 
 
@@ -22,10 +22,33 @@ def scores(projects: DataFrame, issues: DataFrame) -> DataFrame:
     return rows.withColumn("score", F.greatest(F.lit(0), 100 - F.col("total_penalty"))).withColumn("grade", grade(F.col("score")))
 
 
+def worst_first() -> list[Column]:
+    """Order among issues of one rule: small circles, long files with many imports and deep imports first, then by path."""
+    weight = (
+        F.when(F.col("rule") == "circular-dependency", F.size("cycle"))
+        .when(F.col("rule") == "god-file", -(F.col("loc") + 10 * F.col("import_count")))
+        .when(F.col("rule") == "deep-relative-import", -F.col("deep"))
+        .otherwise(0)
+    )
+    return [weight.cast("long"), F.col("file"), F.col("snippet")]
+
+
+def scan_order(rule: Column) -> Column:
+    """Place of a rule in a report's list of issues; unknown rules come last."""
+    place = F.create_map(*[x for i, r in enumerate(ISSUE_TYPES) for x in (F.lit(r), F.lit(i))])
+    return F.coalesce(F.try_element_at(place, rule), F.lit(len(ISSUE_TYPES)))
+
+
+def rule_tag(rule: Column) -> Column:
+    """Short mark of a rule in a tree."""
+    tags = F.create_map(*[x for r, (_, tag) in ISSUE_TYPES.items() for x in (F.lit(r), F.lit(tag))])
+    return F.coalesce(F.try_element_at(tags, rule), rule)
+
+
 def issue_summary(issues: DataFrame, top: int = 3) -> DataFrame:
     """The first ``top`` issues of each rule and project, with the rule's badge
     and label and the number of issues not shown; unknown rules come last."""
-    order = W.partitionBy("project_id", "rule").orderBy("file", "snippet")
+    order = W.partitionBy("project_id", "rule").orderBy(*worst_first())
     every = issues.groupBy("project_id", "rule").agg(F.count(F.lit(1)).alias("total"))
     first = issues.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
     facts = F.broadcast(rules(issues.sparkSession).select("rule", "badge", "label", "sort_ord"))  # 13 fixed rows
@@ -34,9 +57,10 @@ def issue_summary(issues: DataFrame, top: int = 3) -> DataFrame:
 
 
 def issue_map(issues: DataFrame) -> DataFrame:
-    """Rule names per path, a trailing slash left out."""
+    """Rule names per path, a trailing slash left out, and their short marks."""
     path = F.regexp_replace("file", r"/\z", "")
-    return issues.groupBy("project_id", path.alias("path")).agg(F.array_sort(F.collect_list("rule")).alias("tags"))
+    rows = issues.groupBy("project_id", path.alias("path")).agg(F.array_sort(F.collect_list("rule")).alias("tags"))
+    return rows.withColumn("marks", F.transform("tags", rule_tag))
 
 
 def all_issues(entries: DataFrame, graph: ImportGraph | None = None, limits: Limits = Limits()) -> DataFrame:
@@ -52,7 +76,9 @@ def report(entries: DataFrame, sources: DataFrame | None = None, configs: DataFr
         graph = build_graph(sources, load_aliases(configs, limits.mode) if configs is not None else None)
     issues = all_issues(entries, graph, limits)
     body = [c for c in issues.columns if c != "project_id"]
-    packed = issues.groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct(*body))).alias("issues"))
+    weight, file, snippet = worst_first()
+    row = F.struct(scan_order(F.col("rule")).alias("o"), weight.alias("w"), file.alias("f"), snippet.alias("s"), F.struct(*body).alias("issue"))
+    packed = issues.groupBy("project_id").agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["issue"]).alias("issues"))
     rows = scores(entries, issues).join(project_stats(entries).select("project_id", F.struct("total_files", "total_dirs", "max_depth", "total_kb").alias("stats")), "project_id", "left")
     if graph is not None:
         facts = graph_stats(graph)

@@ -14,8 +14,8 @@ from .operators import structure as S
 from .operators.components import strong_components
 from .operators.profile import detect_stack
 from .plans import migration, render, report
-from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, EXPLANATIONS, RULES, Limits, rules
-from .sources.fstree import load_aliases, source_files
+from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, EXPLANATIONS, ISSUE_TYPES, RULES, Limits, rules
+from .sources.fstree import load_aliases, read_entries, source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -45,12 +45,12 @@ def flat(issues: DataFrame) -> DataFrame:
     text = lambda c: F.col(c).cast("string")
     joined = lambda c: F.array_join(c, ",")
     detail = F.concat_ws("|", text("depth"), text("file_count"), joined("styles"), text("source_file_count"), joined("duplicates"), joined("cycle"), text("loc"), text("import_count"), text("deep"), "target_dir")
-    return issues.select("project_id", "rule", "severity", "file", F.col("penalty").cast("long").alias("penalty"), detail.alias("detail"))
+    return issues.select("project_id", "rule", "type", "severity", "file", F.col("penalty").cast("long").alias("penalty"), "snippet", detail.alias("detail"))
 
 
-def _flat_sql(rule: str, file: str, detail: str, rows: str) -> str:
+def _flat_sql(rule: str, file: str, detail: str, snippet: str, rows: str) -> str:
     severity, penalty = next((r[4], r[5]) for r in RULES if r[0] == rule)
-    return f"SELECT project_id, '{rule}' AS rule, '{severity}' AS severity, {file} AS file, CAST({penalty} AS BIGINT) AS penalty, {detail} AS detail FROM {rows}"
+    return f"SELECT project_id, '{rule}' AS rule, '{ISSUE_TYPES[rule][0]}' AS type, '{severity}' AS severity, {file} AS file, CAST({penalty} AS BIGINT) AS penalty, {snippet} AS snippet, {detail} AS detail FROM {rows}"
 
 
 def _names(values) -> str:
@@ -110,11 +110,11 @@ def project_stats(spark, d):
     return S.project_stats(page_entries(spark, d)).withColumn("max_depth", F.col("max_depth").cast("long"))
 
 
-@query("normalize_path", r"""specs AS (SELECT DISTINCT l_linenumber AS n, l_partkey % 7 AS m FROM lineitem),
+@query("normalize_path", r"""specs AS (SELECT l_linenumber AS n, l_partkey % 7 AS m FROM lineitem),
 paths AS (SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, repeat('a/', CAST(m AS BIGINT)) || './/' || repeat('../', CAST(n AS BIGINT)) || 'x' AS path FROM specs)
 SELECT n, m, path, array_to_string(list_concat(list_transform(range(greatest(m - n, 0)), lambda x: 'a'), ['x']), '/') AS folded FROM paths""")
 def normalize_path(spark, d):
-    rows = A.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 7).alias("m")).distinct()
+    rows = A.table(spark, d, "lineitem").select(F.col("l_linenumber").alias("n"), (F.col("l_partkey") % 7).alias("m"))
     rows = rows.withColumn("path", F.expr("concat(repeat('a/', cast(m as int)), './/', repeat('../', cast(n as int)), 'x')"))
     return rows.select("n", "m", "path", X.normalize_path(F.col("path")).alias("folded"))
 
@@ -153,7 +153,7 @@ def extract_imports(spark, d):
 # --- structural rules ------------------------------------------------------------------------------
 
 
-@query("deep_nesting", DEEP + " " + _flat_sql("deep-nesting", "rel_path", "CAST(depth AS VARCHAR)", "entries WHERE kind = 'dir' AND depth > 5"))
+@query("deep_nesting", DEEP + " " + _flat_sql("deep-nesting", "rel_path", "CAST(depth AS VARCHAR)", "rel_path", "entries WHERE kind = 'dir' AND depth > 5"))
 def deep_nesting(spark, d):
     return flat(S.deep_nesting(deep_entries(spark, d)))
 
@@ -161,19 +161,26 @@ def deep_nesting(spark, d):
 FOLDER_SQL = "(CASE WHEN {0} = '' THEN '.' ELSE {0} END) || '/'"
 
 
-@query("fat_folder", PAGES + KIDS_SQL + " " + _flat_sql("fat-folder", FOLDER_SQL.format("parent"), "CAST(files AS VARCHAR)", "kids WHERE files > CASE WHEN parent = '' THEN 20 ELSE 5 END"))
+@query("fat_folder", PAGES + KIDS_SQL + " " + _flat_sql("fat-folder", FOLDER_SQL.format("parent"), "CAST(files AS VARCHAR)", "files || ' files in one directory'", "kids WHERE files > CASE WHEN parent = '' THEN 20 ELSE 5 END"))
 def fat_folder(spark, d):
     return flat(S.fat_folder(page_entries(spark, d), Limits(fat_folder=5)))
 
 
-@query("naming_mismatch_dirs", DOCS + STYLED + """, g AS (SELECT project_id, parent, count(*) AS n, list_sort(list(DISTINCT style)) AS styles FROM styled WHERE kind = 'dir' AND parent IS NOT NULL AND style NOT IN ('special', 'dotted', 'upper') GROUP BY ALL) """
-       + _flat_sql("naming-mismatch", FOLDER_SQL.format("parent"), "array_to_string(styles, ',')", "g WHERE n >= 3 AND len(styles) > 1"))
+FOLDER_NAMES_SQL = """, by_style AS (SELECT project_id, parent, style, count(*) AS n, style || ': ' || array_to_string(list_sort(list(name))[1:3], ', ') AS shown FROM styled WHERE kind = 'dir' AND parent IS NOT NULL AND style NOT IN ('special', 'dotted', 'upper') GROUP BY project_id, parent, style),
+  gn AS (SELECT project_id, parent, sum(n) AS n, list_sort(list(style)) AS styles, array_to_string(list(shown ORDER BY style), '  |  ') AS snippet FROM by_style GROUP BY ALL)"""
+FOLDER_NAMES_ROWS = _flat_sql("naming-mismatch", FOLDER_SQL.format("parent"), "array_to_string(styles, ',')", "snippet", "gn WHERE n >= 3 AND len(styles) > 1")
+FILE_NAMES_SQL = r""", gf AS (SELECT project_id, parent, count(*) AS n, bool_or(style = 'pascal') AS p, bool_or(style IN ('kebab', 'camel')) AS o,
+  'PascalCase: ' || array_to_string(list_sort(list(name) FILTER (WHERE style = 'pascal'))[1:2], ', ') || '  |  other: ' || array_to_string(list_sort(list(name) FILTER (WHERE style NOT IN ('pascal', 'special', 'dotted')))[1:2], ', ') AS snippet
+  FROM styled WHERE kind <> 'dir' AND regexp_matches(name, '\.[tj]sx?$') GROUP BY ALL)"""
+FILE_NAMES_ROWS = _flat_sql("naming-mismatch", FOLDER_SQL.format("parent"), "''", "snippet", "gf WHERE n >= 3 AND p AND o")
+
+
+@query("naming_mismatch_dirs", DOCS + STYLED + FOLDER_NAMES_SQL + " " + FOLDER_NAMES_ROWS)
 def naming_mismatch_dirs(spark, d):
     return flat(S.naming_folders(doc_entries(spark, d)))
 
 
-@query("naming_mismatch_files", DOCS + STYLED + r""", g AS (SELECT project_id, parent, count(*) AS n, bool_or(style = 'pascal') AS p, bool_or(style IN ('kebab', 'camel')) AS o FROM styled WHERE kind <> 'dir' AND regexp_matches(name, '\.[tj]sx?$') GROUP BY ALL) """
-       + _flat_sql("naming-mismatch", FOLDER_SQL.format("parent"), "''", "g WHERE n >= 3 AND p AND o"))
+@query("naming_mismatch_files", DOCS + STYLED + FILE_NAMES_SQL + " " + FILE_NAMES_ROWS)
 def naming_mismatch_files(spark, d):
     return flat(S.naming_files(doc_entries(spark, d)))
 
@@ -185,7 +192,7 @@ MISPLACED_SQL = r""", m AS (SELECT *, CASE
   WHEN regexp_matches(name, '\.prisma$') AND regexp_matches('/' || rel_path || '/', '/(src|app|components)/') THEN 'prisma/' END AS target FROM entries WHERE kind <> 'dir') """
 
 
-@query("misplaced_files", DOCS + MISPLACED_SQL + _flat_sql("misplaced-file", "rel_path", "target", "m WHERE target IS NOT NULL"))
+@query("misplaced_files", DOCS + MISPLACED_SQL + _flat_sql("misplaced-file", "rel_path", "target", "name", "m WHERE target IS NOT NULL"))
 def misplaced_files(spark, d):
     return flat(S.misplaced_files(doc_entries(spark, d)))
 
@@ -194,7 +201,7 @@ BARREL_SQL = r""", g AS (SELECT project_id, parent, count(*) AS n, bool_or(regex
 b AS (SELECT e.project_id, e.rel_path, n FROM entries e JOIN g ON e.project_id = g.project_id AND e.rel_path = g.parent WHERE e.kind = 'dir' AND lower(e.name) IN """ + _names(BARREL_DIRS) + " AND n >= 3 AND NOT i) "
 
 
-@query("missing_barrel", DOCS + BARREL_SQL + _flat_sql("missing-barrel", "rel_path || '/'", "CAST(n AS VARCHAR)", "b"))
+@query("missing_barrel", DOCS + BARREL_SQL + _flat_sql("missing-barrel", "rel_path || '/'", "CAST(n AS VARCHAR)", "n || ' files, no index.ts'", "b"))
 def missing_barrel(spark, d):
     return flat(S.missing_barrel(doc_entries(spark, d)))
 
@@ -202,23 +209,23 @@ def missing_barrel(spark, d):
 CONCEPT_SQL = ", concepts(g, low) AS (VALUES " + ", ".join(f"({i}, '{n}')" for i, group in enumerate(CONCEPTS) for n in group) + "), dup AS (SELECT project_id, parent, g, list_sort(list(low)) AS l FROM entries JOIN concepts ON lower(name) = low WHERE kind = 'dir' AND parent IS NOT NULL GROUP BY ALL HAVING count(*) >= 2) "
 
 
-@query("duplicate_concept", DOCS + CONCEPT_SQL + _flat_sql("duplicate-concept", FOLDER_SQL.format("parent"), "array_to_string(l, ',')", "dup"))
+@query("duplicate_concept", DOCS + CONCEPT_SQL + _flat_sql("duplicate-concept", FOLDER_SQL.format("parent"), "array_to_string(l, ',')", "array_to_string(l, ', ')", "dup"))
 def duplicate_concept(spark, d):
     return flat(S.duplicate_concept(doc_entries(spark, d)))
 
 
-CUSTOMERS_SQL = """dirs AS (SELECT 'n' || c_nationkey AS project_id, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 400000))"""
+CUSTOMERS_SQL = """dirs AS (SELECT 'n' || c_nationkey AS project_id, c_custkey FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL))"""
 
 
-@query("empty_dirs", CUSTOMERS_SQL + " " + _flat_sql("empty-dir", "'c' || c_custkey || '/'", "''", "dirs"))
+@query("empty_dirs", CUSTOMERS_SQL + " " + _flat_sql("empty-dir", "'c' || c_custkey || '/'", "''", "'(empty)'", "dirs"))
 def empty_dirs(spark, d):
     return flat(S.empty_dirs(A.customer_entries(spark, d)))
 
 
-CHAOS_SQL = r""", g AS (SELECT project_id, count(*) AS n FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '^(index|app|main|server|entry)\.[tj]sx?$') GROUP BY ALL) """
+CHAOS_SQL = r""", g AS (SELECT project_id, count(*) AS n, array_to_string(list_sort(list(name))[1:5], ', ') AS snippet FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '^(index|app|main|server|entry)\.[tj]sx?$') GROUP BY ALL) """
 
 
-@query("root_chaos", DOCS + CHAOS_SQL + _flat_sql("root-chaos", "'.'", "CAST(n AS VARCHAR)", "g WHERE n > 1"))
+@query("root_chaos", DOCS + CHAOS_SQL + _flat_sql("root-chaos", "'.'", "CAST(n AS VARCHAR)", "snippet", "g WHERE n > 1"))
 def root_chaos(spark, d):
     return flat(S.root_chaos(doc_entries(spark, d), Limits(root_files=1)))
 
@@ -226,7 +233,7 @@ def root_chaos(spark, d):
 SCATTERED_SQL = r"entries WHERE kind <> 'dir' AND depth >= 1 AND regexp_matches(name, '\.(config|rc)\.(ts|js|mjs|cjs|json)$|^\.eslintrc|^\.prettierrc|^jest\.config|^vitest\.config')"
 
 
-@query("scattered_config", DOCS + " " + _flat_sql("scattered-config", "rel_path", "name", SCATTERED_SQL))
+@query("scattered_config", DOCS + " " + _flat_sql("scattered-config", "rel_path", "name", "name", SCATTERED_SQL))
 def scattered_config(spark, d):
     return flat(S.scattered_config(doc_entries(spark, d), Limits(mode="intended")))
 
@@ -234,8 +241,11 @@ def scattered_config(spark, d):
 # --- import graph -----------------------------------------------------------------------------------
 
 
-@query("deep_relative_import", "specs AS (SELECT DISTINCT 'p' AS project_id, 'o' || l_orderkey || '.ts' AS from_path, CAST(l_linenumber AS BIGINT) AS deep, l_partkey AS k FROM lineitem WHERE l_linenumber >= 3), worst AS (SELECT project_id, from_path, deep FROM specs QUALIFY row_number() OVER (PARTITION BY from_path ORDER BY deep DESC, k) = 1) "
-       + _flat_sql("deep-relative-import", "from_path", "CAST(deep AS VARCHAR)", "worst"))
+DEEP_SPECS_SQL = "specs AS (SELECT DISTINCT 'p' AS project_id, 'o' || l_orderkey || '.ts' AS from_path, CAST(l_linenumber AS BIGINT) AS deep, l_partkey AS k FROM lineitem WHERE l_linenumber >= 3), worst AS (SELECT project_id, from_path, deep, repeat('../', deep) || 'part' || k AS spec FROM specs QUALIFY row_number() OVER (PARTITION BY from_path ORDER BY deep DESC, k) = 1)"
+DEEP_ROWS = _flat_sql("deep-relative-import", "from_path", "CAST(deep AS VARCHAR)", "spec", "worst")
+
+
+@query("deep_relative_import", DEEP_SPECS_SQL + " " + DEEP_ROWS)
 def deep_relative_import(spark, d):
     rows = A.deep_specs(spark, d).withColumn("deep", X.deep_segments(F.col("spec")))
     return flat(G.deep_relative_imports(rows))
@@ -310,25 +320,34 @@ CYCLES_SQL = REACH_SQL + """, groups AS (SELECT project_id, component, list_sort
 kept AS (SELECT * FROM groups QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY len(members), component) <= 12)"""
 
 
-@query("circular_dependency", CYCLES_SQL + " " + _flat_sql("circular-dependency", "component", "array_to_string(members, ',')", "kept"))
+CYCLE_ROWS = _flat_sql("circular-dependency", "component", "array_to_string(members, ',')", "array_to_string(CASE WHEN len(members) > 4 THEN list_append(members[1:4], '+' || (len(members) - 4) || ' more') ELSE members END, ' → ') || ' → ' || component", "kept")
+
+
+@query("circular_dependency", CYCLES_SQL + " " + CYCLE_ROWS)
 def circular_dependency(spark, d):
     return flat(G.circular_dependencies(A.line_edges(spark, d)))
 
 
-ORPHAN_SQL = DEGREE_SQL + " " + _flat_sql("orphan-file", "rel_path", "''", "degree WHERE fan_in = 0 AND exports_something")
+ORPHAN_ROWS = _flat_sql("orphan-file", "rel_path", "''", "loc || ' lines, 0 importers'", "degree WHERE fan_in = 0 AND exports_something")
+GOD_ROWS = _flat_sql("god-file", "rel_path", "loc || '|' || import_count", "concat_ws(', ', CASE WHEN loc >= 400 THEN loc || ' lines' END, CASE WHEN import_count >= 3 THEN import_count || ' imports' END)", "degree WHERE loc >= 400 OR import_count >= 3")
 
 
-@query("orphan_nodes", ORPHAN_SQL)
+@query("orphan_nodes", A.ORDER_GRAPH_SQL + ORPHAN_ROWS)
 def orphan_nodes(spark, d):
-    graph = _line_graph(spark, d)
-    return flat(G.orphan_files(graph.nodes, graph.edges))
+    return flat(G.orphan_files(*A.order_graph(spark, d)))
 
 
-@query("god_nodes", DEGREE_SQL + " " + _flat_sql("god-file", "rel_path", "loc || '|' || import_count", "degree WHERE loc >= 400 OR import_count >= 3"))
+@query("god_nodes", DEGREE_SQL + " " + GOD_ROWS)
 def god_nodes(spark, d):
     return flat(G.god_files(_line_graph(spark, d).nodes, Limits(god_imports=3)))
 
 
+@query("graph_issues", CYCLES_SQL + "," + DEGREE_SQL.partition("WHERE a.l_suppkey <> b.l_suppkey),")[2] + ", " + DEEP_SPECS_SQL + " " + " UNION ALL ".join([CYCLE_ROWS, ORPHAN_ROWS, GOD_ROWS, DEEP_ROWS]))
+def graph_issues(spark, d):
+    """All graph rules over one graph."""
+    return flat(G.graph_issues(_line_graph(spark, d), Limits(god_imports=3)))
+
+
 ENTRY_SQL = DOCS + r""" SELECT project_id, rel_path, regexp_replace(regexp_replace(name, '\.[tj]sx?$', ''), '\.d$', '') IN """ + _names(ENTRY_NAMES) + r"""
   OR regexp_matches(rel_path, '\.config\.[mc]?[jt]s$|(^|/)(next|tailwind|postcss|jest|vitest|playwright|eslint|prettier|vite|drizzle)\.config\.')
   OR regexp_matches(rel_path, '\.(test|spec|stories|story)\.[tj]sx?$') OR regexp_matches('/' || rel_path, '/app/|/pages/|(^|/)scripts/') AS entry FROM entries WHERE kind = 'file'"""
@@ -344,17 +363,13 @@ def entry_points(spark, d):
 DOC_LIMITS = Limits(root_files=1, mode="intended")
 ISSUES_SQL = DOCS + STYLED + (
     MISPLACED_SQL.rstrip() + BARREL_SQL.replace("g AS", "gb AS").replace("JOIN g ON", "JOIN gb ON").replace("g.project_id", "gb.project_id").replace("g.parent", "gb.parent").rstrip() + CONCEPT_SQL.rstrip()
-    + CHAOS_SQL.replace("g AS", "gc AS").rstrip()
-    + ", gn AS (SELECT project_id, parent, count(*) AS n, list_sort(list(DISTINCT style)) AS styles FROM styled WHERE kind = 'dir' AND parent IS NOT NULL AND style NOT IN ('special', 'dotted', 'upper') GROUP BY ALL)"
-    + r", gf AS (SELECT project_id, parent, count(*) AS n, bool_or(style = 'pascal') AS p, bool_or(style IN ('kebab', 'camel')) AS o FROM styled WHERE kind <> 'dir' AND regexp_matches(name, '\.[tj]sx?$') GROUP BY ALL)"
+    + CHAOS_SQL.replace("g AS", "gc AS").rstrip() + FOLDER_NAMES_SQL + FILE_NAMES_SQL
     + KIDS_SQL + ", issues AS (" + " UNION ALL ".join([
-        _flat_sql("root-chaos", "'.'", "CAST(n AS VARCHAR)", "gc WHERE n > 1"), _flat_sql("duplicate-concept", FOLDER_SQL.format("parent"), "array_to_string(l, ',')", "dup"),
-        _flat_sql("deep-nesting", "rel_path", "CAST(depth AS VARCHAR)", "entries WHERE kind = 'dir' AND depth > 5"),
-        _flat_sql("fat-folder", FOLDER_SQL.format("parent"), "CAST(files AS VARCHAR)", "kids WHERE files > CASE WHEN parent = '' THEN 20 ELSE 18 END"),
-        _flat_sql("misplaced-file", "rel_path", "target", "m WHERE target IS NOT NULL"),
-        _flat_sql("naming-mismatch", FOLDER_SQL.format("parent"), "array_to_string(styles, ',')", "gn WHERE n >= 3 AND len(styles) > 1"),
-        _flat_sql("naming-mismatch", FOLDER_SQL.format("parent"), "''", "gf WHERE n >= 3 AND p AND o"), _flat_sql("missing-barrel", "rel_path || '/'", "CAST(n AS VARCHAR)", "b"),
-        _flat_sql("scattered-config", "rel_path", "name", SCATTERED_SQL),
+        _flat_sql("root-chaos", "'.'", "CAST(n AS VARCHAR)", "snippet", "gc WHERE n > 1"), _flat_sql("duplicate-concept", FOLDER_SQL.format("parent"), "array_to_string(l, ',')", "array_to_string(l, ', ')", "dup"),
+        _flat_sql("deep-nesting", "rel_path", "CAST(depth AS VARCHAR)", "rel_path", "entries WHERE kind = 'dir' AND depth > 5"),
+        _flat_sql("fat-folder", FOLDER_SQL.format("parent"), "CAST(files AS VARCHAR)", "files || ' files in one directory'", "kids WHERE files > CASE WHEN parent = '' THEN 20 ELSE 18 END"),
+        _flat_sql("misplaced-file", "rel_path", "target", "name", "m WHERE target IS NOT NULL"), FOLDER_NAMES_ROWS, FILE_NAMES_ROWS,
+        _flat_sql("missing-barrel", "rel_path || '/'", "CAST(n AS VARCHAR)", "n || ' files, no index.ts'", "b"), _flat_sql("scattered-config", "rel_path", "name", "name", SCATTERED_SQL),
     ]) + ")"
 )
 
@@ -378,31 +393,47 @@ def score_grade(spark, d):
 RULES_SQL = ", facts(rule, badge, label, sort_ord, migration_ord) AS (VALUES " + ", ".join(f"('{r[0]}', '{r[1]}', '{r[3]}', {r[6]}, {r[7] if r[7] else 'NULL'})" for r in RULES) + ")"
 
 
-@query("issue_summary_topk", ISSUES_SQL + RULES_SQL + """, ranked AS (SELECT i.*, row_number() OVER (PARTITION BY project_id, i.rule ORDER BY file, detail) AS place, count(*) OVER (PARTITION BY project_id, i.rule) AS total FROM issues i)
- SELECT r.project_id, r.rule, badge, label, CAST(sort_ord AS BIGINT) AS sort_ord, place, file, total, greatest(total - 3, 0) AS hidden FROM ranked r JOIN facts f ON r.rule = f.rule WHERE place <= 3""")
+@query("issue_summary_topk", ISSUES_SQL + RULES_SQL + """, ranked AS (SELECT i.*, row_number() OVER (PARTITION BY project_id, i.rule ORDER BY file, snippet) AS place, count(*) OVER (PARTITION BY project_id, i.rule) AS total FROM issues i)
+ SELECT r.project_id, r.rule, badge, label, CAST(sort_ord AS BIGINT) AS sort_ord, place, file, snippet, total, greatest(total - 3, 0) AS hidden FROM ranked r JOIN facts f ON r.rule = f.rule WHERE place <= 3""")
 def issue_summary_topk(spark, d):
     rows = report.issue_summary(doc_issues(spark, d))
-    return rows.select("project_id", "rule", "badge", "label", F.col("sort_ord").cast("long").alias("sort_ord"), F.col("place").cast("long").alias("place"), "file", "total", "hidden")
+    return rows.select("project_id", "rule", "badge", "label", F.col("sort_ord").cast("long").alias("sort_ord"), F.col("place").cast("long").alias("place"), "file", "snippet", "total", "hidden")
+
+
+GRAPH_SUMMARY_SQL = CYCLES_SQL + "," + DEGREE_SQL.partition("WHERE a.l_suppkey <> b.l_suppkey),")[2] + ", " + DEEP_SPECS_SQL + ", issues AS (" + " UNION ALL ".join([CYCLE_ROWS, ORPHAN_ROWS, GOD_ROWS, DEEP_ROWS]) + ")"
+
 
+@query("graph_summary_topk", GRAPH_SUMMARY_SQL + """, weighed AS (SELECT *, CASE rule WHEN 'circular-dependency' THEN len(string_split(detail, ',')) WHEN 'god-file' THEN -(CAST(split_part(detail, '|', 1) AS BIGINT) + 10 * CAST(split_part(detail, '|', 2) AS BIGINT)) WHEN 'deep-relative-import' THEN -CAST(detail AS BIGINT) ELSE 0 END AS w FROM issues),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id, rule ORDER BY w, file, snippet) AS place, count(*) OVER (PARTITION BY project_id, rule) AS total FROM weighed)
+SELECT project_id, rule, place, file, snippet, total FROM ranked WHERE place <= 3""")
+def graph_summary_topk(spark, d):
+    """The worst findings of each graph rule, worst first."""
+    rows = report.issue_summary(G.graph_issues(_line_graph(spark, d), Limits(god_imports=3)))
+    return rows.select("project_id", "rule", F.col("place").cast("long").alias("place"), "file", "snippet", "total")
 
-@query("issue_map", ISSUES_SQL + " SELECT project_id, regexp_replace(file, '/$', '') AS path, array_to_string(list_sort(list(rule)), ',') AS tags FROM issues GROUP BY ALL")
+
+@query("issue_map", ISSUES_SQL + " SELECT project_id, regexp_replace(file, '/$', '') AS path, array_to_string(list_sort(list(rule)), ',') AS tags, array_to_string(list(tag ORDER BY rule), ',') AS marks FROM issues JOIN (VALUES " + ", ".join(f"('{r}', '{tag}')" for r, (_, tag) in ISSUE_TYPES.items()) + ") AS t(r, tag) ON rule = r GROUP BY ALL")
 def issue_map(spark, d):
-    return report.issue_map(doc_issues(spark, d)).withColumn("tags", F.array_join("tags", ","))
+    return report.issue_map(doc_issues(spark, d)).withColumns({"tags": F.array_join("tags", ","), "marks": F.array_join("marks", ",")})
 
 
 TREE_SQL = PAGES + """, ranked AS (SELECT *, row_number() OVER (PARTITION BY project_id, parent, kind = 'dir' ORDER BY name) AS place, count(*) FILTER (WHERE kind <> 'dir') OVER (PARTITION BY project_id, parent) AS n_files FROM entries WHERE parent IS NOT NULL)
- SELECT project_id, rel_path, kind, place, CASE WHEN kind <> 'dir' AND place = 6 THEN greatest(n_files - 6, 0) ELSE 0 END AS hidden FROM ranked WHERE kind = 'dir' OR place <= 6"""
+ SELECT project_id, rel_path, kind, place, CASE WHEN kind <> 'dir' AND place = 6 THEN greatest(n_files - 6, 0) ELSE 0 END AS hidden,
+   CASE WHEN kind = 'dir' THEN (SELECT count(*) FILTER (WHERE e.kind = 'file') || 'f ' || count(*) FILTER (WHERE e.kind = 'dir') || 'd' FROM entries e WHERE e.project_id = ranked.project_id AND e.parent = ranked.rel_path) END AS hint FROM ranked WHERE kind = 'dir' OR place <= 6"""
 
 
 @query("tree_topk", TREE_SQL)
 def tree_topk(spark, d):
     none = spark.createDataFrame([], "project_id string, path string, tags array<string>")
-    return render.tree_rows(page_entries(spark, d), none).select("project_id", "rel_path", "kind", F.col("place").cast("long").alias("place"), F.col("hidden").cast("long").alias("hidden"))
+    return render.tree_rows(page_entries(spark, d), none).select("project_id", "rel_path", "kind", F.col("place").cast("long").alias("place"), F.col("hidden").cast("long").alias("hidden"), "hint")
 
 
-@query("fix_moves", ISSUES_SQL + r""", moves AS (SELECT project_id, name AS from_path, 'src/' || name AS to_path, 1 AS o FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '\.d\.ts$')
+MOVES_SQL = r""", moves AS (SELECT project_id, name AS from_path, 'src/' || name AS to_path, 1 AS o FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '\.d\.ts$')
   AND NOT regexp_matches(name, '^(next|tailwind|postcss|jest|vitest|playwright|eslint|prettier|vite|drizzle)\.config\.|\.config\.[mc]?[jt]s$|^middleware\.[tj]s$|^instrumentation\.[tj]s$') AND project_id IN (SELECT project_id FROM issues WHERE rule = 'root-chaos')
-  UNION ALL SELECT project_id, file, regexp_replace(file, '^.*/', ''), 2 FROM issues WHERE rule = 'scattered-config') SELECT project_id, from_path, arg_min(to_path, o) AS to_path FROM moves GROUP BY ALL""")
+  UNION ALL SELECT project_id, file, regexp_replace(file, '^.*/', ''), 2 FROM issues WHERE rule = 'scattered-config'), moved AS (SELECT project_id, from_path, arg_min(to_path, o) AS to_path FROM moves GROUP BY ALL)"""
+
+
+@query("fix_moves", ISSUES_SQL + MOVES_SQL + " SELECT * FROM moved")
 def fix_moves(spark, d):
     entries = doc_entries(spark, d)
     return migration.plan_moves(entries, S.structural_issues(entries, DOC_LIMITS))
@@ -413,16 +444,27 @@ def fix_removes(spark, d):
     return migration.plan_removes(S.empty_dirs(A.customer_entries(spark, d)))
 
 
-@query("guidance", ISSUES_SQL + """, g AS (SELECT *, CASE rule WHEN 'duplicate-concept' THEN 0 WHEN 'fat-folder' THEN 1 WHEN 'misplaced-file' THEN 2 WHEN 'missing-barrel' THEN 3 WHEN 'naming-mismatch' THEN 4 END AS o FROM issues)
- SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY o, file) AS n, rule FROM g WHERE o IS NOT NULL""")
+GUIDANCE_SQL = """, guided AS (SELECT project_id, rule, file,
+    CASE rule WHEN 'duplicate-concept' THEN 0 WHEN 'fat-folder' THEN 1 WHEN 'misplaced-file' THEN 2 WHEN 'missing-barrel' THEN 3 WHEN 'naming-mismatch' THEN 4 END AS o,
+    CASE rule WHEN 'duplicate-concept' THEN 'Same purpose twice: ' WHEN 'fat-folder' THEN 'Crowded: ' WHEN 'misplaced-file' THEN 'Out of place: ' WHEN 'missing-barrel' THEN 'No single address: ' ELSE 'Names disagree: ' END || file AS title,
+    CASE rule WHEN 'duplicate-concept' THEN snippet || ' could all be ' || split_part(detail, ',', 1) || '/.' WHEN 'fat-folder' THEN detail || ' files side by side; a subfolder for each topic makes them findable.'
+      WHEN 'misplaced-file' THEN 'Its kind is kept under ' || detail || '.' WHEN 'missing-barrel' THEN detail || ' sources are imported one by one for want of an index file.'
+      ELSE snippet || '; settle on one style for each kind of entry.' END AS detail FROM issues),
+ numbered AS (SELECT project_id, rule, title, detail, row_number() OVER (PARTITION BY project_id ORDER BY o, file, title, detail) AS n FROM guided WHERE o IS NOT NULL)"""
+
+
+@query("guidance", ISSUES_SQL + GUIDANCE_SQL + " SELECT * FROM numbered")
 def guidance(spark, d):
-    return migration.plan_guidance(doc_issues(spark, d)).select("project_id", F.col("n").cast("long").alias("n"), "rule")
+    return migration.plan_guidance(doc_issues(spark, d)).withColumn("n", F.col("n").cast("long"))
 
 
-@query("migration_plan", ISSUES_SQL + RULES_SQL + """, ranked AS (SELECT i.project_id, i.rule, file, row_number() OVER (PARTITION BY i.project_id ORDER BY migration_ord, file, detail) AS n, count(*) OVER (PARTITION BY i.project_id) AS total
-  FROM issues i JOIN facts f ON i.rule = f.rule WHERE migration_ord IS NOT NULL) SELECT project_id, n, rule, greatest(total - 12, 0) AS remaining FROM ranked WHERE n <= 12""")
+WHY_SQL = "CASE i.rule " + " ".join(f"WHEN '{r}' THEN '{w[0]}'" for r, w in EXPLANATIONS.items() if r != "misplaced-file") + " ELSE " + "CASE detail " + " ".join(f"WHEN '{to}' THEN '{why}.'" for _, _, to, why in S.MISPLACED) + " END END"
+
+
+@query("migration_plan", ISSUES_SQL + RULES_SQL + f""", ranked AS (SELECT i.project_id, i.rule, file, {WHY_SQL} AS why, row_number() OVER (PARTITION BY i.project_id ORDER BY migration_ord, file, detail) AS n, count(*) OVER (PARTITION BY i.project_id) AS total
+  FROM issues i JOIN facts f ON i.rule = f.rule WHERE migration_ord IS NOT NULL) SELECT project_id, n, rule, why, greatest(total - 12, 0) AS remaining FROM ranked WHERE n <= 12""")
 def migration_plan(spark, d):
-    return migration.migration_plan(doc_issues(spark, d)).select("project_id", F.col("n").cast("long").alias("n"), "rule", "remaining")
+    return migration.migration_plan(doc_issues(spark, d)).select("project_id", F.col("n").cast("long").alias("n"), "rule", "why", "remaining")
 
 
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
@@ -437,25 +479,44 @@ def stack(spark, d):
     return detect_stack(*A.event_projects(spark, d)).withColumn("labels", F.array_join("labels", "|"))
 
 
-@query("render_script")
-def render_script(spark, d):
+SCRIPTS_SQL = ISSUES_SQL + MOVES_SQL + GUIDANCE_SQL + """, every AS (SELECT DISTINCT project_id FROM entries),
+ dirs AS (SELECT DISTINCT project_id, CASE WHEN contains(to_path, '/') THEN regexp_replace(to_path, '/[^/]*$', '') ELSE '' END AS dir FROM moved),
+ said AS (SELECT project_id, n, '# ' || n || '. ' || title || ': ' || detail AS line FROM numbered)"""
+_SCRIPT_END = " SELECT project_id, string_agg(line, chr(10) ORDER BY section, o, line) AS script FROM lines GROUP BY project_id"
+BASH_SQL = SCRIPTS_SQL + """, lines AS (SELECT project_id, 0 AS section, '' AS o, '#!/usr/bin/env bash' || chr(10) || '# Review before running; commit first.' || chr(10) || 'set -euo pipefail' AS line FROM every
+ UNION ALL SELECT project_id, 1, dir, 'mkdir -p -- ' || chr(39) || dir || chr(39) FROM dirs WHERE dir <> '' UNION ALL SELECT project_id, 2, from_path, 'git mv -- ' || chr(39) || from_path || chr(39) || ' ' || chr(39) || to_path || chr(39) FROM moved
+ UNION ALL SELECT project_id, 4, lpad(CAST(n AS VARCHAR), 6, '0'), line FROM said)""" + _SCRIPT_END
+POWERSHELL_SQL = SCRIPTS_SQL + """, lines AS (SELECT project_id, 0 AS section, '' AS o, '# Review before running; commit first.' || chr(10) || '$ErrorActionPreference = ' || chr(39) || 'Stop' || chr(39) AS line FROM every
+ UNION ALL SELECT project_id, 1, dir, 'New-Item -ItemType Directory -Force -Path ' || chr(39) || dir || chr(39) || ' | Out-Null' FROM dirs WHERE dir <> '' UNION ALL SELECT project_id, 2, from_path, 'git mv -- ' || chr(39) || from_path || chr(39) || ' ' || chr(39) || to_path || chr(39) FROM moved
+ UNION ALL SELECT project_id, 4, lpad(CAST(n AS VARCHAR), 6, '0'), line FROM said)""" + _SCRIPT_END
+STATS_SQL = """, stats AS (SELECT project_id, count(*) FILTER (WHERE kind <> 'dir') || ' files, ' || count(*) FILTER (WHERE kind = 'dir' AND rel_path <> '') || ' directories, depth ' || max(depth) FILTER (WHERE kind = 'dir') AS counts FROM entries GROUP BY project_id)"""
+MARKDOWN_SQL = SCRIPTS_SQL + STATS_SQL + """, lines AS (SELECT project_id, 0 AS section, '' AS o, '# Migration plan' || chr(10) || chr(10) || counts || chr(10) || chr(10) || '## Moves' || chr(10) AS line FROM stats
+ UNION ALL SELECT project_id, 1, '', 'None.' FROM every WHERE project_id NOT IN (SELECT project_id FROM moved) UNION ALL SELECT DISTINCT project_id, 1, '', '| From | To |' || chr(10) || '|-|-|' FROM moved
+ UNION ALL SELECT project_id, 2, from_path, '| `' || from_path || '` | `' || to_path || '` |' FROM moved UNION ALL SELECT project_id, 3, '', chr(10) || '## Removals' || chr(10) FROM every
+ UNION ALL SELECT project_id, 5, '', chr(10) || '## Guidance' || chr(10) FROM every UNION ALL SELECT project_id, 6, lpad(CAST(n AS VARCHAR), 6, '0'), '### ' || n || '. ' || title || chr(10) || chr(10) || detail FROM numbered
+ UNION ALL SELECT project_id, 7, '', chr(10) || '## Verify' || chr(10) || chr(10) || 'Run the scan and the type checker again.' FROM every)""" + _SCRIPT_END
+
+
+def _plans(spark, d):
     entries = doc_entries(spark, d)
     issues = S.structural_issues(entries, DOC_LIMITS)
-    return render.bash_script(entries, migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues))
+    return entries, migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues)
 
 
-@query("render_powershell")
+@query("render_script", BASH_SQL)
+def render_script(spark, d):
+    return render.bash_script(*_plans(spark, d))
+
+
+@query("render_powershell", POWERSHELL_SQL)
 def render_powershell(spark, d):
-    entries = doc_entries(spark, d)
-    issues = S.structural_issues(entries, DOC_LIMITS)
-    return render.powershell_script(entries, migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues))
+    return render.powershell_script(*_plans(spark, d))
 
 
-@query("render_markdown")
+@query("render_markdown", MARKDOWN_SQL)
 def render_markdown(spark, d):
-    entries = doc_entries(spark, d)
-    issues = S.structural_issues(entries, DOC_LIMITS)
-    return render.markdown_plan(S.project_stats(entries), migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues))
+    entries, *plans = _plans(spark, d)
+    return render.markdown_plan(S.project_stats(entries), *plans)
 
 
 _QUOTED = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in (*r, *EXPLANATIONS[r[0]])) + ")" for r in RULES)
@@ -482,23 +543,64 @@ def alias_files(spark, d):
     return rows.select("project_id", "config_file", "base_url", F.array_join(F.transform("paths", lambda p: F.concat_ws(" ", p.prefix, p.target)), "|").alias("aliases"))
 
 
-@query("agent_brief")
+_WORK = ", ".join(r[0] for r in sorted((r for r in RULES if r[7]), key=lambda r: r[7]))
+BRIEF_SQL = ISSUES_SQL + RULES_SQL + STATS_SQL + f""", lines AS (SELECT project_id, 0 AS section, '' AS o, 'Project: ' || counts || chr(10) || 'Conventions: sources in src/, folders in kebab-case, components in PascalCase, configuration at the root.' || chr(10) AS line FROM stats
+ UNION ALL SELECT project_id, 2, lpad(CAST(sort_ord AS VARCHAR), 3, '0') || file, '- [' || i.rule || '] ' || file || ': ' || snippet FROM issues i JOIN facts f ON i.rule = f.rule
+ UNION ALL SELECT project_id, 3, '', chr(10) || 'Order of work: {_WORK}.' || chr(10) || 'Update every import of what you move, and scan again after each kind of issue.' FROM stats)
+ SELECT project_id, string_agg(line, chr(10) ORDER BY section, o, line) AS brief FROM lines GROUP BY project_id"""
+
+
+@query("agent_brief", BRIEF_SQL)
 def agent_brief(spark, d):
     entries = doc_entries(spark, d)
     return render.agent_brief(S.structural_issues(entries, DOC_LIMITS), S.project_stats(entries))
 
 
-@query("recommended_structure")
+LAYOUT_SQL = f"""k AS (SELECT 'e' || event_id AS project_id, {_K} AS k FROM events),
+f AS (SELECT project_id, k % 2 = 0 OR k % 17 = 0 AS has_app, k % 3 = 0 AS has_pages, k % 5 = 0 AS has_prisma, k % 2 = 0 OR k % 19 = 0 AS has_src, k % 7 = 0 AS has_public, k % 11 = 0 AS has_tests, k % 13 = 0 AS has_actions FROM k)
+SELECT project_id, concat_ws(chr(10), """ + ", ".join(f"CASE WHEN {when} THEN '{path}  {note}' END" for path, when, note in render.LAYOUT) + ") AS layout FROM f"
+
+
+@query("recommended_structure", LAYOUT_SQL)
 def recommended_structure(spark, d):
-    entries, configs = A.event_projects(spark, d)
-    flags = detect_stack(entries, configs).select("project_id", F.col("app_router").alias("has_app"), F.col("pages_router").alias("has_pages"), "has_prisma", "has_src", F.lit(False).alias("has_public"), "has_tests", F.lit(False).alias("has_actions"))
-    return render.recommended_structure(flags)
+    return render.recommended_structure(render.layout_flags(A.layout_projects(spark, d)))
+
+
+FACTS_SQL = ISSUES_SQL.replace(")  SELECT", ") SELECT") + ", " + A.DOCUMENT_SOURCES_SQL.strip() + r""", docfiles AS (SELECT project_id, rel_path, len(string_split(content, chr(10))) AS loc, regexp_matches(content, '(?:^|[\n;])\s*export\b') AS exported FROM sources),
+ graphed AS (SELECT project_id, rule, penalty FROM issues UNION ALL SELECT project_id, 'orphan-file', 5 FROM docfiles WHERE exported UNION ALL SELECT project_id, 'god-file', 5 FROM docfiles WHERE loc >= 400),
+ per AS (SELECT project_id, count(*) AS issue_count, count(DISTINCT rule) AS n_rules, CAST(sum(penalty) AS BIGINT) AS total_penalty FROM graphed GROUP BY project_id),
+ sized AS (SELECT project_id, count(*) FILTER (WHERE kind <> 'dir') AS total_files, bool_or(rel_path IN ('pages', 'src/pages')) AS pages FROM entries GROUP BY project_id),
+ counted AS (SELECT project_id, count(*) AS file_count FROM docfiles GROUP BY project_id)
+ SELECT s.project_id, greatest(0, 100 - total_penalty) AS score, issue_count, n_rules, total_files, file_count, CAST(0 AS BIGINT) AS edges, 'tsconfig.json' AS alias_config, 'pkg-' || s.project_id AS name, 'Next.js 14' || CASE WHEN pages THEN '|Pages Router' ELSE '' END || '|Tailwind' AS labels
+ FROM sized s JOIN per USING (project_id) JOIN counted USING (project_id)"""
+
+
+def _doc_report(spark, d):
+    return report.report(doc_entries(spark, d), A.document_sources(spark, d), A.document_configs(spark, d), DOC_LIMITS)
+
+
+@query("report_facts", FACTS_SQL)
+def report_facts(spark, d):
+    """The combined report with graph, aliases and stack, in figures."""
+    rules_ = F.size(F.array_distinct(F.transform("issues", lambda i: i.rule))).cast("long")
+    return _doc_report(spark, d).select(
+        "project_id", "score", "issue_count", rules_.alias("n_rules"), "stats.total_files", "graph_stats.file_count", F.col("graph_stats.edges").alias("edges"), "graph_stats.alias_config", "framework.name", F.array_join("framework.labels", "|").alias("labels"),
+    )
 
 
 @query("project_report")
 def project_report(spark, d):
-    entries = doc_entries(spark, d)
-    return report.report_json(report.report(entries, A.document_sources(spark, d)).drop("generated_at"))
+    return report.report_json(_doc_report(spark, d).drop("generated_at"))
+
+
+_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("folder_listing", "t AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TABLES) + "]) || '.parquet' AS name) SELECT name, name AS rel_path, '' AS parent, CAST(0 AS BIGINT) AS depth, 'file' AS kind, true AS readable FROM t")
+def folder_listing(spark, d):
+    """The tables' own folder through the data source."""
+    rows = read_entries(spark, {"tables": d.removeprefix("file://")}).where(F.col("name").isin(*[f"{t}.parquet" for t in _TABLES]))
+    return rows.select("name", "rel_path", "parent", F.col("depth").cast("long").alias("depth"), "kind", "readable")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

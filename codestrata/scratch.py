@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,16 +10,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    """``spark.checkpoint.dir``; a temporary folder only where it is unset and
+    driver and tasks are one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="codestrata-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        context = spark.sparkContext
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = getattr(context, "_codestrata_shared", None) or "file://" + tempfile.mkdtemp(prefix="codestrata-")
+        context._codestrata_shared = found
     return found.rstrip("/")
 
 
 class Tables:
-    """Writes frames as Parquet and reads them again; gone when the driver's JVM ends."""
+    """Writes frames as Parquet and reads them again; ``drop`` removes one that no
+    lazy frame needs any more, the rest goes when the driver's JVM ends."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root, self.count = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", 0
@@ -33,3 +39,11 @@ class Tables:
         path = f"{self.root}/{self.count}"
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
+
+    def drop(self, *frames: DataFrame) -> None:
+        jvm = self.spark.sparkContext._jvm
+        for frame in frames:
+            for file in {f.rpartition("/")[0] for f in frame.inputFiles()}:
+                if file.startswith(self.root) or self.root.partition("://")[2] in file:
+                    at = jvm.org.apache.hadoop.fs.Path(file)
+                    at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

@@ -1,9 +1,10 @@
 """Project folders as relations: a Python data source and readers built on it.
 
 Spark's file source drops hidden names, empty files and empty folders, so the
-walk is our own.  Each project's root is listed once on the driver's side of the
-reader to make one partition per top-level folder; the walks run on executors.
-Links are never followed.
+walk is our own.  The driver's side of the reader lists folders breadth-first,
+at most ``PARTS`` of them for all projects, so that a project under one folder
+still makes many partitions; the walks run on executors.  Links are never
+followed.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +24,12 @@ from ..schema import ALIASES, CONFIGS, ENTRIES, SKIP_DIRS, SOURCE_EXTENSIONS, SO
 from ..ship import ship
 
 
+#: Folders that the driver lists, and partitions made of them, about.
+PARTS = 256
+#: Bytes of files that a reader holds at once; a larger file is held alone.
+HELD_BYTES = 16 << 20
+
+
 class Subtree(InputPartition):
     """A directory to walk, or only to list (``deep`` false)."""
 
@@ -72,14 +80,16 @@ class FsTreeReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
-        for project, root in self.projects.items():
-            parts.append(Subtree(project, root, "", 0, False))
+        todo = deque((project, root, "", 0) for project, root in self.projects.items())
+        while todo and len(parts) + len(todo) < PARTS:
+            project, root, rel, depth = todo.popleft()
+            parts.append(Subtree(project, root, rel, depth, False))
             try:
-                tops = [e.name for e in os.scandir(root) if e.is_dir(follow_symlinks=False) and e.name not in self.skip]
+                kids = sorted(e.name for e in os.scandir(os.path.join(root, rel)) if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
             except OSError:
-                tops = []
-            parts += [Subtree(project, root, name, 1, True) for name in sorted(tops)]
-        return parts
+                kids = []
+            todo += [(project, root, f"{rel}/{name}" if rel else name, depth + 1) for name in kids]
+        return parts + [Subtree(*left, True) for left in todo]
 
     def read(self, part: Subtree) -> Iterator[tuple]:
         yield from walk(part.project, part.root, part.rel, part.depth, part.deep, self.skip)
@@ -115,14 +125,17 @@ def source_files(entries: DataFrame) -> DataFrame:
 def _reader(projects: dict[str, str], schema):
     def read(batches):
         for pdf in batches:
-            rows = []
-            for project, rel in zip(pdf.project_id, pdf.rel_path):
+            at, rows, held = 0, [], 0
+            for n, (project, rel) in enumerate(zip(pdf.project_id, pdf.rel_path), 1):
                 try:
                     with open(os.path.join(projects[project], rel), "rb") as f:
                         rows.append(f.read().decode("utf-8", "replace"))
                 except OSError:
                     rows.append("")
-            yield pdf.assign(content=rows)[schema.names]
+                held += len(rows[-1])
+                if held >= HELD_BYTES or n == len(pdf):
+                    yield pdf.iloc[at:n].assign(content=rows)[schema.names]
+                    at, rows, held = n, [], 0
 
     return read
 
@@ -130,7 +143,10 @@ def _reader(projects: dict[str, str], schema):
 def read_sources(entries: DataFrame, projects: dict[str, str]) -> DataFrame:
     """Whole text of each source file; one that cannot be read is empty."""
     ship(entries.sparkSession)
-    return source_files(entries).select("project_id", "rel_path").mapInPandas(_reader(projects, SOURCES), SOURCES)
+    spark = entries.sparkSession
+    files = source_files(entries).select("project_id", "rel_path")
+    files = files.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "project_id", "rel_path")  # names only; reading is the work
+    return files.mapInPandas(_reader(projects, SOURCES), SOURCES)
 
 
 def read_configs(entries: DataFrame, projects: dict[str, str]) -> DataFrame:
