@@ -216,7 +216,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6000) -> DataFrame:
 
 def fit(findings: DataFrame, trees: int = 20, depth: int = 7, seed: int = 7) -> PipelineModel:
     """A random forest over labelled findings (columns as in ``labelled_findings``)."""
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featuresCol="features", labelCol="label")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="onethird", featuresCol="features", labelCol="label")
     return Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(with_features(findings))
 
 

@@ -1,0 +1,51 @@
+"""The pipeline against a brute-force version with its near-dedup rule: five words, similarity 0.8 or more."""
+
+import hashlib
+import os
+from array import array
+
+import corpus_pipeline
+import pandas as pd
+import pytest
+from codestrata.llm import decontaminate, langid, queries
+from codestrata.llm.components import brute_components
+
+from .test_near_copies import jaccard
+from .test_operators import brute_lines
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no shared tables")
+def test_run_equals_brute_force_of_its_rules(spark):
+    from tokenizers import Tokenizer
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet")
+    bench = pd.read_parquet(f"{SF}/benchmark.parquet")
+    model = langid.fit(spark.createDataFrame(docs), langid.fold_of("doc_id", 4) != 2)
+    rejected = model.predict([t.encode() for t in docs.text])[2]
+    kept = dict(zip(docs.doc_id[~rejected], docs.text[~rejected]))
+    kept = dict(zip(kept, brute_lines(kept.values(), 10)))
+    fold = {i: t.encode().lower().decode() for i, t in kept.items()}
+    ids = list(kept)
+    comp = brute_components(pd.DataFrame([(a, b) for n, a in enumerate(ids) for b in ids[n:] if a == b or jaccard(fold[a], fold[b]) >= 0.8]))
+    kept = {i: t for i, t in kept.items() if comp[i] == i}
+    items = [decontaminate.words_of(t.encode()) for t in bench.text]
+    sets = [(len(w), decontaminate.shingles_of(w)) for w in items]
+
+    def clean(text):
+        words = decontaminate.words_of(text.encode())
+        own = decontaminate.shingles_of(words)
+        return not any(
+            s & own and any(decontaminate.weighted_jaccard(decontaminate.shingles_of(words[a : a + n]), s) >= 0.8 for a in range(max(1, len(words) - n + 1)))
+            for n, s in sets
+        )
+
+    library = Tokenizer.from_file(queries.tokenizer_file())
+    want = {}
+    for i, t in kept.items():
+        if clean(t):
+            ids = library.encode(t, add_special_tokens=False).ids
+            want[i] = (len(ids), hashlib.sha256(array("I", ids).tobytes()).hexdigest(), hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect()}
+    assert got == want and 50 < len(want) < len(docs)
