@@ -122,6 +122,7 @@ names AS (
     ELSE upper(replace(p_name, ' ', '_')) END AS name
   FROM parts)"""
 
+# Naming styles, as in functions/text.py.
 STYLE_SQL = """CASE WHEN regexp_matches(name, '^[\\[(]') THEN 'special' WHEN regexp_matches(name, '^\\.[a-z]') THEN 'dotted'
     WHEN regexp_matches(base, '^[A-Z][A-Z0-9_]*$') THEN 'upper' WHEN regexp_matches(base, '^[A-Z][a-zA-Z0-9]*$') THEN 'pascal'
     WHEN regexp_matches(base, '^[a-z][a-z0-9]*(-[a-z0-9]+)*$') THEN 'kebab' WHEN regexp_matches(base, '^[a-z][a-z0-9]*(_[a-z0-9]+)*$') THEN 'snake'

@@ -39,7 +39,8 @@ def parser() -> argparse.ArgumentParser:
     what.add_argument("--scripts", metavar="DIR", help="write a shell, a PowerShell and a Markdown plan there")
     p.add_argument("--depth", type=int, default=4, help="depth of the tree")
     p.add_argument("--mode", choices=("parity", "intended"), default="parity")
-    p.add_argument("--version", action="version", version=VERSION)
+    p.add_argument("--no-ai", action="store_true", help="accepted for the sake of old calls; there is no hand-off to skip")
+    p.add_argument("--version", "-v", action="version", version=VERSION)
     return p
 
 

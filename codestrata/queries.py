@@ -129,6 +129,7 @@ def exports_predicate(spark, d):
     return A.document_sources(spark, d).select("project_id", "rel_path", X.exports_something(F.col("content")).alias("exports_something"))
 
 
+# Comment forms, as in functions/text.py.
 CLEAN_SQL = r""", clean AS (SELECT project_id, rel_path, regexp_replace(regexp_replace(content, '/\*.*?\*/', '', 'gs'), '(^|[^:"''`])//[^\n]*', '\1', 'g') AS c FROM sources)"""
 
 
@@ -137,6 +138,7 @@ def strip_comments(spark, d):
     return A.document_sources(spark, d).select("project_id", "rel_path", F.sha2(X.strip_comments(F.col("content")), 256).alias("clean_sha256"))
 
 
+# Import forms, as in functions/text.py.
 IMPORTS_SQL = CLEAN_SQL + r""", listed AS (SELECT project_id, rel_path, list_concat(
     regexp_extract_all(c, '(?:import|export)\s[^''"`]*?\sfrom\s*[''"`]([^''"`]+)[''"`]', 1), regexp_extract_all(c, 'import\s*[''"`]([^''"`]+)[''"`]', 1),
     regexp_extract_all(c, '(?:import|require)\s*\(\s*[''"`]([^''"`]+)[''"`]\s*\)', 1)) AS specs FROM clean),
@@ -185,6 +187,7 @@ def naming_mismatch_files(spark, d):
     return flat(S.naming_files(doc_entries(spark, d)))
 
 
+# Patterns and targets of misplaced files, as in operators/structure.py.
 MISPLACED_SQL = r""", m AS (SELECT *, CASE
   WHEN regexp_matches(name, '\.(tsx|jsx)$') AND regexp_matches('/' || rel_path || '/', '(?i)/(utils|helpers|lib|hooks|services)/') THEN 'components/'
   WHEN regexp_matches(name, '\.(test|spec)\.(ts|tsx|js|jsx)$') AND regexp_matches('/' || rel_path || '/', '^/(src|app|components|pages)/') THEN 'a dedicated tests/ or __tests__/ directory'
@@ -222,6 +225,7 @@ def empty_dirs(spark, d):
     return flat(S.empty_dirs(A.customer_entries(spark, d)))
 
 
+# Names that may lie at the root, as there.
 CHAOS_SQL = r""", g AS (SELECT project_id, count(*) AS n, array_to_string(list_sort(list(name))[1:5], ', ') AS snippet FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '^(index|app|main|server|entry)\.[tj]sx?$') GROUP BY ALL) """
 
 
@@ -230,6 +234,7 @@ def root_chaos(spark, d):
     return flat(S.root_chaos(doc_entries(spark, d), Limits(root_files=1)))
 
 
+# Names of configuration files, as there.
 SCATTERED_SQL = r"entries WHERE kind <> 'dir' AND depth >= 1 AND regexp_matches(name, '\.(config|rc)\.(ts|js|mjs|cjs|json)$|^\.eslintrc|^\.prettierrc|^jest\.config|^vitest\.config')"
 
 
@@ -348,6 +353,7 @@ def graph_issues(spark, d):
     return flat(G.graph_issues(_line_graph(spark, d), Limits(god_imports=3)))
 
 
+# Paths of files that need no importer, as in operators/graph.py.
 ENTRY_SQL = DOCS + r""" SELECT project_id, rel_path, regexp_replace(regexp_replace(name, '\.[tj]sx?$', ''), '\.d$', '') IN """ + _names(ENTRY_NAMES) + r"""
   OR regexp_matches(rel_path, '\.config\.[mc]?[jt]s$|(^|/)(next|tailwind|postcss|jest|vitest|playwright|eslint|prettier|vite|drizzle)\.config\.')
   OR regexp_matches(rel_path, '\.(test|spec|stories|story)\.[tj]sx?$') OR regexp_matches('/' || rel_path, '/app/|/pages/|(^|/)scripts/') AS entry FROM entries WHERE kind = 'file'"""
@@ -428,6 +434,7 @@ def tree_topk(spark, d):
     return render.tree_rows(page_entries(spark, d), none).select("project_id", "rel_path", "kind", F.col("place").cast("long").alias("place"), F.col("hidden").cast("long").alias("hidden"), "hint")
 
 
+# Names that stay at the root, as in plans/migration.py.
 MOVES_SQL = r""", moves AS (SELECT project_id, name AS from_path, 'src/' || name AS to_path, 1 AS o FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '\.d\.ts$')
   AND NOT regexp_matches(name, '^(next|tailwind|postcss|jest|vitest|playwright|eslint|prettier|vite|drizzle)\.config\.|\.config\.[mc]?[jt]s$|^middleware\.[tj]s$|^instrumentation\.[tj]s$') AND project_id IN (SELECT project_id FROM issues WHERE rule = 'root-chaos')
   UNION ALL SELECT project_id, file, regexp_replace(file, '^.*/', ''), 2 FROM issues WHERE rule = 'scattered-config'), moved AS (SELECT project_id, from_path, arg_min(to_path, o) AS to_path FROM moves GROUP BY ALL)"""
