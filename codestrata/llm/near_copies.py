@@ -40,7 +40,7 @@ from .simhash import _BITS, SEED, deal, indexed_links, shingle_digests
 
 WORDS, BITS, RADIUS = 5, 128, 32
 #: Least bits of a key, keys of so many bits, and rows of a key beyond which keys get more bits.
-KEY_BITS, KEYS, KEY_ROWS = 16, 64, 256
+KEY_BITS, KEYS, KEY_ROWS = 12, 64, 256
 #: Share of bits in which texts of similarity 0.8 agree: 1 - acos(0.8 / 0.9) / pi.
 _AGREE = 0.849
 #: Rows of one component that are compared in one task.
