@@ -30,6 +30,8 @@ and path are not carried, so none can clash.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -124,7 +126,10 @@ def _placed(found: str, start: str) -> Column:
 
 def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", context: int = 3) -> DataFrame:
     """(key, path, word_no, candidate, ahead, behind, before, after) of every candidate."""
-    holds = F.col(text).rlike(CANDIDATE) | F.col(text).rlike(DOTTED) | F.col(text).rlike(IN_URL) | F.col(text).rlike(HOLDS_VALUE)
+    # plain strings that the costly patterns cannot do without are looked for first
+    has = lambda *parts: functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in parts])
+    named = functools.reduce(lambda a, b: a | b, [F.contains(F.lower(text), F.lit(x)) for x in ("pass", "pwd", "token", "secret", "credential", "key")])
+    holds = F.col(text).rlike(CANDIDATE) | (named & F.col(text).rlike(HOLDS_VALUE)) | (has("eyJ", "SG.", "ya29.") & F.col(text).rlike(DOTTED)) | (has("://") & F.col(text).rlike(IN_URL))
     rows = docs.where(holds).select(F.col(key), F.col(path).cast("string").alias("path"), F.split(text, BLANKS).alias("_words"))
     back = lambda i, n: F.when(i >= n, F.get("_words", i - n)).otherwise("")
     announced = lambda i: back(i, 1).rlike(r"[:=>]$|^is$") & F.concat_ws(" ", back(i, 2), back(i, 1)).rlike(ANNOUNCED)
