@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, embedding_dedup, langid, license_scan, line_dedup, quality, secret_scan, simhash, url_filter
+from . import ball_kmeans, bpe, decontaminate, embedding_dedup, hard_negatives, langid, license_scan, line_dedup, quality, secret_scan, simhash, token_counts, url_filter
 from .session import table
 
 
@@ -83,6 +83,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(rows.withColumn("label", moved))
+
+
 OP2_SQL = r"""
 WITH base AS (
   SELECT page_id, url, coalesce(instr(url, '://'), 0) > 0 AS ok,
@@ -178,6 +192,42 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines,
 FROM marked GROUP BY doc_id
 """
 
+#: Ten rounds, one common table expression each: clusters a, distances, centroids c.
+OP11_SQL = """
+WITH kept AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS (SELECT row_number() OVER () AS r, vec_id, e FROM kept),
+c0 AS (SELECT CAST(row_number() OVER (ORDER BY h NULLS LAST, e) - 1 AS INT) AS c, e AS m FROM (SELECT sha256('3:' || vec_id) AS h, e FROM v ORDER BY h NULLS LAST, e LIMIT 8)),
+""" + "".join(f"""
+a{i} AS MATERIALIZED (SELECT r, vec_id, e, unnest(best) FROM (
+  SELECT r, vec_id, any_value(e) AS e, min({{'d': CAST(list_sum(list_transform(list_zip(e, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c}}) AS best
+  FROM v, c{i} GROUP BY r, vec_id)),
+n{i} AS (SELECT c, n, list((s - ((s % n) + n) % n) // n ORDER BY k) AS m FROM (
+  SELECT c, k, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(e) AS x, unnest(range(64)) AS k FROM a{i}) GROUP BY c, k) GROUP BY c, n),
+c{i + 1} AS MATERIALIZED (SELECT c{i}.c, coalesce(n{i}.m, c{i}.m) AS m FROM c{i} LEFT JOIN n{i} ON c{i}.c = n{i}.c),
+""" for i in range(11)) + """
+done AS (SELECT vec_id, c, d, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia FROM a10)
+SELECT vec_id, c AS cluster, d AS distance, cluster_inertia, inertia, sha256(array_to_string(m, ',')) AS centroid_sha256 FROM done JOIN c10 USING (c)
+"""
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id AS id, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM v a JOIN v b ON len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT ar, anchor_id, br, id AS positive_id, score AS positive_score FROM scored WHERE same AND id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) <= 5),
+ranked AS (
+  SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.ar, p.br ORDER BY score DESC, id) AS rank, id AS negative_id, positive_score, score AS negative_score
+  FROM positives p JOIN scored s ON p.ar = s.ar AND NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -191,8 +241,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_line_dedup": op9_line_dedup,
         "op10_quality": op10_quality,
+        "op11_ball_kmeans": op11_ball_kmeans,
+        "op12_token_counts": op12_token_counts,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL}
+    return {"op2_url_filter": OP2_SQL, "op4_embedding_dedup": OP4_SQL, "op9_line_dedup": OP9_SQL, "op11_ball_kmeans": OP11_SQL, "op13_hard_negatives": OP13_SQL}
