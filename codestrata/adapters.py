@@ -173,6 +173,24 @@ o AS (SELECT 'c' || (o_custkey % 25) AS project_id, o_orderkey AS k, lag(o_order
 degree AS (SELECT project_id, 'o' || k AS rel_path, CAST(k * 7 % 500 AS INTEGER) AS loc, k % 3 <> 0 AS exports_something, CASE WHEN before IS NULL THEN 0 ELSE 1 END AS fan_in FROM o) """
 
 
+def order_circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An order imports its customer's next order, a dear one (over 150,000) the one before, and one in ten itself: components of many sizes."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("k"), "o_totalprice")
+    each = W.partitionBy("o_custkey").orderBy("k")
+    rows = orders.select("o_custkey", "k", F.lead("k").over(each).alias("next"), F.when(F.col("o_totalprice") > 150000, F.lag("k").over(each)).alias("back"), F.when(F.col("k") % 10 == 0, F.col("k")).alias("own"))
+    name = lambda c: F.format_string("c%06d/o%09d", "o_custkey", c)
+    ends = rows.select(F.concat(F.lit("c"), (F.col("o_custkey") % 25).cast("string")).alias("project_id"), "o_custkey", name("k").alias("from_path"), F.explode(F.array_compact(F.array("next", "back", "own"))).alias("to"))
+    return ends.select("project_id", "from_path", name("to").alias("to_path"))
+
+
+ORDER_CIRCLES_SQL = """
+spaced AS (SELECT 'c' || (o_custkey % 25) AS project_id, format('c{:06d}/o', o_custkey) AS folder, o_orderkey AS k, o_totalprice AS price, lead(o_orderkey) OVER c AS next, lag(o_orderkey) OVER c AS before FROM orders WINDOW c AS (PARTITION BY o_custkey ORDER BY o_orderkey)),
+ties AS (SELECT project_id, k, next AS other FROM spaced WHERE next IS NOT NULL UNION ALL SELECT project_id, k, before FROM spaced WHERE price > 150000 AND before IS NOT NULL),
+reach AS (SELECT project_id, k AS a, other AS b FROM ties UNION SELECT r.project_id, r.a, t.other FROM reach r JOIN ties t ON r.b = t.k),
+pairs AS (SELECT x.a AS k, least(x.a, min(x.b)) AS low FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY x.a),
+round AS (SELECT project_id, folder || format('{:09d}', low) AS component, folder || format('{:09d}', k) AS node FROM pairs JOIN spaced USING (k))"""
+
+
 def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey").cast("string")
     end = F.when(F.col("p_size") % 3 == 0, ".ts").when(F.col("p_size") % 3 == 1, ".tsx").otherwise("/index.js")

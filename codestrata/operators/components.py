@@ -1,11 +1,23 @@
 """Strongly connected components of many graphs at once.
 
-Graphs (one per project) of up to ``local_edges`` edges are solved one to a
-task, in memory.  Larger ones are solved by colouring, as joins: nodes without a
-way in or out are trimmed, the smallest label that reaches a node becomes its
-colour, and what reaches its colour's root from inside the colour is a
-component; these leave, and the rest starts again.  Intermediate tables are
-written to the shared folder.
+Graphs (one per project) of up to ``local_edges`` edges are solved one to a task,
+in memory.  Larger ones are made smaller until they are, or can be made no smaller:
+
+* Blocks.  Nodes are cut into blocks of neighbours by name (files of a folder mostly
+  import one another).  A task takes the edges inside its block, contracts their
+  components (Tarjan), and leaves out inner nodes that a path only passes: those with
+  no way in or out, and those with one way in or one way out.  Nodes with edges to
+  other blocks stay.  What is left is a smaller graph with the same components among
+  the nodes that stay; its solution is carried back into each block, where the nodes
+  of one component are tied together and the inner nodes are solved exactly.
+* Chains.  Nodes with a single way out follow it by pointer jumping, in as many joins
+  as the length of the longest chain has bits; rings are found by it, and chains are
+  replaced by one edge, whatever their names.
+* Colouring, for what neither makes smaller: the smallest label that reaches a node
+  becomes its colour, and what reaches its colour's root from inside the colour is a
+  component; these leave, and the rest starts again.
+
+Tables between steps are written to the shared folder.
 """
 
 from __future__ import annotations
@@ -69,10 +81,152 @@ def _local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["project_id", "component", "node"])
 
 
-def _spread(tables: Tables, edges: DataFrame) -> DataFrame:
-    """The colouring loop for graphs of any size; every round settles each colour's root."""
-    key = ["project_id"]
-    rest = tables.keep(edges.select("project_id", F.col("from_path").alias("a"), F.col("to_path").alias("b")).where("a <> b").distinct())
+def _inner(rows: pd.DataFrame) -> tuple[list[tuple[str, str]], pd.DataFrame]:
+    edge = rows.b.notna()
+    return list(zip(rows.a[edge], rows.b[edge])), rows[~edge]
+
+
+def thin(edges: list[tuple[str, str]], fixed: set[str]) -> list[tuple[str, str]]:
+    """A smaller graph with the same components among ``fixed`` nodes, and the same ways between them."""
+    group: dict[str, str] = {}
+    kept: list[tuple[str, str]] = []
+    for members in tarjan(edges):
+        own = sorted(n for n in members if n in fixed)
+        name = own[0] if own else min(members)
+        group.update(dict.fromkeys(members, name))
+        if len(own) > 1:  # a ring keeps them together
+            kept += zip(own, [*own[1:], own[0]])
+    out: dict[str, set[str]] = {}
+    into: dict[str, set[str]] = {}
+    for a, b in edges:
+        a, b = group.get(a, a), group.get(b, b)
+        if a != b:
+            out.setdefault(a, set()).add(b)
+            into.setdefault(b, set()).add(a)
+    work = [n for n in {*out, *into} if n not in fixed]
+    while work:
+        n = work.pop()
+        ways_in, ways_out = into.get(n), out.get(n)
+        if ways_in is None and ways_out is None or ways_in and ways_out and len(ways_in) > 1 and len(ways_out) > 1:
+            continue
+        into.pop(n, None)
+        out.pop(n, None)
+        ways_in, ways_out = ways_in or set(), ways_out or set()
+        for a in ways_in:
+            out[a].discard(n)
+            out[a] |= ways_out
+        for b in ways_out:
+            into[b].discard(n)
+            into[b] |= ways_in
+        work += [m for m in ways_in | ways_out if m not in fixed]
+    return kept + [(a, b) for a, ends in out.items() for b in ends]
+
+
+def _thin(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    found = []
+    for project, own in rows.groupby("project_id", sort=False):
+        edges, marks = _inner(own)
+        found += [(project, a, b) for a, b in thin(edges, set(marks.a))]
+    return pd.DataFrame(found, columns=["project_id", "a", "b"])
+
+
+def _widen(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    """Components of a block whose nodes of one known component are tied together."""
+    found = []
+    for project, own in rows.groupby("project_id", sort=False):
+        edges, known = _inner(own)
+        named = dict(zip(known.a, known.component))
+        for _, members in known.groupby("component", sort=False):
+            ring = members.a.tolist()
+            edges += zip(ring, [*ring[1:], ring[0]]) if len(ring) > 1 else ()
+        grouped = set()
+        for members in tarjan(edges):
+            name = next((named[n] for n in members if n in named), None) or min(members)
+            found += [(project, name, n) for n in members]
+            grouped.update(members)
+        found += [(project, c, n) for n, c in named.items() if n not in grouped]
+    return pd.DataFrame(found, columns=["project_id", "component", "node"])
+
+
+KEY = ["project_id"]
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    return edges.select(*KEY, F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def _solve(tables: Tables, edges: DataFrame, local_edges: int) -> DataFrame:
+    """(project_id, component, node) of a stored graph (project_id, a, b) of any size; single nodes may be listed."""
+    n = edges.count()
+    if n <= local_edges:  # one task for each project, however many there are left
+        return edges.groupBy(*KEY).applyInPandas(_whole, SCHEMA)
+    blocks = max(2, -(-2 * n // local_edges))
+    placed = tables.keep(_ends(edges).repartitionByRange(blocks, *KEY, "node").withColumn("block", F.spark_partition_id()))
+    at = lambda end: placed.select(*KEY, F.col("node").alias(end), F.col("block").alias("block_" + end))
+    split = tables.keep(edges.join(at("a"), [*KEY, "a"]).join(at("b"), [*KEY, "b"]).select(*KEY, "a", "b", "block_a", "block_b"))
+    large = split.where("block_a = block_b").groupBy("block_a").count().where(F.col("count") > 4 * local_edges)
+    large = [r[0] for r in large.collect()]  # at most a block for each 4 * local_edges edges
+    inside = (F.col("block_a") == F.col("block_b")) & ~F.col("block_a").isin(*large)
+    inner, cross = split.where(inside), split.where(~inside)
+    ways = cross.select(*KEY, F.explode(F.array(F.struct(F.col("block_a").alias("block"), "a"), F.struct(F.col("block_b").alias("block"), F.col("b").alias("a")))).alias("e")).select(*KEY, "e.*").distinct()
+    inner = inner.select(*KEY, F.col("block_a").alias("block"), "a", "b")
+    small = inner.unionByName(ways, allowMissingColumns=True).groupBy("block").applyInPandas(_thin, "project_id string, a string, b string")
+    rest = tables.keep(small.unionByName(cross.select(*KEY, "a", "b")).distinct())
+    found = _solve(tables, rest, local_edges) if rest.count() <= max(0.7 * n, local_edges) else _chains(tables, rest, local_edges)
+    known = found.join(placed, [*KEY, "node"]).select(*KEY, "block", F.col("node").alias("a"), "component")
+    return tables.keep(inner.unionByName(known, allowMissingColumns=True).groupBy("block").applyInPandas(_widen, SCHEMA))
+
+
+def _whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    found = [(key[0], min(group), n) for group in tarjan(list(zip(rows.a, rows.b))) for n in group]
+    return pd.DataFrame(found, columns=["project_id", "component", "node"])
+
+
+def _chains(tables: Tables, edges: DataFrame, local_edges: int) -> DataFrame:
+    """Follows nodes with a single way out to the first node with several, by pointer jumping.
+
+    ``hops``: of each such node the node 1, 2, 4 ... steps on, and the smallest name on the way."""
+    only = edges.groupBy(*KEY, "a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b"))
+    hops = [tables.keep(only.where("n = 1").select(*KEY, F.col("a").alias("node"), F.col("b").alias("to"), F.col("a").alias("least")))]
+    if hops[0].isEmpty():
+        return _colour(tables, edges)
+    length, chained = 1, hops[0].count()
+    while length <= chained:
+        one = hops[-1]
+        on = one.select(*KEY, F.col("node").alias("to"), F.col("to").alias("on"), F.col("least").alias("least_on"))
+        step = one.join(on, [*KEY, "to"], "left").select(*KEY, "node", F.coalesce("on", "to").alias("to"), F.least("least", F.coalesce("least_on", "least")).alias("least"), F.col("on").isNotNull().alias("more"))
+        step = tables.keep(step)
+        hops.append(step.select(*KEY, "node", "to", "least"))
+        length *= 2
+        if step.where("more").isEmpty():
+            break
+    first, last = hops[0], hops[-1]
+    # who still has a node ahead after as many steps as there are nodes is on a ring or leads into one: those that are reached are the ring
+    endless = last.join(first.select(*KEY, F.col("node").alias("to")), [*KEY, "to"], "left_semi")
+    rings = endless.select(*KEY, F.col("to").alias("node")).distinct()
+    rings = tables.keep(last.join(rings, [*KEY, "node"], "left_semi").select(*KEY, F.col("least").alias("component"), "node"))
+    # other chains end in a node with several ways out; the rest of the graph sees their ends only
+    ends = last.join(first.select(*KEY, F.col("node").alias("to")), [*KEY, "to"], "left_anti").select(*KEY, F.col("node").alias("b"), F.col("to").alias("end"))
+    rest = edges.join(first.select(*KEY, F.col("node").alias("a")), [*KEY, "a"], "left_anti")
+    jumps = tables.keep(rest.join(ends, [*KEY, "b"], "left").select(*KEY, "a", "b", F.coalesce("end", "b").alias("end"), F.col("end").isNotNull().alias("jumps")))
+    closed = endless.select(*KEY, F.col("node").alias("end"))  # ways into a ring never come back
+    short = tables.keep(jumps.join(closed, [*KEY, "end"], "left_anti").where("a <> end").select(*KEY, "a", F.col("end").alias("b")).distinct())
+    smaller = short.count() <= max(0.7 * edges.count(), local_edges)
+    found = tables.keep(_solve(tables, short, local_edges) if smaller else _colour(tables, short))
+    # a chain is in its end's component if it begins there: its nodes are marked by the same hops
+    named = lambda end: found.select(*KEY, F.col("node").alias(end), F.col("component").alias("c_" + end))
+    begun = jumps.where("jumps").join(named("a"), [*KEY, "a"], "left").join(named("end"), [*KEY, "end"], "left")
+    marked = tables.keep(begun.where("c_a = c_end OR a = end").select(*KEY, F.coalesce("c_end", "end").alias("component"), F.col("b").alias("node")).distinct())
+    lone = marked.join(found.select(*KEY, "component").distinct(), [*KEY, "component"], "left_anti").select(*KEY, "component", F.col("component").alias("node")).distinct()
+    if not marked.isEmpty():
+        for hop in hops[:-1]:
+            marked = tables.keep(marked.unionByName(marked.join(hop, [*KEY, "node"]).select(*KEY, "component", F.col("to").alias("node"))).distinct())
+    return tables.keep(rings.unionByName(found).unionByName(marked).unionByName(lone).distinct())
+
+
+def _colour(tables: Tables, edges: DataFrame) -> DataFrame:
+    """The colouring loop; every round settles each colour's root.  Single nodes are listed too."""
+    key, rest = KEY, tables.keep(edges)
     found: DataFrame | None = None
     while True:
         while True:  # trim
@@ -111,19 +265,27 @@ def _spread(tables: Tables, edges: DataFrame) -> DataFrame:
         gone = group.select(*key, "node")
         before, rest = rest, tables.keep(rest.join(gone.withColumnRenamed("node", "a"), [*key, "a"], "left_anti").join(gone.withColumnRenamed("node", "b"), [*key, "b"], "left_anti").select(*key, "a", "b"))
         tables.drop(before, colour, inner)
-    if found is None:
-        return edges.sparkSession.createDataFrame([], SCHEMA)
-    many = found.groupBy("project_id", "component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("project_id", "component")
-    return found.join(many, ["project_id", "component"], "left_semi").select("project_id", "component", "node")
+    return edges.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
-def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """(project_id, component, node) of components of two or more nodes; a
-    component is named by its smallest node."""
+def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, self_loops: bool = False) -> DataFrame:
+    """(project_id, component, node) of components of two or more nodes, and with
+    ``self_loops`` of single nodes with an edge to themselves; a component is named
+    by its smallest node."""
+    if self_loops:
+        found = strong_components(edges, local_edges)
+        own = edges.where("from_path = to_path").select("project_id", F.col("from_path").alias("component"), F.col("from_path").alias("node")).distinct()
+        return found.unionByName(own.join(found.select("project_id", "node"), ["project_id", "node"], "left_anti").select("project_id", "component", "node"))
     ship(edges.sparkSession)
     tables = Tables(edges.sparkSession, "scc")
     edges = tables.keep(edges.select("project_id", "from_path", "to_path"))
     large = [r[0] for r in edges.groupBy("project_id").count().where(F.col("count") > local_edges).select("project_id").collect()]  # few by their size
     near = edges.where(~F.col("project_id").isin(*large)) if large else edges
     found = near.groupBy("project_id").applyInPandas(_local, SCHEMA)
-    return found.unionByName(_spread(tables, edges.where(F.col("project_id").isin(*large)))) if large else found
+    if not large:
+        return found
+    far = edges.where(F.col("project_id").isin(*large)).where("from_path <> to_path")
+    far = tables.keep(far.select("project_id", F.col("from_path").alias("a"), F.col("to_path").alias("b")).distinct())
+    groups = tables.keep(_solve(tables, far, local_edges))
+    names = groups.groupBy("project_id", "component").agg(F.min("node").alias("name"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.unionByName(groups.join(names, ["project_id", "component"]).select("project_id", F.col("name").alias("component"), "node"))

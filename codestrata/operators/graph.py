@@ -82,10 +82,11 @@ def no_aliases(sources: DataFrame) -> DataFrame:
     return sources.sparkSession.createDataFrame([], ALIASES)
 
 
-def build_graph(sources: DataFrame, aliases: DataFrame | None = None) -> ImportGraph:
+def build_graph(sources: DataFrame, aliases: DataFrame | None = None, self_imports: bool = False) -> ImportGraph:
     aliases = no_aliases(sources) if aliases is None else aliases
     imports = extract_imports(sources)
-    resolved = resolve_imports(imports, sources, aliases).where("from_path <> to_path")
+    resolved = resolve_imports(imports, sources, aliases)
+    resolved = resolved if self_imports else resolved.where("from_path <> to_path")
     edges = resolved.select("project_id", "from_path", "to_path").distinct()
     facts = sources.select("project_id", "rel_path", line_count(F.col("content")).alias("loc"), exports_something(F.col("content")).alias("exports_something"))
     return ImportGraph(with_degrees(facts, edges), edges, resolved, imports, aliases)
@@ -99,19 +100,20 @@ def with_degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return joined.withColumns({"import_count": F.coalesce("import_count", F.lit(0)), "fan_in": F.coalesce("fan_in", F.lit(0))})
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(project_id, file, size, members): strongly connected groups of two or more."""
-    groups = strong_components(edges).groupBy("project_id", "component").agg(F.array_sort(F.collect_list("node")).alias("members"))
+def cycles(edges: DataFrame, self_imports: bool = False) -> DataFrame:
+    """(project_id, file, size, members): strongly connected groups of two or more, and files that import themselves if asked for."""
+    groups = strong_components(edges, self_loops=self_imports).groupBy("project_id", "component").agg(F.array_sort(F.collect_list("node")).alias("members"))
     return groups.select("project_id", F.col("members")[0].alias("file"), F.size("members").alias("size"), "members")
 
 
 def circular_dependencies(edges: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """At most ``max_cycles`` per project, the smallest first."""
+    """At most ``max_cycles`` per project, the smallest first.  Files that import
+    themselves are reported with ``limits.self_imports``, from edges that hold them."""
     order = W.partitionBy("project_id").orderBy("size", "file")
-    rows = cycles(edges).withColumn("n", F.row_number().over(order)).where(F.col("n") <= limits.max_cycles)
+    rows = cycles(edges, limits.self_imports).withColumn("n", F.row_number().over(order)).where(F.col("n") <= limits.max_cycles)
     shown = F.slice("members", 1, 4)
     chain = F.array_join(F.when(F.col("size") > 4, F.concat(shown, F.array(F.format_string("+%d more", F.col("size") - 4)))).otherwise(shown), " → ")
-    text = F.format_string("%d files import one another in a circle. Move what they share into a module of its own.", "size")
+    text = F.when(F.col("size") == 1, "A file imports itself.").otherwise(F.format_string("%d files import one another in a circle. Move what they share into a module of its own.", "size"))
     return issue(rows, "circular-dependency", F.col("file"), F.concat(chain, F.lit(" → "), F.col("file")), text, cycle=F.col("members"))
 
 

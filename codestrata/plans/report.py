@@ -73,7 +73,7 @@ def report(entries: DataFrame, sources: DataFrame | None = None, configs: DataFr
     an array of structs.  Without sources: structure only."""
     graph = None
     if sources is not None:
-        graph = build_graph(sources, load_aliases(configs, limits.mode) if configs is not None else None)
+        graph = build_graph(sources, load_aliases(configs, limits.mode) if configs is not None else None, limits.self_imports)
     issues = all_issues(entries, graph, limits)
     body = [c for c in issues.columns if c != "project_id"]
     weight, file, snippet = worst_first()

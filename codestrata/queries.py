@@ -321,6 +321,19 @@ def scc(spark, d):
     return strong_components(A.line_edges(spark, d))
 
 
+@query("scc_sizes", A.ORDER_CIRCLES_SQL + """ SELECT project_id, component, node FROM round
+ UNION ALL SELECT project_id, folder || format('{:09d}', k), folder || format('{:09d}', k) FROM spaced WHERE k % 10 = 0 AND k NOT IN (SELECT k FROM pairs)""")
+def scc_sizes(spark, d):
+    """Components of many sizes, files that import themselves included."""
+    return strong_components(A.order_circles(spark, d), self_loops=True)
+
+
+@query("scc_blocks", A.ORDER_CIRCLES_SQL + " SELECT 'all' AS project_id, component, node FROM round")
+def scc_blocks(spark, d):
+    """All orders as one project that is too large for a task."""
+    return strong_components(A.order_circles(spark, d).withColumn("project_id", F.lit("all")), local_edges=4096)
+
+
 CYCLES_SQL = REACH_SQL + """, groups AS (SELECT project_id, component, list_sort(list(node)) AS members FROM named GROUP BY ALL),
 kept AS (SELECT * FROM groups QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY len(members), component) <= 12)"""
 

@@ -89,3 +89,17 @@ def test_issues_do_not_depend_on_order(spark):
     two = S.structural_issues(tree.orderBy(F.desc("rel_path")).repartition(7))
     assert one.columns == ISSUE_COLUMNS and sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
     assert S.structural_issues(tree.limit(0)).count() == 0
+
+
+def test_listing_is_read_once_and_shuffled_once(spark, tmp_path):
+    entries(spark, *many("src/lib/", 30, ".ts"), "a/b/c/d/e/f/x").write.parquet(str(tmp_path / "e"))
+    found = S.structural_issues(spark.read.parquet(str(tmp_path / "e")), Limits(mode="intended"))
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    whole = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and whole.count("Exchange hashpartitioning") == 1 and "rel_path" in whole.split("Exchange hashpartitioning")[1][:60]
+
+
+def test_samples_of_a_crowded_folder_are_the_first_names(spark):
+    names = [f"{'Card' if i % 2 else 'card-'}{i:05}.tsx" for i in range(3000)]
+    (found,) = S.naming_files(entries(spark, *[f"src/ui/{n}" for n in names]).repartition(5)).collect()
+    assert found.snippet == "PascalCase: Card00001.tsx, Card00003.tsx  |  other: card-00000.tsx, card-00002.tsx"
