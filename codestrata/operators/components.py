@@ -273,7 +273,7 @@ def strong_components(edges: DataFrame, local_edges: int = LOCAL_EDGES, self_loo
     ``self_loops`` of single nodes with an edge to themselves; a component is named
     by its smallest node."""
     if self_loops:
-        found = strong_components(edges, local_edges)
+        found = Tables(edges.sparkSession, "loops").keep(strong_components(edges, local_edges))
         own = edges.where("from_path = to_path").select("project_id", F.col("from_path").alias("component"), F.col("from_path").alias("node")).distinct()
         return found.unionByName(own.join(found.select("project_id", "node"), ["project_id", "node"], "left_anti").select("project_id", "component", "node"))
     ship(edges.sparkSession)

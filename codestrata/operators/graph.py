@@ -1,7 +1,8 @@
 """Import graph: extraction, resolution, nodes and edges, graph rules.
 
-Resolution is one equi-join: each specifier gives its candidate paths in order
-of preference, candidates meet the source files, and the best rank wins.
+Resolution is one equi-join: each specifier gives the paths that it may mean
+without an extension, these meet what each source file can be imported as, and the
+best rank wins.
 """
 
 from __future__ import annotations
@@ -39,10 +40,15 @@ def extract_imports(sources: DataFrame) -> DataFrame:
     return rows.withColumn("deep", deep_segments(F.col("spec")))
 
 
-def file_candidates(base: Column) -> Column:
-    """Paths that a base may mean, in order: itself, with an extension, its index."""
-    inner = F.when(base == "", F.lit("")).otherwise(F.concat(base, F.lit("/")))
-    return F.when(base.isNotNull(), F.concat(F.array(base), F.array(*[F.concat(base, F.lit(x)) for x in RESOLVE_EXTENSIONS]), F.array(*[F.concat(inner, F.lit("index" + x)) for x in RESOLVE_EXTENSIONS])))
+def file_keys(path: Column) -> Column:
+    """What a file can be imported as, each with its place in the order of preference:
+    itself, without an extension, or as the folder whose index it is."""
+    keys = [F.struct(path.alias("base"), F.lit(0).alias("cand"))]
+    for i, x in enumerate(RESOLVE_EXTENSIONS, 1):
+        stem = F.substr(path, F.lit(1), F.length(path) - len(x))
+        keys.append(F.when(path.endswith(x), F.struct(stem.alias("base"), F.lit(i).alias("cand"))))
+        keys.append(F.when(path.endswith(x) & (basename(stem) == "index"), F.struct(dirname(stem).alias("base"), F.lit(i + len(RESOLVE_EXTENSIONS)).alias("cand"))))
+    return F.array_compact(F.array(*keys))
 
 
 def _below_root(path: Column) -> Column:
@@ -60,22 +66,37 @@ def import_bases(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     key = ["project_id", "from_path", "spec"]
     rank = lambda stage, a, t: F.struct(F.lit(stage).alias("stage"), a.cast("int").alias("alias"), t.cast("int").alias("target")).alias("rank")
     near = imports.where(spec.startswith(".")).select(*key, rank(0, F.lit(0), F.lit(0)), _below_root(F.concat(dirname(F.col("from_path")), F.lit("/"), spec)).alias("base"))
-    rows = imports.where(~spec.startswith(".")).join(aliases.select("project_id", "base_url", "paths"), "project_id", "left")
+    rows = imports.where(~spec.startswith(".")).join(aliases.select("project_id", "base_url"), "project_id", "left")
     below = rows.where(~spec.startswith("/")).select(*key, rank(2, F.lit(0), F.lit(0)), _below_root(F.concat(F.coalesce("base_url", F.lit("")), F.lit("/"), spec)).alias("base"))
-    fits = lambda p: F.when(p.has_star, spec.startswith(p.prefix) & spec.endswith(p.suffix)).otherwise(spec == p.prefix)
-    taken = rows.select(*key, F.explode(F.filter("paths", fits)).alias("p"))
-    middle = F.substr(spec, F.length("p.prefix") + 1, F.greatest(F.length("spec") - F.length("p.prefix") - F.length("p.suffix"), F.lit(0)))
-    star = F.locate("*", F.col("p.target"))
-    base = F.when(F.col("p.has_star") & (star > 0), F.concat(F.substr("p.target", F.lit(1), star - 1), middle, F.substr("p.target", star + 1))).otherwise(F.col("p.target"))
-    aliased = taken.select(*key, rank(1, F.col("p.alias_ord"), F.col("p.target_ord")), base.alias("base"))
-    return near.unionByName(aliased).unionByName(below)
+    return near.unionByName(_aliased(rows.select(*key), aliases, rank)).unionByName(below)
+
+
+def _aliased(imports: DataFrame, aliases: DataFrame, rank) -> DataFrame:
+    """Bases of specifiers that fit an alias.
+
+    An alias is met by its beginning and end as keys of a join: a specifier is cut
+    at each pair of lengths that the project's aliases have, so the work grows with
+    the lengths in use, and not with the number of aliases."""
+    spec, key = F.col("spec"), ["project_id", "from_path", "spec"]
+    declared = aliases.select("project_id", F.explode("paths").alias("p")).select("project_id", "p.*")
+    forms = declared.groupBy("project_id").agg(F.collect_set(F.struct("has_star", F.length("prefix").alias("head"), F.length("suffix").alias("tail"))).alias("forms"))
+    fits = lambda f: (f["head"] <= F.length(spec)) & (f["tail"] <= F.length(spec)) & (f["has_star"] | (f["head"] == F.length(spec)))
+    cut = imports.join(forms, "project_id").select(*key, F.explode(F.filter("forms", fits)).alias("f"))
+    cut = cut.select(*key, F.col("f.has_star").alias("has_star"), F.substr(spec, F.lit(1), F.col("f.head")).alias("prefix"), F.right(spec, F.col("f.tail")).alias("suffix"))
+    taken = cut.join(declared, ["project_id", "has_star", "prefix", "suffix"])
+    middle = F.substr(spec, F.length("prefix") + 1, F.greatest(F.length("spec") - F.length("prefix") - F.length("suffix"), F.lit(0)))
+    star = F.locate("*", F.col("target"))
+    base = F.when(F.col("has_star") & (star > 0), F.concat(F.substr("target", F.lit(1), star - 1), middle, F.substr("target", star + 1))).otherwise(F.col("target"))
+    return taken.select(*key, rank(1, F.col("alias_ord"), F.col("target_ord")), base.alias("base"))
 
 
 def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(project_id, from_path, spec, to_path) of each specifier that means a file of its project."""
-    wanted = import_bases(imports, aliases).select("project_id", "from_path", "spec", "rank", F.posexplode(file_candidates(F.col("base"))).alias("cand", "to_path"))
-    known = files.select("project_id", F.col("rel_path").alias("to_path"))
-    return wanted.join(known, ["project_id", "to_path"]).groupBy("project_id", "from_path", "spec").agg(F.min_by("to_path", F.struct("rank", "cand")).alias("to_path"))
+    """(project_id, from_path, spec, to_path) of each specifier that means a file of its project.
+
+    A base is one key, a file a few (``file_keys``); the order is decided on the hits."""
+    bases = import_bases(imports, aliases).where("base IS NOT NULL")
+    known = files.select("project_id", F.col("rel_path").alias("to_path"), F.explode(file_keys(F.col("rel_path"))).alias("k")).select("project_id", "to_path", "k.*")
+    return bases.join(known, ["project_id", "base"]).groupBy("project_id", "from_path", "spec").agg(F.min_by("to_path", F.struct("rank", "cand")).alias("to_path"))
 
 
 def no_aliases(sources: DataFrame) -> DataFrame:

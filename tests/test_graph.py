@@ -63,6 +63,29 @@ def test_alias_order(spark):
     assert resolve(spark, "exact", ["src/one.ts"], aliases=aliases) == ["src/one.ts"] and resolve(spark, "exactly", ["src/one.ts"], aliases=aliases) == []
 
 
+def test_declaration_files_indexes_and_odd_names(spark):
+    assert resolve(spark, "./m", ["src/m.d.ts"]) == ["src/m.d.ts"] and resolve(spark, "./m.d", ["src/m.d.ts"]) == ["src/m.d.ts"]
+    assert resolve(spark, "./index", ["src/index.ts", "src/index/index.ts"]) == ["src/index.ts"]
+    assert resolve(spark, "./m", ["src/m/index.d.ts", "src/m/index.cjs"]) == ["src/m/index.cjs"]
+    assert resolve(spark, "./m", ["src/m"]) == ["src/m"] and resolve(spark, ".", ["src.ts", "src/.ts"]) == ["src.ts"] and resolve(spark, "./m", ["src/mindex.ts", "src/m/xindex.ts"]) == []
+
+
+def test_five_thousand_aliases_in_order(spark):
+    n = 5000
+    aliases = [(i, f"@a{i}/", "" if i % 2 else ".x", True, 0, f"p{i}/*") for i in range(n)] + [(n, "@a", "", True, 0, "late/*"), (n + 1, "exact", "", False, 0, "p0/one")]
+    table = spark.createDataFrame([("p", "tsconfig.json", "", aliases, len(aliases))], ALIASES)
+    imports = spark.createDataFrame([("p", f"f{i % 7}.ts", f"@a{i}/m" + ("" if i % 2 else ".x")) for i in range(n)] + [("p", "f.ts", "@a77777/m"), ("p", "f.ts", "exact")], "project_id string, from_path string, spec string")
+    files = spark.createDataFrame([("p", f"p{i}/m.ts") for i in range(n)] + [("p", "late/77777/m.ts"), ("p", "late/1/m.ts"), ("p", "p0/one.ts")], "project_id string, rel_path string")
+    got = {r.spec: r.to_path for r in G.resolve_imports(imports, files, table).collect()}
+    assert got == {**{f"@a{i}/m" + ("" if i % 2 else ".x"): f"p{i}/m.ts" for i in range(n)}, "@a77777/m": "late/77777/m.ts", "exact": "p0/one.ts"}
+    assert G.import_bases(imports, table).where("base IS NOT NULL").count() <= 4 * n
+
+
+def test_a_base_is_one_key(spark):
+    imports = spark.createDataFrame([("p", "a.ts", "./m"), ("p", "a.ts", "lib/x")], "project_id string, from_path string, spec string")
+    assert G.import_bases(imports, spark.createDataFrame([], ALIASES)).count() == 2
+
+
 def test_alias_files_by_mode(spark):
     text = '{ "compilerOptions": { "baseUrl": ".", "paths": { "@/*": ["src/*"] } }, "include": ["**/*.ts"] }'
     jsonc = '{ // base\n "compilerOptions": { "paths": { "b/*": ["x/*", "y/*"], "a": ["z"], }, }, }'
