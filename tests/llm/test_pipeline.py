@@ -11,7 +11,8 @@ import pytest
 from codestrata.llm import decontaminate, langid, line_dedup, queries
 from codestrata.llm.components import brute_components
 
-from .test_operators import brute_lines, plain_simhash
+from .test_near_copies import jaccard
+from .test_operators import brute_lines
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,8 +28,10 @@ def test_run_equals_brute_force(spark):
     rejected = model.predict([t.encode() for t in docs.text])[2]
     kept = dict(zip(docs.doc_id[~rejected], docs.text[~rejected]))
     kept = dict(zip(kept, brute_lines(kept.values(), 10)))
-    prints = {i: plain_simhash(t) for i, t in kept.items()}
-    comp = brute_components(pd.DataFrame([(a, b) for a in prints for b in prints if a <= b and (prints[a] ^ prints[b]).bit_count() <= 3]))
+    # the near-dedup stage's own rule: five words, similarity 0.8 or more
+    fold = {i: t.encode().lower().decode() for i, t in kept.items()}
+    ids = list(kept)
+    comp = brute_components(pd.DataFrame([(a, b) for n, a in enumerate(ids) for b in ids[n:] if a == b or jaccard(fold[a], fold[b]) >= 0.8]))
     kept = {i: t for i, t in kept.items() if comp[i] == i}
     items = [decontaminate.words_of(t.encode()) for t in bench.text]
     sets = [(len(w), decontaminate.shingles_of(w)) for w in items]
