@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .operators.structure import project_stats, structural_issues
 from .plans import migration, render, report
+from .plans.sink import write_files
 from .schema import Limits
 from .sources.fstree import read_configs, read_entries, read_sources
 
@@ -73,7 +74,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
     if args.tree:
         rows = render.tree_rows(entries, report.issue_map(structural_issues(entries, limits)), max_depth=args.depth)
         for project in projects:
-            print(render.render_tree(rows, project))
+            print(render.render_tree(rows, project, args.depth))
         return 0
     if args.recommend:
         flags = render.layout_flags(entries)
@@ -85,12 +86,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> int:
         moves, removes, guidance = migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues)
         os.makedirs(args.scripts, exist_ok=True)
         made = {"sh": render.bash_script(entries, moves, removes, guidance), "ps1": render.powershell_script(entries, moves, removes, guidance), "md": render.markdown_plan(project_stats(entries), moves, removes, guidance)}
+        place = F.create_map(*[x for i, p in enumerate(sorted(projects)) for x in (F.lit(p), F.lit(f"migration-{i}."))])
         for end, scripts in made.items():
-            for i, r in enumerate(scripts.sort("project_id").collect()):
-                path = os.path.join(args.scripts, f"migration-{i}.{end}")
-                with open(path, "w", encoding="utf-8") as f:
-                    f.write(r.script + "\n")
-                print(path)
+            write_files(scripts.select(F.concat(F.element_at(place, F.col("project_id")), F.lit(end)).alias("name"), F.concat("script", F.lit("\n")).alias("body")), args.scripts)
+            for i in range(len(projects)):
+                print(os.path.join(args.scripts, f"migration-{i}.{end}"))
         return 0
     reports = report.report(entries, read_sources(entries, projects), read_configs(entries, projects), limits).persist()
     if args.json:

@@ -1,7 +1,6 @@
 """Text views: migration scripts, trees, recommended layouts, briefs.
 
-Scripts are one aggregation per project; names are shell-quoted.  Trees and
-layouts are text of one project and are built on the driver from bounded rows.
+Scripts and trees are one aggregation per project; names are shell-quoted.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import dirname
 from ..schema import RULES
+from ..scratch import Tables
 
 
 def bash_quote(name: Column) -> Column:
@@ -100,29 +100,38 @@ def tree_rows(entries: DataFrame, tags: DataFrame, max_depth: int = 4, top_files
     return rows.select("project_id", "rel_path", "parent", "name", "kind", "place", hidden.alias("hidden"), hint.alias("hint"), F.coalesce("tags", F.array().cast("array<string>")).alias("tags"))
 
 
-def render_tree(rows: DataFrame, project_id: str) -> str:
-    """ASCII tree of one project from ``tree_rows``."""
-    kids: dict[str, list] = {}
-    for r in rows.where(F.col("project_id") == project_id).collect():  # bounded in depth and files a folder
-        kids.setdefault(r.parent, []).append(r)
-    out = [f"{project_id}/"]
-
-    def show(parent: str, lead: str) -> None:
-        own = sorted(kids.get(parent, []), key=lambda r: (r.kind != "dir", r.place))
-        if not own and parent:
-            out.append(f"{lead}└── (empty)")
-        for i, r in enumerate(own):
-            last = i == len(own) - 1 and not r.hidden
-            marks = f"  [{', '.join(r.tags)}]" if r.tags else ""
-            hint = f"  {r.hint}" if r.hint else ""
-            out.append(f"{lead}{'└── ' if last else '├── '}{r.name}{'/' if r.kind == 'dir' else ''}{marks}{hint}")
-            if r.kind == "dir":
-                show(r.rel_path, lead + ("    " if last else "│   "))
-            if r.hidden:
-                out.append(f"{lead}└── … {r.hidden} more files")
-
-    show("", "")
-    return "\n".join(out)
+def tree_text(rows: DataFrame, max_depth: int = 4) -> DataFrame:
+    """(project_id, tree): an ASCII tree of each project from ``tree_rows``.
+
+    A row's place in pre-order is the list of its ancestors' places and its own; it
+    and the strokes before a name are handed down level by level, in as many joins
+    as the tree is deep."""
+    among = W.partitionBy("project_id", "parent").orderBy(F.col("kind") != "dir", "place")
+    tables = Tables(rows.sparkSession, "tree")  # every level is joined to the rows, and every line comes from a level
+    rows = tables.keep(rows.withColumns({"n": F.row_number().over(among), "last": F.lead("kind").over(among).isNull() & (F.col("hidden") == 0)}))
+    own = ["project_id", "rel_path", "kind", "name", "hidden", "hint", "tags", "last"]
+    level = rows.where("parent = ''").select(*own, F.array("n").alias("key"), F.lit("").alias("lead"))
+    every = level
+    for _ in range(max_depth - 1):
+        above = level.where("kind = 'dir'").select("project_id", F.col("rel_path").alias("parent"), F.col("key").alias("up"), F.concat("lead", F.when(F.col("last"), "    ").otherwise("│   ")).alias("lead"))
+        level = rows.join(above, ["project_id", "parent"]).select(*own, F.concat("up", F.array("n")).alias("key"), "lead")
+        every = every.unionByName(level)
+    every = tables.keep(every)
+    name = F.concat("name", F.when(F.col("kind") == "dir", "/").otherwise(""), F.when(F.size("tags") > 0, F.concat(F.lit("  ["), F.array_join("tags", ", "), F.lit("]"))).otherwise(""), F.coalesce(F.concat(F.lit("  "), "hint"), F.lit("")))
+    shown = every.select("project_id", "key", F.concat("lead", F.when(F.col("last"), "└── ").otherwise("├── "), name).alias("line"))
+    more = every.where("hidden > 0").select("project_id", F.concat("key", F.array(F.lit(1))).alias("key"), F.concat("lead", F.format_string("└── … %d more files", "hidden")).alias("line"))
+    inside = rows.select("project_id", F.col("parent").alias("rel_path")).distinct()
+    bare = every.where("kind = 'dir'").join(inside, ["project_id", "rel_path"], "left_anti")
+    empty = bare.select("project_id", F.concat("key", F.array(F.lit(1))).alias("key"), F.concat("lead", F.when(F.col("last"), "    ").otherwise("│   "), F.lit("└── (empty)")).alias("line"))
+    lines = shown.unionByName(more).unionByName(empty)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "line"))), lambda r: r.line), "\n")
+    return lines.groupBy("project_id").agg(F.concat("project_id", F.lit("/\n"), text).alias("tree"))
+
+
+def render_tree(rows: DataFrame, project_id: str, max_depth: int = 4) -> str:
+    """The tree of one project as a string; of one without entries, its name."""
+    found = tree_text(rows.where(F.col("project_id") == project_id), max_depth).first()
+    return found.tree if found else f"{project_id}/"
 
 
 #: Folders whose existence decides on a layout.

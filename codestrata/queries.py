@@ -447,6 +447,20 @@ def tree_topk(spark, d):
     return render.tree_rows(page_entries(spark, d), none).select("project_id", "rel_path", "kind", F.col("place").cast("long").alias("place"), F.col("hidden").cast("long").alias("hidden"), "hint")
 
 
+TREE_TEXT_SQL = TREE_SQL.replace(" SELECT project_id, rel_path, kind,", ", shown AS (SELECT project_id, rel_path, parent, name, kind,", 1) + """), tree AS (SELECT *, row_number() OVER kids AS n, lead(kind) OVER kids IS NULL AND hidden = 0 AS last FROM shown WINDOW kids AS (PARTITION BY project_id, parent ORDER BY kind <> 'dir', place)),
+ walk AS (SELECT project_id, rel_path, kind, name, hidden, hint, last, [n] AS key, '' AS stem FROM tree WHERE parent = ''
+  UNION ALL SELECT t.project_id, t.rel_path, t.kind, t.name, t.hidden, t.hint, t.last, list_append(w.key, t.n), w.stem || CASE WHEN w.last THEN '    ' ELSE '│   ' END FROM tree t JOIN walk w ON t.project_id = w.project_id AND t.parent = w.rel_path AND w.kind = 'dir'),
+ lines AS (SELECT project_id, key, stem || CASE WHEN last THEN '└── ' ELSE '├── ' END || name || CASE WHEN kind = 'dir' THEN '/' ELSE '' END || coalesce('  ' || hint, '') AS line FROM walk
+  UNION ALL SELECT project_id, list_append(key, 1), stem || '└── … ' || hidden || ' more files' FROM walk WHERE hidden > 0)
+ SELECT project_id, project_id || '/' || chr(10) || string_agg(line, chr(10) ORDER BY key) AS tree FROM lines GROUP BY project_id"""
+
+
+@query("tree_text", TREE_TEXT_SQL)
+def tree_text(spark, d):
+    none = spark.createDataFrame([], "project_id string, path string, tags array<string>")
+    return render.tree_text(render.tree_rows(page_entries(spark, d), none))
+
+
 # Names that stay at the root, as in plans/migration.py.
 MOVES_SQL = r""", moves AS (SELECT project_id, name AS from_path, 'src/' || name AS to_path, 1 AS o FROM entries WHERE parent = '' AND kind = 'file' AND regexp_matches(name, '\.[tj]sx?$') AND NOT regexp_matches(name, '\.d\.ts$')
   AND NOT regexp_matches(name, '^(next|tailwind|postcss|jest|vitest|playwright|eslint|prettier|vite|drizzle)\.config\.|\.config\.[mc]?[jt]s$|^middleware\.[tj]s$|^instrumentation\.[tj]s$') AND project_id IN (SELECT project_id FROM issues WHERE rule = 'root-chaos')

@@ -14,11 +14,13 @@ import os
 import re
 from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition, LessThan, LessThanOrEqual, Not, StringEndsWith
 
 from ..schema import ALIASES, CONFIGS, ENTRIES, SKIP_DIRS, SOURCE_EXTENSIONS, SOURCES
 from ..ship import ship
@@ -28,6 +30,9 @@ from ..ship import ship
 PARTS = 256
 #: Bytes of files that a reader holds at once; a larger file is held alone.
 HELD_BYTES = 16 << 20
+#: Rows that a walk hands on at once.
+BATCH_ROWS = 4096
+ARROW = pa.schema([("project_id", pa.string()), ("rel_path", pa.string()), ("name", pa.string()), ("parent", pa.string()), ("depth", pa.int32()), ("kind", pa.string()), ("size", pa.int64()), ("readable", pa.bool_())])
 
 
 class Subtree(InputPartition):
@@ -50,12 +55,55 @@ def _size(path: str) -> int | None:
         return None
 
 
-def walk(project: str, root: str, rel: str, depth: int, deep: bool, skip: frozenset[str]) -> Iterator[tuple]:
+class Wanted:
+    """What the pushed filters leave of a walk.  They only save work: Spark applies them again."""
+
+    def __init__(self):
+        self.deepest: int | None = None  # depth of the last folders to list
+        self.at_root = False  # only entries of the project's own folder
+        self.files = self.folders = True
+        self.names: frozenset[str] | None = None
+        self.end = ""
+
+    def take(self, f: Filter) -> None:
+        column = getattr(f, "attribute", ())
+        if isinstance(f, Not):
+            inner = f.child
+            if isinstance(inner, EqualTo) and inner.attribute == ("kind",) and inner.value == "dir":
+                self.folders = False
+        elif column == ("depth",) and isinstance(f, (EqualTo, LessThanOrEqual, LessThan)):
+            most = f.value - isinstance(f, LessThan)
+            self.deepest = most if self.deepest is None else min(self.deepest, most)
+        elif column == ("parent",) and isinstance(f, EqualTo) and f.value == "":
+            self.at_root = True
+        elif column == ("kind",) and isinstance(f, EqualTo):
+            self.files, self.folders = self.files and f.value != "dir", self.folders and f.value == "dir"
+        elif column == ("name",) and isinstance(f, (EqualTo, In)):
+            found = frozenset([f.value] if isinstance(f, EqualTo) else f.value)
+            self.names = found if self.names is None else self.names & found
+        elif column == ("name",) and isinstance(f, StringEndsWith) and len(f.value) > len(self.end):
+            self.end = f.value
+
+    def listed(self, depth: int) -> bool:
+        """Whether a folder at that depth is listed at all."""
+        if self.deepest is not None and depth > self.deepest:
+            return False
+        return not self.at_root or depth == 0 or depth == 1 and self.folders
+
+    def file(self, depth: int, name: str) -> bool:
+        """Whether a file in a folder at that depth may be wanted."""
+        return self.files and (not self.at_root or depth == 0) and (self.names is None or name in self.names) and name.endswith(self.end)
+
+
+def walk(project: str, root: str, rel: str, depth: int, deep: bool, skip: frozenset[str], wanted: Wanted | None = None) -> Iterator[tuple]:
     """Rows of ``entries`` for a directory and what it holds.  An unreadable
     directory gives its own row only.  Explicit stack: depth is unbounded."""
+    wanted = wanted or Wanted()
     stack = [(rel, depth)]
     while stack:
         at, d = stack.pop()
+        if not wanted.listed(d):
+            continue
         full = os.path.join(root, at) if at else root
         name = os.path.basename(at) if at else os.path.basename(os.path.abspath(root))
         parent = None if not at else at.rpartition("/")[0]
@@ -68,7 +116,8 @@ def walk(project: str, root: str, rel: str, depth: int, deep: bool, skip: frozen
         for e in kids:
             path, kind = (f"{at}/{e.name}" if at else e.name), _kind(e)
             if kind != "dir":
-                yield project, path, e.name, at, d, kind, _size(os.path.join(full, e.name)), True
+                if wanted.file(d, e.name):
+                    yield project, path, e.name, at, d, kind, _size(os.path.join(full, e.name)), True
             elif deep and e.name not in skip:
                 stack.append((path, d + 1))
 
@@ -77,6 +126,12 @@ class FsTreeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.projects: dict[str, str] = json.loads(options["projects"])
         self.skip = frozenset(json.loads(options.get("skipdirs", json.dumps(SKIP_DIRS))))
+        self.wanted = Wanted()
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            self.wanted.take(f)
+            yield f
 
     def partitions(self) -> list[InputPartition]:
         parts: list[InputPartition] = []
@@ -84,6 +139,8 @@ class FsTreeReader(DataSourceReader):
         while todo and len(parts) + len(todo) < PARTS:
             project, root, rel, depth = todo.popleft()
             parts.append(Subtree(project, root, rel, depth, False))
+            if not self.wanted.listed(depth + 1):
+                continue
             try:
                 kids = sorted(e.name for e in os.scandir(os.path.join(root, rel)) if e.is_dir(follow_symlinks=False) and e.name not in self.skip)
             except OSError:
@@ -91,8 +148,10 @@ class FsTreeReader(DataSourceReader):
             todo += [(project, root, f"{rel}/{name}" if rel else name, depth + 1) for name in kids]
         return parts + [Subtree(*left, True) for left in todo]
 
-    def read(self, part: Subtree) -> Iterator[tuple]:
-        yield from walk(part.project, part.root, part.rel, part.depth, part.deep, self.skip)
+    def read(self, part: Subtree) -> Iterator[pa.RecordBatch]:
+        rows = walk(part.project, part.root, part.rel, part.depth, part.deep, self.skip, self.wanted)
+        while some := list(islice(rows, BATCH_ROWS)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), ARROW.types)], schema=ARROW)
 
 
 class FsTree(DataSource):
@@ -112,6 +171,7 @@ class FsTree(DataSource):
 
 def read_entries(spark: SparkSession, projects: dict[str, str], skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the reader has it, and Spark refuses it otherwise
     spark.dataSource.register(FsTree)
     return spark.read.format("fstree").option("projects", json.dumps(projects)).option("skipDirs", json.dumps(list(skip_dirs))).load()
 
