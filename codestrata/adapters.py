@@ -266,3 +266,19 @@ def event_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = events.select("project_id", F.lit("tsconfig.json").alias("name"), F.when(F.col("i") % 5 == 0, F.concat(F.lit("{"), body)).otherwise(body).alias("content"))
     second = events.where("i % 10 = 0").select("project_id", F.lit("jsconfig.json").alias("name"), F.lit("{}").alias("content"))
     return first.unionByName(second)
+
+
+def linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as source files that import the source's next document by name and its first by an alias."""
+    whole = W.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.lead("doc_id").over(whole).alias("next"), F.min("doc_id").over(W.partitionBy("source")).alias("first"))
+    name = lambda c: F.concat(F.lit("doc_"), F.col(c).cast("string"))
+    after = F.when(F.col("next").isNotNull(), F.concat(F.lit("import n from './"), name("next"), F.lit("';"))).otherwise(";")
+    content = F.concat("text", F.lit("\n"), after, F.lit("\nimport f from '@/"), name("first"), F.lit("';\n"))
+    return docs.select(F.col("source").alias("project_id"), F.concat(name("doc_id"), F.lit(".ts")).alias("rel_path"), content.alias("content"))
+
+
+def linked_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alias for the project folder, for each source."""
+    sources = table(spark, sf_dir, "documents").select(F.col("source").alias("project_id")).distinct()
+    return sources.select("project_id", F.lit("tsconfig.json").alias("name"), F.lit('{"compilerOptions": {"paths": {"@/*": ["./*"]}}}').alias("content"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from .operators import structure as S
 from .operators.components import strong_components
 from .operators.profile import detect_stack
 from .plans import migration, render, report
-from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, EXPLANATIONS, ISSUE_TYPES, RULES, Limits, rules
+from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, ISSUE_TYPES, RULES, Limits, rules
+from .scratch import shared_dir
 from .sources.fstree import load_aliases, read_entries, source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -492,8 +494,18 @@ def guidance(spark, d):
     return migration.plan_guidance(doc_issues(spark, d)).withColumn("n", F.col("n").cast("long"))
 
 
-WHY_SQL = "CASE i.rule " + " ".join(f"WHEN '{r}' THEN '{w[0]}'" for r, w in EXPLANATIONS.items() if r != "misplaced-file") + " ELSE " + "CASE detail " + " ".join(f"WHEN '{to}' THEN '{why}.'" for _, _, to, why in S.MISPLACED) + " END END"
-
+# Written out, so that a wrong constant on one side shows.
+WHY_SQL = """CASE i.rule
+  WHEN 'root-chaos' THEN 'More than 3 script files sit directly in the project folder, next to settings and lock files.'
+  WHEN 'duplicate-concept' THEN 'One folder holds at least 2 subfolders out of the same group of synonyms, so new code has no single home.'
+  WHEN 'deep-nesting' THEN 'The folder lies more than 5 levels below the project, and each level adds a segment to every path through it.'
+  WHEN 'fat-folder' THEN 'The folder lists over 18 files of its own (over 20 at the top), none of them grouped.'
+  WHEN 'naming-mismatch' THEN 'Of 3 or more neighbours some are written in one case style and some in another.'
+  WHEN 'missing-barrel' THEN 'At least 3 scripts share a folder that others import from, and it has no index script.'
+  WHEN 'scattered-config' THEN 'A settings file was found 1 or more levels below the folder in which its tool starts.'
+  WHEN 'empty-dir' THEN 'The listing shows 0 entries in this folder once skipped names are left out.'
+  ELSE CASE detail WHEN 'components/' THEN 'a component belongs with the components.' WHEN 'a dedicated tests/ or __tests__/ directory' THEN 'a test belongs apart from the sources.'
+    WHEN 'correct directory' THEN 'configuration belongs at the project root.' WHEN 'prisma/' THEN 'a schema belongs in prisma/.' END END"""
 
 @query("migration_plan", ISSUES_SQL + RULES_SQL + f""", ranked AS (SELECT i.project_id, i.rule, file, {WHY_SQL} AS why, row_number() OVER (PARTITION BY i.project_id ORDER BY migration_ord, file, detail) AS n, count(*) OVER (PARTITION BY i.project_id) AS total
   FROM issues i JOIN facts f ON i.rule = f.rule WHERE migration_ord IS NOT NULL) SELECT project_id, n, rule, why, greatest(total - 12, 0) AS remaining FROM ranked WHERE n <= 12""")
@@ -501,6 +513,22 @@ def migration_plan(spark, d):
     return migration.migration_plan(doc_issues(spark, d)).select("project_id", F.col("n").cast("long").alias("n"), "rule", "why", "remaining")
 
 
+ACTIONS_SQL = """, acted AS (SELECT i.project_id, i.rule, file, migration_ord,
+    CASE i.rule WHEN 'root-chaos' THEN snippet || ' (in the root)' WHEN 'duplicate-concept' THEN array_to_string(list_transform(string_split(detail, ','), lambda x: file || x || '/'), ' + ')
+      WHEN 'deep-nesting' THEN file || ' (' || detail || ' levels)' WHEN 'fat-folder' THEN file || ' (' || detail || ' files)'
+      WHEN 'naming-mismatch' THEN file || ' (' || CASE WHEN detail = '' THEN 'inconsistent' ELSE replace(detail, ',', ' + ') END || ')' ELSE file END AS source,
+    CASE i.rule WHEN 'root-chaos' THEN 'src/' WHEN 'duplicate-concept' THEN file || split_part(detail, ',', 1) || '/' WHEN 'misplaced-file' THEN detail WHEN 'deep-nesting' THEN 'one or two levels less, or a path alias'
+      WHEN 'fat-folder' THEN file || '<concern>/' WHEN 'naming-mismatch' THEN 'one style' WHEN 'missing-barrel' THEN file || 'index.ts' WHEN 'scattered-config' THEN regexp_replace(file, '^.*/', '') ELSE '(delete)' END AS target
+  FROM issues i JOIN facts f ON i.rule = f.rule WHERE migration_ord IS NOT NULL)
+ SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY migration_ord, file, source) AS n, rule, source, target FROM acted"""
+
+
+@query("migration_actions", ISSUES_SQL + RULES_SQL + ACTIONS_SQL)
+def migration_actions(spark, d):
+    """Every action of the plan, with what it moves and where to."""
+    return migration.migration_plan(doc_issues(spark, d), top=1 << 30).select("project_id", F.col("n").cast("long").alias("n"), "rule", "source", "target")
+
+
 _K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER)"
 STACK_SQL = f"""k AS (SELECT 'e' || event_id AS project_id, {_K} AS k FROM events)
 SELECT project_id, project_id AS name, concat_ws('|', CASE WHEN k % 2 = 0 THEN 'Next.js 14' ELSE 'React ' || (k % 20) END, CASE WHEN k % 3 = 0 THEN 'TypeScript' END, CASE WHEN k % 5 = 0 THEN 'App Router' WHEN k % 7 = 0 THEN 'Pages Router' END,
@@ -553,12 +581,49 @@ def render_markdown(spark, d):
     return render.markdown_plan(S.project_stats(entries), *plans)
 
 
-_QUOTED = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for v in (*r, *EXPLANATIONS[r[0]])) + ")" for r in RULES)
+# Written out, as above.
+FACTS_OF_RULES_SQL = """, r(rule, badge, category, label, severity, penalty, sort_ord, migration_ord, explanation, example) AS (VALUES
+  ('circular-dependency', 'CRIT', 'architecture', 'Circular dependency', 'critical', 10, 1, NULL, 'Two or more files reach each other through imports; whichever loads first sees the others half initialised.', 'a.ts imports b.ts, which imports a.ts'),
+  ('root-chaos', 'CRIT', 'structure', 'Loose root files', 'warning', 6, 2, 1, 'More than 3 script files sit directly in the project folder, next to settings and lock files.', 'utils.ts beside package.json'),
+  ('duplicate-concept', 'WARN', 'structure', 'Duplicate concept', 'warning', 8, 3, 2, 'One folder holds at least 2 subfolders out of the same group of synonyms, so new code has no single home.', 'utils/ and helpers/'),
+  ('god-file', 'WARN', 'architecture', 'God file', 'warning', 5, 4, NULL, 'The file counts 400 lines or resolves 30 imports, or more of either.', 'service.ts with 900 lines'),
+  ('deep-nesting', 'WARN', 'structure', 'Deep nesting', 'warning', 4, 5, 4, 'The folder lies more than 5 levels below the project, and each level adds a segment to every path through it.', 'a/b/c/d/e/f'),
+  ('fat-folder', 'WARN', 'structure', 'Fat folder', 'warning', 6, 6, 5, 'The folder lists over 18 files of its own (over 20 at the top), none of them grouped.', 'components/ with 40 files'),
+  ('orphan-file', 'WARN', 'architecture', 'Orphan file', 'warning', 5, 7, NULL, 'The file exports something, no other file resolves an import to it, and its name marks no entry point.', 'old-helper.ts'),
+  ('misplaced-file', 'WARN', 'structure', 'Misplaced file', 'warning', 4, 8, 3, 'The name of the file says one kind, the folder above it another.', 'utils/Card.tsx'),
+  ('naming-mismatch', 'INFO', 'naming', 'Mixed naming', 'info', 5, 9, 6, 'Of 3 or more neighbours some are written in one case style and some in another.', 'userCard/ beside user-list/'),
+  ('missing-barrel', 'INFO', 'structure', 'Missing barrel', 'info', 3, 10, 7, 'At least 3 scripts share a folder that others import from, and it has no index script.', 'hooks/ without index.ts'),
+  ('deep-relative-import', 'INFO', 'architecture', 'Deep relative import', 'info', 2, 11, NULL, 'The import goes up 3 folders or more before it comes down again.', '../../../lib/x'),
+  ('scattered-config', 'INFO', 'structure', 'Scattered config', 'info', 3, 12, 8, 'A settings file was found 1 or more levels below the folder in which its tool starts.', 'src/jest.config.js'),
+  ('empty-dir', 'INFO', 'structure', 'Empty directory', 'info', 2, 13, 9, 'The listing shows 0 entries in this folder once skipped names are left out.', 'old/'))"""
+
+
+@query("rules_dimension", ISSUES_SQL + FACTS_OF_RULES_SQL + """, n AS (SELECT rule, count(*) AS found, count(DISTINCT project_id) AS projects FROM issues GROUP BY rule)
+ SELECT r.rule, badge, category, label, severity, CAST(penalty AS BIGINT) AS penalty, CAST(sort_ord AS BIGINT) AS sort_ord, CAST(coalesce(migration_ord, 0) AS BIGINT) AS migration_ord, explanation, example, coalesce(found, 0) AS found, coalesce(projects, 0) AS projects FROM r LEFT JOIN n ON r.rule = n.rule""")
+def rules_dimension(spark, d):
+    """What is known of each rule, and how often it fires."""
+    found = doc_issues(spark, d).groupBy("rule").agg(F.count(F.lit(1)).alias("found"), F.countDistinct("project_id").alias("projects"))
+    rows = rules(spark).join(found, "rule", "left").withColumns({"found": F.coalesce("found", F.lit(0)), "projects": F.coalesce("projects", F.lit(0))})
+    return rows.withColumns({"penalty": F.col("penalty").cast("long"), "sort_ord": F.col("sort_ord").cast("long"), "migration_ord": F.coalesce("migration_ord", F.lit(0)).cast("long")})
+
 
+HOSTILE_SQL = """dirs AS (SELECT 'n' || c_nationkey AS project_id, 'it''s $(c' || c_custkey || ') `x`' AS path FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)),
+ every AS (SELECT DISTINCT 'n' || c_nationkey AS project_id FROM customer),"""
 
-@query("rules_dimension", f"r(rule, badge, category, label, severity, penalty, sort_ord, migration_ord, explanation, example) AS (VALUES {_QUOTED}) SELECT rule, badge, category, label, severity, CAST(penalty AS BIGINT) AS penalty, CAST(sort_ord AS BIGINT) AS sort_ord, CAST(coalesce(migration_ord, 0) AS BIGINT) AS migration_ord, explanation, example FROM r")
-def rules_dimension(spark, d):
-    return rules(spark).withColumns({"penalty": F.col("penalty").cast("long"), "sort_ord": F.col("sort_ord").cast("long"), "migration_ord": F.coalesce("migration_ord", F.lit(0)).cast("long")})
+
+@query("render_removals", HOSTILE_SQL + """ quoted AS (SELECT project_id, path, chr(39) || replace(path, chr(39), chr(39) || chr(92) || chr(39) || chr(39)) || chr(39) AS bash, chr(39) || replace(path, chr(39), chr(39) || chr(39)) || chr(39) AS shell FROM dirs),
+ lines AS (SELECT project_id, 0 AS section, '' AS o, '#!/usr/bin/env bash' || chr(10) || '# Review before running; commit first.' || chr(10) || 'set -euo pipefail' AS bash, '# Review before running; commit first.' || chr(10) || '$ErrorActionPreference = ' || chr(39) || 'Stop' || chr(39) AS shell FROM every
+ UNION ALL SELECT project_id, 3, path, 'rmdir -- ' || bash || ' 2>/dev/null || echo ' || chr(39) || 'kept (not empty): ' || bash[2:], 'if (-not (Get-ChildItem -LiteralPath ' || shell || ' -Force)) { Remove-Item -LiteralPath ' || shell || ' }' FROM quoted)
+ SELECT project_id, string_agg(bash, chr(10) ORDER BY section, o) AS bash, string_agg(shell, chr(10) ORDER BY section, o) AS shell FROM lines GROUP BY project_id""")
+def render_removals(spark, d):
+    """Removals of empty folders whose names hold quotes, substitutions and blanks."""
+    custom = F.regexp_replace("rel_path", "^c([0-9]+)", "it's \\$(c$1) `x`")
+    entries = A.customer_entries(spark, d).withColumns({"rel_path": custom, "parent": F.regexp_replace("parent", "^c([0-9]+)", "it's \\$(c$1) `x`")})
+    entries = entries.withColumn("name", F.element_at(F.split("rel_path", "/"), -1))
+    issues = S.empty_dirs(entries)
+    plans = entries, migration.plan_moves(entries, issues), migration.plan_removes(issues), migration.plan_guidance(issues)
+    bash = render.bash_script(*plans).withColumnRenamed("script", "bash")
+    return bash.join(render.powershell_script(*plans).withColumnRenamed("script", "shell"), "project_id")
 
 
 @query("score_bar", "s AS (SELECT p_partkey, p_partkey % 101 AS score FROM part) SELECT p_partkey, repeat('█', CAST(floor(score / 100.0 * 30 + 0.5) AS BIGINT)) || repeat('░', 30 - CAST(floor(score / 100.0 * 30 + 0.5) AS BIGINT)) AS bar FROM s")
@@ -622,19 +687,45 @@ def report_facts(spark, d):
     )
 
 
+LINKED_SQL = """docs AS (SELECT source AS project_id, 'doc_' || doc_id || '.ts' AS rel_path, doc_id, text, lead(doc_id) OVER w AS next, first_value(doc_id) OVER w AS first FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ linked AS (SELECT project_id, rel_path, len(string_split(text, chr(10))) + 3 AS loc, regexp_matches(text, '(?:^|[\\n;])\\s*export\\b') AS exported, (CASE WHEN next IS NULL THEN 0 ELSE 1 END) + (CASE WHEN doc_id = first THEN 0 ELSE 1 END) AS n FROM docs),
+ per AS (SELECT project_id, count(*) AS files, CAST(sum(n) AS BIGINT) AS edges, 'doc_' || min(doc_id) || '.ts' AS first, list_sort(list(rel_path)) AS members FROM linked JOIN docs USING (project_id, rel_path) GROUP BY project_id),
+ found AS (SELECT project_id, 0 AS o, CAST(0 AS BIGINT) AS w, members[1] AS file, 'circular-dependency ' || members[1] || ' ' || len(members) AS line FROM per WHERE files > 1
+  UNION ALL SELECT l.project_id, 1, 0, rel_path, 'orphan-file ' || rel_path || ' 0' FROM linked l JOIN per USING (project_id) WHERE exported AND files = 1
+  UNION ALL SELECT project_id, 2, -(loc + 10 * n), rel_path, 'god-file ' || rel_path || ' ' || loc FROM linked WHERE loc >= 400)
+ SELECT p.project_id, edges, edges AS total_imports, files AS file_count, files - 1 AS max_fan_in, CASE WHEN files > 1 THEN first END AS max_fan_in_file, 'tsconfig.json' AS alias_config, CAST(1 AS BIGINT) AS alias_count, coalesce(string_agg(line, chr(10) ORDER BY o, w, file), '') AS issues
+ FROM per p LEFT JOIN found f ON p.project_id = f.project_id GROUP BY ALL"""
+
+
+@query("report_graph", LINKED_SQL)
+def report_graph(spark, d):
+    """Reports whose graph has edges, by name and by alias: figures, and the graph issues in the report's order."""
+    made = report.report(doc_entries(spark, d), A.linked_sources(spark, d), A.linked_configs(spark, d), DOC_LIMITS)
+    of_graph = F.filter("issues", lambda i: i.rule.isin("circular-dependency", "orphan-file", "god-file", "deep-relative-import"))
+    size = lambda i: F.coalesce(F.when(i.rule == "circular-dependency", F.size(i.cycle)), i["loc"], F.lit(0))
+    lines = F.array_join(F.transform(of_graph, lambda i: F.concat_ws(" ", i.rule, i.file, size(i).cast("string"))), "\n")
+    g = [F.col(f"graph_stats.{c}").alias(c) for c in ("edges", "total_imports", "file_count", "max_fan_in", "max_fan_in_file", "alias_config")]
+    return made.select("project_id", *g, F.col("graph_stats.alias_count").cast("long").alias("alias_count"), lines.alias("issues"))
+
+
 @query("project_report")
 def project_report(spark, d):
     return report.report_json(_doc_report(spark, d).drop("generated_at"))
 
 
-_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-
-
-@query("folder_listing", "t AS (SELECT unnest([" + ", ".join(f"'{t}'" for t in _TABLES) + "]) || '.parquet' AS name) SELECT name, name AS rel_path, '' AS parent, CAST(0 AS BIGINT) AS depth, 'file' AS kind, true AS readable FROM t")
+@query("folder_listing", """lines AS (SELECT 'n=' || c_nationkey AS n, 's=' || c_mktsegment AS s, octet_length(encode(c_custkey || ' ' || c_name)) + 1 AS size FROM customer),
+ f AS (SELECT n, s, n || '/' || s AS path, CAST(sum(size) AS BIGINT) AS size FROM lines GROUP BY n, s)
+ SELECT DISTINCT '' AS rel_path, NULL AS parent, CAST(0 AS BIGINT) AS depth, 'dir' AS kind, CAST(-1 AS BIGINT) AS size, true AS readable FROM f UNION ALL SELECT DISTINCT n, '', CAST(1 AS BIGINT), 'dir', CAST(-1 AS BIGINT), true FROM f UNION ALL SELECT path, n, CAST(2 AS BIGINT), 'dir', CAST(-1 AS BIGINT), true FROM f
+ UNION ALL SELECT path || '/file', path, CAST(2 AS BIGINT), 'file', size, true FROM f""")
 def folder_listing(spark, d):
-    """The tables' own folder through the data source."""
-    rows = read_entries(spark, {"tables": d.removeprefix("file://")}).where(F.col("name").isin(*[f"{t}.parquet" for t in _TABLES]))
-    return rows.select("name", "rel_path", "parent", F.col("depth").cast("long").alias("depth"), "kind", "readable")
+    """A nested tree of files, written from customers (a folder for each nation and segment), through the data source."""
+    root = f"{shared_dir(spark)}/listing-{uuid.uuid4().hex}"
+    line = F.concat_ws(" ", F.col("c_custkey").cast("string"), "c_name").alias("value")
+    rows = A.table(spark, d, "customer").select(line, F.col("c_nationkey").alias("n"), F.col("c_mktsegment").alias("s"))
+    rows.repartition("n", "s").write.option("maxRecordsPerFile", 0).partitionBy("n", "s").text(root)
+    found = read_entries(spark, {"tree": root.removeprefix("file://").replace("file:", "")}).where(F.col("name").startswith("part-") | (F.col("kind") == "dir"))
+    path = F.regexp_replace("rel_path", "/part-[^/]*$", "/file")
+    return found.select(path.alias("rel_path"), "parent", F.col("depth").cast("long").alias("depth"), "kind", F.coalesce("size", F.lit(-1)).alias("size"), "readable")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
