@@ -66,22 +66,22 @@ def import_bases(imports: DataFrame, aliases: DataFrame) -> DataFrame:
     key = ["project_id", "from_path", "spec"]
     rank = lambda stage, a, t: F.struct(F.lit(stage).alias("stage"), a.cast("int").alias("alias"), t.cast("int").alias("target")).alias("rank")
     near = imports.where(spec.startswith(".")).select(*key, rank(0, F.lit(0), F.lit(0)), _below_root(F.concat(dirname(F.col("from_path")), F.lit("/"), spec)).alias("base"))
-    rows = imports.where(~spec.startswith(".")).join(aliases.select("project_id", "base_url"), "project_id", "left")
+    lengths = F.array_distinct(F.transform("paths", lambda p: F.struct(p.has_star.alias("has_star"), F.length(p.prefix).alias("head"), F.length(p.suffix).alias("tail"))))
+    rows = imports.where(~spec.startswith(".")).join(aliases.select("project_id", "base_url", lengths.alias("forms")), "project_id", "left")
     below = rows.where(~spec.startswith("/")).select(*key, rank(2, F.lit(0), F.lit(0)), _below_root(F.concat(F.coalesce("base_url", F.lit("")), F.lit("/"), spec)).alias("base"))
-    return near.unionByName(_aliased(rows.select(*key), aliases, rank)).unionByName(below)
+    return near.unionByName(_aliased(rows, aliases, rank)).unionByName(below)
 
 
-def _aliased(imports: DataFrame, aliases: DataFrame, rank) -> DataFrame:
-    """Bases of specifiers that fit an alias.
+def _aliased(rows: DataFrame, aliases: DataFrame, rank) -> DataFrame:
+    """Bases of specifiers (with the ``forms`` of their project's aliases) that fit an alias.
 
     An alias is met by its beginning and end as keys of a join: a specifier is cut
     at each pair of lengths that the project's aliases have, so the work grows with
     the lengths in use, and not with the number of aliases."""
     spec, key = F.col("spec"), ["project_id", "from_path", "spec"]
     declared = aliases.select("project_id", F.explode("paths").alias("p")).select("project_id", "p.*")
-    forms = declared.groupBy("project_id").agg(F.collect_set(F.struct("has_star", F.length("prefix").alias("head"), F.length("suffix").alias("tail"))).alias("forms"))
     fits = lambda f: (f["head"] <= F.length(spec)) & (f["tail"] <= F.length(spec)) & (f["has_star"] | (f["head"] == F.length(spec)))
-    cut = imports.join(forms, "project_id").select(*key, F.explode(F.filter("forms", fits)).alias("f"))
+    cut = rows.select(*key, F.explode(F.filter("forms", fits)).alias("f"))
     cut = cut.select(*key, F.col("f.has_star").alias("has_star"), F.substr(spec, F.lit(1), F.col("f.head")).alias("prefix"), F.right(spec, F.col("f.tail")).alias("suffix"))
     taken = cut.join(declared, ["project_id", "has_star", "prefix", "suffix"])
     middle = F.substr(spec, F.length("prefix") + 1, F.greatest(F.length("spec") - F.length("prefix") - F.length("suffix"), F.lit(0)))
@@ -94,7 +94,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) ->
     """(project_id, from_path, spec, to_path) of each specifier that means a file of its project.
 
     A base is one key, a file a few (``file_keys``); the order is decided on the hits."""
-    bases = import_bases(imports, aliases).where("base IS NOT NULL")
+    bases = import_bases(imports, aliases)
+    # a generator computes a base once; a filter on it would be pushed down and fold the path again
+    bases = bases.select("project_id", "from_path", "spec", "rank", F.explode(F.array_compact(F.array("base"))).alias("base"))
     known = files.select("project_id", F.col("rel_path").alias("to_path"), F.explode(file_keys(F.col("rel_path"))).alias("k")).select("project_id", "to_path", "k.*")
     return bases.join(known, ["project_id", "base"]).groupBy("project_id", "from_path", "spec").agg(F.min_by("to_path", F.struct("rank", "cand")).alias("to_path"))
 
