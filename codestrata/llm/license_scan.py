@@ -1,27 +1,30 @@
 """License scan by conditional compression.
 
 Candidate blocks are cut from texts that mention a license at all: each
-sentence with a license word (by lines, and with wrapped lines joined), and each stretch of text in which such sentences
+sentence with a license word (by lines, and with wrapped lines joined), the words
+around a license word that no sentence settled, and each stretch of text in which such sentences
 follow one another closely.  A block is compressed by zstandard alone and with
-each template as a raw dictionary; the share of the size that the template
+each template as a raw dictionary (but for those of whose words it has too few for
+them to be confirmed at all); the share of the size that the template
 saves ranks the templates.  Templates are then compared word by word with the
 block, best first, and the one with the fewest differences is confirmed if it
 differs in at most ``tolerance`` of its words: template words that are missing,
 and block words inside the matched stretch that the template does not have.  All
-templates that save anything are compared, unless the block has too few of a
-template's words for it to be confirmed at all; ``ranked`` stops sooner.
+templates that save anything are compared; ``ranked`` stops sooner.
 
 Short templates (notices) are matched against sentences, long ones (license
 texts) against stretches, taken in overlapping windows so that a long stretch
 costs linear time.  A short
-notice that matches no template is judged by the words that name the license,
-which must all be there; the words that introduce them are free.  What lies before and
+notice that matches no template is judged by the words that name the license after
+a cue ("under", "License:", an SPDX tag) or alone on a title line: the wordings ``NAMES`` are
+templates too, ranked by what they save, and the winner's words must all be there in
+order; the words that introduce them are free.  What lies before and
 after a match is judged again, so a block gives a row for every license in it.
 A finding that overlaps a longer one is left out.
 
-The words that make a text a candidate are ``HINTS`` and, for a template that
-holds none of them, as many of its longest words as a confirmed copy cannot all
-lack (``hints_for``).
+The words that make a text a candidate are ``HINTS`` (their words in a row, whatever
+stands between them) and, for a template of which a confirmed copy can lack all of these,
+as many pairs of its words as it cannot all break (``hints_for``).
 
 Cases: null and empty texts give no row; a text of any length is scanned whole,
 block by block; repeated rows, ids and notices each give a row; ties go to the
@@ -34,9 +37,12 @@ from __future__ import annotations
 import difflib
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import accumulate
+from operator import and_, or_
 
 import pyarrow as pa
 import zstandard
@@ -105,6 +111,7 @@ _VERSIONED = (
 _FORMS = ("{0} version {1} 0", "{0} version {1}", "{0} v {1} 0", "{0} v {1}", "{0} v{1} 0", "{0} v{1}", "{0}v{1} 0", "{0}v{1}", "{0} {1} 0", "{0} {1}", "version {1} 0 of the {0}", "version {1} of the {0}", "v{1} 0 of the {0}", "v{1} of the {0}")
 NAMES: tuple[tuple[str, str], ...] = (
     *((name, form.format(called, n)) for name, all_called, n in _VERSIONED for called in all_called for form in _FORMS),
+    *((name[:-4], called) for name, all_called, _ in _VERSIONED for called in all_called if called != "apache"), ("BSD", "bsd"),
     ("MIT", "mit"), ("MIT", "expat"), ("ISC", "isc"), ("Unlicense", "unlicense"), ("CC0-1.0", "cc0 1 0"), ("CC0-1.0", "cc0"),
     *((f"BSD-{n}-Clause", form.format(n)) for n in "23" for form in ("bsd {0} clause", "{0} clause bsd")),
     *((name, form + " 4 0") for name, low, long in (
@@ -114,15 +121,15 @@ NAMES: tuple[tuple[str, str], ...] = (
 )
 _VERBS = {"licensed", "licenced", "released", "distributed", "published", "available", "provided", "redistributed", "covered", "offered", "shared", "made", "code", "is"}
 _FREE = {"the", "a", "an", "terms", "and", "conditions", "of", "or", "either", "both", "license", "licence", "licenses", "your", "choice", "at", "option", "international", "permissive", "standard", "open", "source"}
-_NAMES = {}
-for _name, _text in NAMES:
-    _NAMES.setdefault(_text.split()[0], []).append((tuple(_text.split()), _name))
-for _list in _NAMES.values():
-    _list.sort(key=lambda x: -len(x[0]))
+#: Blanks and marks before a title, and half of what may follow it on its line.
+_TITLE_CHARS = 60
+#: What may stand on a title line beside the name: "MIT License (MIT)", "Version 3, 29 June 2007".
+_TITLE = re.compile(r"\W*(?:(?:licen[sc]e|version|v?\d[\d.]*|mit|isc|the|january|february|march|april|may|june|july|august|september|october|november|december)\b\W*)*", re.IGNORECASE)
 #: A text without any of these (lower-cased) holds no candidate.
 HINTS = ("licens", "licenc", "copyright", "permission is hereby", "permission to use", "redistribution", "public domain", "rights reserved", "warrant", "mozilla public", "creative commons", "released under", "distributed under", "published under", "available under", "provided under")
 #: Judged blocks that a worker remembers, by digest, within a task.
 MEMO = 50_000
+_LICENSE = {"license", "licence", "licenses", "licences"}
 _SENTENCE_END = re.compile(r"[.!?](?=\s)|\n+")
 #: As before, but a wrapped line goes on up to a blank one (comment marks alone leave a line blank).
 _WRAPPED_END = re.compile(r"[.!?](?=\s)|\n(?:[^\w\n]*\n)+")
@@ -187,14 +194,29 @@ def _codec(dictionary=None) -> zstandard.ZstdCompressor:
 
 
 def hints_for(templates: tuple[tuple[str, str], ...], tolerance: float) -> tuple[str, ...]:
-    """HINTS, and for every template without one of them its longest words, one
-    more than a confirmed copy can lack."""
-    more: dict[str, None] = {}
+    """HINTS, and pairs of words (single ones where no pair is left) of every template
+    that has too few of them: a difference breaks one hint at most, so with one hint more
+    than a confirmed copy has differences, one is whole."""
+    single = [h for h in HINTS if " " not in h]
+    rows = dict.fromkeys(tuple(h.split()) for h in HINTS if " " in h)
     for _, text in templates:
-        low, own = text.lower(), words(text)
-        if own and not any(h in low for h in HINTS):
-            more.update(dict.fromkeys(sorted(set(own), key=lambda w: (-len(w), w))[: int(tolerance * len(own)) + 1]))
-    return (*HINTS, *(w for w in more if not any(h in w for h in HINTS)))
+        own = words(text)
+        free = [not any(h in w for h in single) for w in own]
+        need = int(tolerance * len(own)) + 1 - free.count(False)
+
+        def take(row: tuple[str, ...], at: int) -> bool:
+            hit = tuple(own[at : at + len(row)]) == row and all(free[at : at + len(row)])
+            if hit:
+                free[at : at + len(row)] = [False] * len(row)
+            return hit
+
+        need -= sum(take(row, at) for row in rows for at in range(len(own)))
+        for size in (2, 1):
+            for row, at in sorted(((tuple(own[i : i + size]), i) for i in range(len(own) - size + 1)), key=lambda x: (-len("".join(x[0])), x)):
+                if need > 0 and take(row, at):
+                    rows[row] = None
+                    need -= 1
+    return (*single, *map(" ".join, rows))
 
 
 class Scanner:
@@ -204,7 +226,10 @@ class Scanner:
         self.long = [t for t in made if len(t.words) >= LONG_WORDS]
         self.window = 2 * max([LONG_WORDS, *(len(t.words) for t in self.long)])
         self.alone, self.ranked, self.tolerance = _codec(), ranked, tolerance
-        self.hint = re.compile("|".join(map(re.escape, hints_for(templates, tolerance))), re.IGNORECASE)
+        self.hint = re.compile("|".join(r"[\W_]+".join(map(re.escape, h.split())) for h in hints_for(templates, tolerance)), re.IGNORECASE)
+        self.named: dict[str, list[Template]] = {}
+        for name, text in NAMES:
+            self.named.setdefault(text.split()[0], []).append(Template(name, text))
         self.memo: dict[bytes, tuple | None] = {}
 
     def judge(self, block: tuple[str, ...], long: bool):
@@ -219,14 +244,17 @@ class Scanner:
         """(license, reduction, missing, extra, first word, last word) or None."""
         if not block:
             return None
+        count, best = Counter(block), None
+        able = [t for t in (self.long if long else self.short) if t.possible(count, int(self.tolerance * len(t.words)))]
+        if not able:
+            return None
         plain = _PAD + " ".join(block).encode("utf-8", "replace") + _PAD
         alone = len(self.alone.compress(plain))
-        ranks = sorted(((-t.reduction(plain, alone), t.name, i) for i, t in enumerate(self.long if long else self.short)))
-        count, best = Counter(block), None
+        ranks = sorted(((-t.reduction(plain, alone), t.name, i) for i, t in enumerate(able)))
         for minus, name, i in ranks[: self.ranked]:
-            t = (self.long if long else self.short)[i]
+            t = able[i]
             slack = int(self.tolerance * len(t.words))
-            if minus >= 0 or not t.possible(count, slack):
+            if minus >= 0:
                 continue
             missing, extra, first, last = t.differences(list(block), slack)
             if missing + extra <= self.tolerance * len(t.words):
@@ -253,29 +281,68 @@ class Scanner:
             left += [spans[:first], spans[last:]]
 
     def _named(self, text: str, spans: list[tuple[int, int]], found: list[Finding]) -> None:
-        """Licenses named after "under", whatever words introduce them."""
+        """Licenses named after a cue, whatever words introduce them, or by a title line."""
         block = [text[a:b].lower() for a, b in spans]
-        for k, word in enumerate(block):
-            verb = next((v for v in range(k - 1, max(-1, k - 4), -1) if block[v] in _VERBS), None)
-            if word != "under" or verb is None:
-                continue
-            at, first = k + 1, verb
-            while at < len(block):
-                hit = next(((ws, name) for ws, name in _NAMES.get(block[at], ()) if tuple(block[at : at + len(ws)]) == ws), None)
-                if hit:
-                    end = at + len(hit[0])
-                    end += block[end : end + 1] in (["license"], ["licence"])
-                    found.append(Finding(hit[1], spans[first][0], spans[end - 1][1], self._saved(hit[1], block[first:end]), 0, 0, end - first))
-                    at = first = end
-                elif block[at] in _FREE:
-                    at += 1
-                else:
-                    break
-
-    def _saved(self, name: str, block: list[str]) -> float:
-        plain = _PAD + " ".join(block).encode("utf-8", "replace") + _PAD
+        k = 0
+        while k < len(block):
+            first, end = k, k
+            if block[k] == "under":
+                first = next((v for v in range(k - 1, max(-1, k - 4), -1) if block[v] in _VERBS), None)
+                end = k + 1
+            elif block[k] in _LICENSE and k + 1 < len(block) and re.search("[:=]", text[spans[k][1] : spans[k + 1][0]]):
+                end = k + 1
+            elif block[k] == "identifier" and block[max(0, k - 2) : k] == ["spdx", "license"]:
+                first, end = k - 2, k + 1
+            if first is not None and end > k:
+                k = max(k, self._listed(text, spans, block, first, end, found) - 1)
+            elif first is not None and block[k] in self.named and self._starts_line(text, spans[k][0]):
+                k = max(k, self._title(text, spans, block, k, found) - 1)
+            k += 1
+
+    @staticmethod
+    def _starts_line(text: str, at: int) -> bool:
+        before = text[max(0, at - _TITLE_CHARS) : at].rpartition("\n")
+        return (bool(before[1]) or at < _TITLE_CHARS) and words(before[2]) in ([], ["the"])
+
+    def _listed(self, text, spans, block, first: int, at: int, found: list[Finding]) -> int:
+        """Every license named from word ``at`` on, free words between them; the word after the last."""
+        last = at
+        while at < len(block):
+            hit = self._winner(block, first, at)
+            if hit:
+                t, saved, end = hit
+                end += block[end : end + 1] in (["license"], ["licence"])
+                found.append(Finding(t.name, spans[first][0], spans[end - 1][1], saved, 0, 0, end - first))
+                at = first = last = end
+            elif block[at] in _FREE:
+                at += 1
+            else:
+                break
+        return last
+
+    def _title(self, text, spans, block, at: int, found: list[Finding]) -> int:
+        """A license that fills a line: its name with the word license, and little besides."""
+        hit = self._winner(block, at, at)
+        if not hit:
+            return at
+        t, saved, end = hit
+        end += block[end : end + 1] in (["license"], ["licence"])
+        rest = text[spans[end - 1][1] : spans[end - 1][1] + 2 * _TITLE_CHARS].partition("\n")
+        if not _LICENSE & set(block[at:end]) or len(rest[0]) == 2 * _TITLE_CHARS or not _TITLE.fullmatch(rest[0]):
+            return at
+        found.append(Finding(t.name, spans[at][0], spans[end - 1][1], saved, 0, 0, end - at))
+        return end
+
+    def _winner(self, block: list[str], first: int, at: int) -> tuple[Template, float, int] | None:
+        """The wording at word ``at`` that saves most of the words from ``first`` to the
+        end of the longest one, what it saves, and the word after it."""
+        able = [t for t in self.named.get(block[at], ()) if block[at : at + len(t.words)] == t.words]
+        if not able:
+            return None
+        plain = _PAD + " ".join(block[first : at + max(len(t.words) for t in able)]).encode("utf-8", "replace") + _PAD
         alone = len(self.alone.compress(plain))
-        return max((t.reduction(plain, alone) for t in self.short if t.name == name), default=0.0)
+        saved, _, name, i = min((-t.reduction(plain, alone), -len(t.words), t.name, i) for i, t in enumerate(able))
+        return (able[i], -saved, at + len(able[i].words)) if saved < 0 else None
 
     def _sentences(self, text: str, marks: list[int], end: re.Pattern) -> tuple[list[int], list[int]]:
         """(cuts of the text, the sentences with a mark)."""
@@ -288,6 +355,39 @@ class Scanner:
                 sentences.append(at)
         return cuts, sentences
 
+    @staticmethod
+    def _marked(spans: list[tuple[int, int]], marks: list[int]) -> list[int]:
+        """Numbers of the words that hold a mark."""
+        starts = [a for a, _ in spans]
+        inside = marks[bisect_left(marks, spans[0][0]) : bisect_left(marks, spans[-1][1])] if spans else []
+        return list(dict.fromkeys(bisect_right(starts, m) - 1 for m in inside))
+
+    def _try_across(self, text: str, cuts: list[int], group: list[int], marks: list[int], near: int, found: list[Finding]) -> None:
+        """Short notices that run over the end of a sentence, around marks that no finding holds."""
+        lo, hi = cuts[max(0, group[0] - 4)], cuts[min(group[-1] + 5, len(cuts) - 1)]
+        spans = self._spans(text, lo, hi)
+        taken = sorted((f.start, f.end) for f in found if f.start < hi and lo < f.end)
+        starts = [a for a, _ in taken]
+        ends = list(accumulate((b for _, b in taken), max))
+        open_marks = []
+        for k in self._marked(spans, marks):
+            before = bisect_right(starts, spans[k][0])
+            if not before or ends[before - 1] <= spans[k][0]:
+                open_marks.append(k)
+        for lo, hi in self._windows(open_marks, near):
+            if self.judge(tuple(text[a:b].lower() for a, b in spans[lo:hi]), False):
+                self._try(text, spans[lo:hi], False, found)
+
+    @staticmethod
+    def _windows(marked: list[int], near: int):
+        """Ranges of words: each marked one with ``near`` words on both sides lies in one,
+        and close ones share it, so many marks cost linear time."""
+        at = 0
+        while at < len(marked):
+            last = bisect_right(marked, marked[at] + 2 * near) - 1
+            yield max(0, marked[at] - near), marked[last] + near
+            at = last + 1
+
     def scan(self, text: str) -> list[Finding]:
         marks = [m.start() for m in self.hint.finditer(text)]
         if not marks:
@@ -296,14 +396,13 @@ class Scanner:
         wrapped, joined = self._sentences(text, marks, _WRAPPED_END)
         pieces = dict.fromkeys([*((cuts[i], cuts[i + 1]) for i in sentences), *((wrapped[i], wrapped[i + 1]) for i in joined)])
         found: list[Finding] = []
+        near = max((len(t.words) for t in self.short), default=0) + 2
         for lo, hi in pieces:  # a sentence with all that surrounds a short notice in it
             spans = self._spans(text, lo, hi)
-            near = max((len(t.words) for t in self.short), default=0) + 2
-            marked = [k for k, (a, b) in enumerate(spans) if any(a <= m < b for m in marks)] if len(spans) > near else [0]
             if len(spans) <= near:
                 self._try(text, spans, False, found)
-            for k in marked if len(spans) > near else ():
-                self._try(text, spans[max(0, k - near) : k + near], False, found)
+            for lo, hi in self._windows(self._marked(spans, marks), near) if len(spans) > near else ():
+                self._try(text, spans[lo:hi], False, found)
         group: list[int] = []
         for i in [*sentences, None]:
             if group and (i is None or i - group[-1] > 4):
@@ -311,15 +410,20 @@ class Scanner:
                 if self.long and len(spans) >= LONG_WORDS // 2:
                     for lo in range(0, max(1, len(spans) - self.window // 2), self.window // 2):
                         self._try(text, spans[lo : lo + self.window], True, found)
+                self._try_across(text, cuts, group, marks, near, found)
                 group = []
             if i is not None:
                 group.append(i)
         found = sorted(set(found), key=lambda f: (f.start - f.end, f.start, f.license))
-        kept: list[Finding] = []
+        starts: list[int] = []
+        kept: list[Finding] = []  # by start; none overlaps another
         for f in found:
-            if not any(k.start < f.end and f.start < k.end for k in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: f.start)
+            at = bisect_left(starts, f.start)
+            if (at and kept[at - 1].end > f.start) or (at < len(kept) and starts[at] < f.end):
+                continue
+            starts.insert(at, f.start)
+            kept.insert(at, f)
+        return kept
 
 
 @lru_cache(4)
@@ -328,11 +432,20 @@ def scanner(templates: tuple[tuple[str, str], ...], ranked: int | None, toleranc
 
 
 def mentions(text: Column, hints: tuple[str, ...] = HINTS) -> Column:
-    low = F.lower(text)
-    hit = low.contains(hints[0])
-    for h in hints[1:]:
-        hit |= low.contains(h)
-    return hit
+    """Whether a text (lower-cased once) holds all words of a hint, wherever they stand; the longest is looked for first."""
+    by: dict[str, list[list[str]]] = {}
+    for h in hints:
+        *rest, longest = sorted(h.split(), key=len)
+        by.setdefault(longest, []).append(rest)
+
+    def hit(low: Column) -> Column:
+        every = []
+        for longest, rests in by.items():
+            others = [reduce(and_, map(low.contains, rest)) for rest in rests if rest]
+            every.append(low.contains(longest) & reduce(or_, others) if len(others) == len(rests) else low.contains(longest))
+        return reduce(or_, every)
+
+    return F.exists(F.array(F.lower(text)), hit)
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, ranked: int | None = None, tolerance: float = 0.15) -> DataFrame:
