@@ -23,7 +23,7 @@ text and ``pass_items`` items, which bounds what an executor holds).  A larger
 benchmark first drops all documents without enough benchmark shingles by one
 filter of fixed size, and then goes over the rest in one job a pass, each
 writing its matches to the shared folder; matches find their documents by the
-text's digest.
+text's digest, behind a filter, so that texts without a match are not shuffled.
 
 Cases: null and empty texts and items match nothing; repeated items are each
 reported; of several windows that match one item the most similar, then the
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .arrow import KEY, TEXT, map_arrow, map_docs, packed, rest_of, texts, unpacked
-from .session import Scratch
+from .session import Scratch, filtered
 
 SHINGLE = 5
 BITS, BLOCKS = 256, 16
@@ -338,7 +338,7 @@ def _benchmark_hits(bodies: list[bytes], known):
     """For each text and shingle size with known shingles: the text's number, the
     size, its shingles' hashes, the places of the known ones, and its words.
     ``known``: (first look by the top 20 bits, sorted hashes) of each size, or a
-    function of a size and hashes."""
+    filter's packed bits and None."""
     flat = np.frombuffer(b"\n" + b"\n".join(bodies) + b"\n", np.uint8)
     at = np.cumsum([0] + [len(b) + 1 for b in bodies]) + 1  # start of each body in flat
     starts, ends = word_spans(flat)
@@ -350,7 +350,11 @@ def _benchmark_hits(bodies: list[bytes], known):
     owner = np.repeat(np.arange(len(bodies), dtype=np.int32), np.diff(first))
     for k, (mark, every) in known.items():
         h = shingle_hashes(words, k)
-        maybe = np.flatnonzero(mark[(h >> np.uint64(64 - len(mark).bit_length() + 1)).astype(np.int64)])
+        if every is None:
+            bit = h >> np.uint64(64 - FILTER_BITS)
+            maybe = np.flatnonzero(mark[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1))
+        else:
+            maybe = np.flatnonzero(mark[(h >> np.uint64(64 - len(mark).bit_length() + 1)).astype(np.int64)])
         maybe = maybe[owner[maybe] == owner[maybe + k - 1]]
         if every is not None:
             place = np.minimum(np.searchsorted(every, h[maybe]), len(every) - 1)
@@ -382,7 +386,7 @@ def _benchmark_filter(items: DataFrame, similarity: float) -> dict[int, tuple[np
         part = held.where(F.col("k") == k).select("word", "bits", "need").toPandas()  # 2^21 rows at most
         words = np.zeros(1 << FILTER_BITS - 6, np.uint64)
         words[part.word.to_numpy()] = part.bits.to_numpy().view(np.uint64)
-        made[k] = (np.unpackbits(words.view(np.uint8), bitorder="little").view(bool), int(part.need.min()))
+        made[k] = (words, int(part.need.min()))  # 16 MB, and so on every worker
     return made
 
 
@@ -426,7 +430,11 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         part = scratch.keep(matches(maybe, p).where(F.size(column) > 0).select(KEY, column), f"pass_{p}")
         parts = part if parts is None else parts.unionByName(part)
     parts = parts.groupBy(KEY).agg(F.flatten(F.collect_list(column)).alias(column))
-    done = rows.drop(KEY).withColumn(KEY, F.md5(TEXT)).join(parts, KEY, "left")
+    parts = scratch.keep(parts, "parts")
+    rows = filtered(scratch, rows.drop(KEY).withColumn(KEY, F.md5(TEXT)), KEY, parts)  # only texts that may have a match are shuffled
+    hit = rows.where("_maybe").drop("_maybe").join(parts, KEY, "left")
+    none = rows.where(F.coalesce(~F.col("_maybe"), F.lit(True))).drop("_maybe").withColumn(column, F.lit(None).cast(found.dataType))
+    done = none.unionByName(hit.select(*none.columns))
     return unpacked(done.withColumn(column, F.coalesce(column, F.array().cast(found.dataType))), docs.columns, text, column)
 
 

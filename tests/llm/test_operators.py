@@ -218,6 +218,24 @@ def test_passages_match_every_window(spark):
             assert dict(docs)[r.doc_id].encode()[p.start_byte : p.end_byte].split()
 
 
+def test_several_passes_carry_every_row(spark, monkeypatch):
+    """Several passes, items of one to six words: the same rows as in one pass, nulls, repeats and clashing names included."""
+    rng = np.random.default_rng(8)
+    items = [(n * 10 + k, " ".join(f"item{n}x{k}y{j}" for j in range(n))) for n in range(1, 7) for k in range(4)]
+    texts = [prose(rng, 40) + (" " + items[i % len(items)][1] + " " if i % 3 else " ") + prose(rng, 40) for i in range(60)]
+    rows = [(i, t, "p") for i, t in enumerate(texts)] + [(70, None, "p"), (71, "", "p"), (1, texts[1], "again"), (None, texts[2], "p"), (72, "word " * 300_000 + items[-1][1], "p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, passages string").withColumnRenamed("passages", "_maybe").withColumn("_bits", F.lit(1))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    held = []
+    made = decontaminate._benchmark_filter
+    monkeypatch.setattr(decontaminate, "_benchmark_filter", lambda *a: held.append(made(*a)) or held[-1])
+    key = lambda r: (str(r.doc_id), r._maybe, r._bits, r.text, sorted(p.item_id for p in r.passages))
+    one = sorted(map(str, map(key, decontaminate.find_passages(docs, bench).collect())))
+    many = sorted(map(str, map(key, decontaminate.find_passages(docs, bench, pass_items=5).collect())))
+    assert one == many and len(one) == len(rows) and sum("[]" not in x for x in one) >= 40
+    assert sorted(held[0]) == [1, 2, 3, 4, 5] and all(bits.nbytes == 16 << 20 for bits, _ in held[0].values())
+
+
 def test_passages_messy(spark, messy, empty_docs):
     bench = spark.createDataFrame([(1, "word word word word word word"), (1, "word word word word word word"), (2, None)], "item_id long, text string")
     got = decontaminate.find_passages(messy, bench)

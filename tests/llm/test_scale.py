@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from codestrata.llm import decontaminate, embedding_dedup, langid, line_dedup, near_copies, quality, simhash
 from codestrata.llm.components import brute_components
-from codestrata.llm.session import Scratch, without
+from codestrata.llm.session import Scratch, filter_words, without
 from pyspark.sql import functions as F
 
 from .conftest import prose
@@ -83,6 +83,12 @@ def test_without_drops_exactly(spark):
     assert sorted(r.text for r in left) == sorted([str(i) for i in range(500) if i % 7 != 3] + ["n"])
 
 
+def test_filters_grow_with_their_keys():
+    sizes = [2 ** filter_words(n) * 64 for n in (0, 1000, 10**6, 3 * 10**7, 10**9)]
+    assert sizes == sorted(sizes) and sizes[0] == 1 << 18 and sizes[-1] == 1 << 28
+    assert all(8 * n <= s for n, s in zip((0, 1000, 10**6, 3 * 10**7), sizes))
+
+
 LONG = """
 import resource, sys, time
 import numpy as np
