@@ -34,10 +34,12 @@ from .arrow import map_arrow, map_docs, rest_of, texts
 
 #: Words kept between the batches of a task; beyond it the store starts anew.
 STORE_WORDS = 200_000
+#: Words merged at once: their pairs' lists are the largest thing in a worker's memory.
+MERGE_WORDS = 16_000
 #: A pair with more places than this is rewritten with numpy.
 VECTOR_PLACES = 24
 #: Bytes of text taken at once: the more words, the longer the lists of a pair, and the more memory.
-TAKE_BYTES = 2 << 20
+TAKE_BYTES = 1 << 20
 #: Unicode white space, as in the vocabulary's own pattern.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _NARROW = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\x09-\x0d\x20a-z0-9]+")
@@ -99,7 +101,11 @@ class PairMerger:
         return np.where(self.pair_keys[at] == want, self.pair_ranks[at], -1)
 
     def merge(self, words: list[str]) -> list[list[int]]:
-        """Token ids of each word, all words merged together.
+        """Token ids of each word, all words merged together."""
+        return [array("i", ids).tolist() for ids in self.merge_packed(words)]
+
+    def merge_packed(self, words: list[str]) -> list[bytes]:
+        """``merge`` with each word's ids as 32-bit integers.
 
         Frequent pairs are rewritten with numpy, rare ones one by one; both act
         on the same memory."""
@@ -177,13 +183,10 @@ class PairMerger:
                 h = before[i]
                 if h >= 0:
                     add((sym[h], new), h)
-        whole = vsym[vsym != -2].tolist()
-        out, at = [], 0
-        for _ in raw:
-            end = whole.index(-1, at)
-            out.append(whole[at:end])
-            at = end + 1
-        return out
+        whole = vsym[vsym != -2]
+        cuts = (np.flatnonzero(whole == -1) * 4).tolist()
+        packed = whole.tobytes()
+        return [packed[lo:hi] for lo, hi in zip([0, *(c + 4 for c in cuts)], cuts)]
 
     def decode(self, ids) -> str:
         """Tokens joined by a space; ids outside the vocabulary are left out."""
@@ -198,13 +201,15 @@ class PairMerger:
         for w in [w for w in new if w in self.special]:
             self.store[w] = array("I", [self.special[w]]).tobytes()
         new = [w for w in new if w not in self.special]
-        for w, ids in zip(new, self.merge(new)):
-            self.store[w] = array("I", ids).tobytes()
+        for lo in range(0, len(new), MERGE_WORDS):
+            part = new[lo : lo + MERGE_WORDS]
+            self.store.update(zip(part, self.merge_packed(part)))
 
     def encode_packed(self, bodies: list[str]) -> list[tuple[bytes, bytes]]:
         """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
-        split = [self.pieces(t) for t in bodies]
-        self.learn(set().union(*split))
+        one: dict[str, str] = {}  # one object for each distinct word
+        split = [[one.setdefault(w, w) for w in self.pieces(t)] for t in bodies]
+        self.learn(set(one))
         found = []
         for words in split:
             ids = b"".join(map(self.store.__getitem__, words))
@@ -237,7 +242,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", dec
             made.append(pa.array([d for _, d in done], pa.binary()).cast(pa.string()))
         return made
 
-    return map_docs(docs, text, fields, work, limit=TAKE_BYTES, done=lambda: merger(path).store.clear())
+    return map_docs(docs, text, fields, work, limit=TAKE_BYTES, done=merger.cache_clear)  # workers wait between tasks: two for each core, where a stage has two Python steps
 
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:

@@ -278,6 +278,18 @@ def test_bpe_vector_and_scalar_paths_agree(monkeypatch):
     assert merger.merge(words) == fast
 
 
+def test_bpe_merges_a_bounded_number_of_words_at_once(monkeypatch):
+    rng = np.random.default_rng(10)
+    text = " ".join(prose(rng, 30) for _ in range(200))
+    whole = bpe.PairMerger(queries.tokenizer_file()).encode_packed([text, text])
+    merger, sizes = bpe.PairMerger(queries.tokenizer_file()), []
+    merge = merger.merge_packed
+    monkeypatch.setattr(bpe, "MERGE_WORDS", 50)
+    monkeypatch.setattr(merger, "merge_packed", lambda words: sizes.append(len(words)) or merge(words))
+    assert merger.encode_packed([text, text]) == whole
+    assert len(sizes) > 1 and max(sizes) == 50
+
+
 def test_bpe_messy(messy, empty_docs):
     got = bpe.encode(messy, queries.tokenizer_file(), packed=True)
     assert got.count() == messy.count() and got.where("doc_id = 3").first().n_tokens == 0 and bytes(got.where("doc_id = 4").first().ids) == b""
