@@ -26,10 +26,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import Tables
+from ..scratch import TASK_ROWS, Tables
 from ..ship import ship
 
-LOCAL_EDGES = 1_000_000
+LOCAL_EDGES = 250_000
 SCHEMA = "project_id string, component string, node string"
 
 
@@ -77,7 +77,12 @@ def tarjan(edges: list[tuple[str, str]]) -> list[list[str]]:
 
 
 def _local(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    rows = [(key[0], min(group), n) for group in tarjan(list(zip(pdf.from_path, pdf.to_path))) for n in group]
+    return named(key[0], tarjan(list(zip(pdf.from_path, pdf.to_path))))
+
+
+def named(project: str, groups: list[list[str]]) -> pd.DataFrame:
+    """A row for each member; the name of a group is looked for once."""
+    rows = [(project, name, n) for name, group in ((min(group), group) for group in groups) for n in group]
     return pd.DataFrame(rows, columns=["project_id", "component", "node"])
 
 
@@ -155,13 +160,23 @@ def _ends(edges: DataFrame) -> DataFrame:
     return edges.select(*KEY, F.explode(F.array("a", "b")).alias("node")).distinct()
 
 
+def _placed(tables: Tables, nodes: DataFrame, blocks: int) -> DataFrame:
+    """Stored nodes, cut by name into about so many blocks of equal size; a task cuts many, so that there is no task and file for each."""
+    n = nodes.count()
+    tasks = min(blocks, max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS)))
+    order = nodes.repartitionByRange(tasks, *KEY, "node").sortWithinPartitions(*KEY, "node").withColumn("place", F.monotonically_increasing_id())
+    # the upper bits of a place are the task, the lower 33 the row's number in it
+    own = F.floor(F.col("place").bitwiseAND((1 << 33) - 1) / max(1, -(-n // blocks)))
+    return tables.keep(order.select(*KEY, "node", (F.shiftright("place", 33) * (1 << 33) + own).alias("block")))
+
+
 def _solve(tables: Tables, edges: DataFrame, local_edges: int) -> DataFrame:
     """(project_id, component, node) of a stored graph (project_id, a, b) of any size; single nodes may be listed."""
     n = edges.count()
     if n <= local_edges:  # one task for each project, however many there are left
         return edges.groupBy(*KEY).applyInPandas(_whole, SCHEMA)
     blocks = max(2, -(-2 * n // local_edges))
-    placed = tables.keep(_ends(edges).repartitionByRange(blocks, *KEY, "node").withColumn("block", F.spark_partition_id()))
+    placed = _placed(tables, tables.keep(_ends(edges)), blocks)
     at = lambda end: placed.select(*KEY, F.col("node").alias(end), F.col("block").alias("block_" + end))
     split = tables.keep(edges.join(at("a"), [*KEY, "a"]).join(at("b"), [*KEY, "b"]).select(*KEY, "a", "b", "block_a", "block_b"))
     large = split.where("block_a = block_b").groupBy("block_a").count().where(F.col("count") > 4 * local_edges)
@@ -178,8 +193,7 @@ def _solve(tables: Tables, edges: DataFrame, local_edges: int) -> DataFrame:
 
 
 def _whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    found = [(key[0], min(group), n) for group in tarjan(list(zip(rows.a, rows.b))) for n in group]
-    return pd.DataFrame(found, columns=["project_id", "component", "node"])
+    return named(key[0], tarjan(list(zip(rows.a, rows.b))))
 
 
 def _chains(tables: Tables, edges: DataFrame, local_edges: int) -> DataFrame:

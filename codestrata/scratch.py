@@ -22,6 +22,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of one task, about, where a step keeps them in memory.
+TASK_ROWS = 250_000
+
+
+def spread(rows: DataFrame, *keys: str, n: int | None = None) -> DataFrame:
+    """``rows`` (of a stored table, or ``n`` of them) dealt by ``keys`` into as many tasks as they need.
+
+    Splits of a file, and with them the hash tables of the tasks that read it, grow with the file."""
+    n = rows.count() if n is None else n
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // TASK_ROWS))
+    return rows.repartition(tasks, *keys)
+
+
 class Tables:
     """Writes frames as Parquet and reads them again; ``drop`` removes one that no
     lazy frame needs any more, the rest goes when the driver's JVM ends."""
