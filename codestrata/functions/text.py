@@ -42,7 +42,11 @@ def strip_comments(source: Column) -> Column:
 
 def import_specs(source: Column) -> Column:
     """Distinct import specifiers: by form, then by place."""
-    clean = strip_comments(source)
+    return stripped_specs(strip_comments(source))
+
+
+def stripped_specs(clean: Column) -> Column:
+    """``import_specs`` of a source without comments."""
     return F.array_distinct(F.concat(*[F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in IMPORT_FORMS]))
 
 

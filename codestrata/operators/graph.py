@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import basename, deep_segments, dirname, exports_something, import_specs, line_count, normalize_path
+from ..functions.text import basename, deep_segments, dirname, exports_something, import_specs, line_count, normalize_path, strip_comments, stripped_specs
 from ..schema import ALIASES, ENTRY_NAMES, RESOLVE_EXTENSIONS, Limits
+from ..scratch import Tables, spread
 from .components import strong_components
 from .structure import issue
 
@@ -36,7 +37,11 @@ class ImportGraph:
 
 
 def extract_imports(sources: DataFrame) -> DataFrame:
-    rows = sources.select("project_id", F.col("rel_path").alias("from_path"), F.posexplode(import_specs(F.col("content"))).alias("spec_ord", "spec"))
+    return spec_rows(sources, import_specs(F.col("content")))
+
+
+def spec_rows(files: DataFrame, specs: Column) -> DataFrame:
+    rows = files.select("project_id", F.col("rel_path").alias("from_path"), F.posexplode(specs).alias("spec_ord", "spec"))
     return rows.withColumn("deep", deep_segments(F.col("spec")))
 
 
@@ -97,8 +102,9 @@ def resolve_imports(imports: DataFrame, files: DataFrame, aliases: DataFrame) ->
     bases = import_bases(imports, aliases)
     # a generator computes a base once; a filter on it would be pushed down and fold the path again
     bases = bases.select("project_id", "from_path", "spec", "rank", F.explode(F.array_compact(F.array("base"))).alias("base"))
+    bases = Tables(imports.sparkSession, "bases").keep(bases)
     known = files.select("project_id", F.col("rel_path").alias("to_path"), F.explode(file_keys(F.col("rel_path"))).alias("k")).select("project_id", "to_path", "k.*")
-    return bases.join(known, ["project_id", "base"]).groupBy("project_id", "from_path", "spec").agg(F.min_by("to_path", F.struct("rank", "cand")).alias("to_path"))
+    return spread(bases, "project_id", "base").join(known, ["project_id", "base"]).groupBy("project_id", "from_path", "spec").agg(F.min_by("to_path", F.struct("rank", "cand")).alias("to_path"))
 
 
 def no_aliases(sources: DataFrame) -> DataFrame:
@@ -107,11 +113,15 @@ def no_aliases(sources: DataFrame) -> DataFrame:
 
 def build_graph(sources: DataFrame, aliases: DataFrame | None = None, self_imports: bool = False) -> ImportGraph:
     aliases = no_aliases(sources) if aliases is None else aliases
-    imports = extract_imports(sources)
-    resolved = resolve_imports(imports, sources, aliases)
-    resolved = resolved if self_imports else resolved.where("from_path <> to_path")
-    edges = resolved.select("project_id", "from_path", "to_path").distinct()
-    facts = sources.select("project_id", "rel_path", line_count(F.col("content")).alias("loc"), exports_something(F.col("content")).alias("exports_something"))
+    tables = Tables(sources.sparkSession, "graph")
+    # texts are read once: what the rules ask of them is kept
+    facts = sources.select("project_id", "rel_path", line_count(F.col("content")).alias("loc"), exports_something(F.col("content")).alias("exports_something"), strip_comments(F.col("content")).alias("clean"))
+    facts = tables.keep(facts.select("project_id", "rel_path", "loc", "exports_something", stripped_specs(F.col("clean")).alias("specs")))
+    imports = spec_rows(facts, F.col("specs"))
+    resolved = resolve_imports(imports, facts, aliases)
+    resolved = tables.keep(resolved if self_imports else resolved.where("from_path <> to_path"))
+    edges = tables.keep(resolved.select("project_id", "from_path", "to_path").distinct())
+    facts = facts.drop("specs")
     return ImportGraph(with_degrees(facts, edges), edges, resolved, imports, aliases)
 
 
@@ -167,8 +177,9 @@ def deep_relative_imports(imports: DataFrame, limits: Limits = Limits()) -> Data
 
 
 def graph_issues(graph: ImportGraph, limits: Limits = Limits()) -> DataFrame:
+    nodes = Tables(graph.nodes.sparkSession, "nodes").keep(graph.nodes)
     found = circular_dependencies(graph.edges, limits)
-    for part in (orphan_files(graph.nodes, graph.edges), god_files(graph.nodes, limits), deep_relative_imports(graph.imports, limits)):
+    for part in (orphan_files(nodes, graph.edges), god_files(nodes, limits), deep_relative_imports(graph.imports, limits)):
         found = found.unionByName(part)
     return found
 

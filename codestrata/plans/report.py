@@ -11,6 +11,7 @@ from ..operators.graph import ImportGraph, build_graph, graph_issues, graph_stat
 from ..operators.profile import detect_stack
 from ..operators.structure import project_stats, structural_issues
 from ..schema import ISSUE_TYPES, Limits, rules
+from ..scratch import Tables
 from ..sources.fstree import load_aliases
 
 
@@ -71,10 +72,11 @@ def all_issues(entries: DataFrame, graph: ImportGraph | None = None, limits: Lim
 def report(entries: DataFrame, sources: DataFrame | None = None, configs: DataFrame | None = None, limits: Limits = Limits()) -> DataFrame:
     """One row per project: score, stats, graph stats, stack and the issues as
     an array of structs.  Without sources: structure only."""
-    graph = None
+    graph, tables = None, Tables(entries.sparkSession, "report")
+    entries = tables.keep(entries)  # entries and issues are read for the score, the statistics and the list
     if sources is not None:
         graph = build_graph(sources, load_aliases(configs, limits.mode) if configs is not None else None, limits.self_imports)
-    issues = all_issues(entries, graph, limits)
+    issues = tables.keep(all_issues(entries, graph, limits))
     body = [c for c in issues.columns if c != "project_id"]
     weight, file, snippet = worst_first()
     row = F.struct(scan_order(F.col("rule")).alias("o"), weight.alias("w"), file.alias("f"), snippet.alias("s"), F.struct(*body).alias("issue"))
