@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import spread
+
 PROJECT_ALIASES = [("p", "tsconfig.json", "", [(0, "@lib/", "", True, 0, "missing/*"), (0, "@lib/", "", True, 1, "lib/*"), (1, "only", "", False, 0, "lib/part1")], 2)]
 
 
@@ -133,9 +135,11 @@ BASE_SQL = "regexp_replace(regexp_replace(name, '\\.[^.]+$', ''), '\\.[^.]+$', '
 def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: a supplier imports the supplier of the next line of an order; one project a year."""
     line = table(spark, sf_dir, "lineitem")
-    a = line.select("l_orderkey", F.col("l_linenumber").alias("n"), F.year("l_shipdate").cast("string").alias("project_id"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("from_path"))
-    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("to_path"))
-    return a.join(b, ["l_orderkey", "n"]).where("from_path <> to_path").select("project_id", "from_path", "to_path").distinct()
+    a = line.select("l_orderkey", F.col("l_linenumber").alias("n"), F.year("l_shipdate").alias("year"), F.col("l_suppkey").alias("a"))
+    b = line.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_suppkey").alias("b"))
+    ends = a.join(b, ["l_orderkey", "n"]).where("a <> b").select("year", "a", "b").distinct()  # names are made of what is left
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    return ends.select(F.col("year").cast("string").alias("project_id"), name("a").alias("from_path"), name("b").alias("to_path"))
 
 
 LINE_EDGES_SQL = """
@@ -199,15 +203,17 @@ def part_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def line_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V4: import specifiers of three forms, relative, aliased and below the base."""
+    lines = spread(table(spark, sf_dir, "lineitem").select("l_partkey", "l_linenumber"), "l_partkey", "l_linenumber").distinct()
     k, n = F.col("l_partkey").cast("string"), F.col("l_linenumber")
     spec = F.when(n % 3 == 0, F.concat(F.lit("../.././../lib//part"), k)).when(n % 3 == 1, F.concat(F.lit("@lib/part"), k)).otherwise(F.concat(F.lit("lib/part"), k))
-    return table(spark, sf_dir, "lineitem").select(F.lit("p").alias("project_id"), F.concat(F.lit("src/a/b/m"), n.cast("string"), F.lit(".ts")).alias("from_path"), spec.alias("spec")).distinct()
+    return lines.select(F.lit("p").alias("project_id"), F.concat(F.lit("src/a/b/m"), n.cast("string"), F.lit(".ts")).alias("from_path"), spec.alias("spec"))
 
 
 def deep_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = table(spark, sf_dir, "lineitem")
+    ends = ["l_orderkey", "l_partkey", "l_linenumber"]
+    line = spread(table(spark, sf_dir, "lineitem").select(*ends), *ends).distinct()
     spec = F.concat(F.expr("repeat('../', cast(l_linenumber as int))"), F.lit("part"), F.col("l_partkey").cast("string"))
-    rows = line.select(F.lit("p").alias("project_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("from_path"), spec.alias("spec"), F.col("l_partkey").cast("int").alias("spec_ord"), F.col("l_linenumber").cast("int").alias("line_no")).distinct()
+    rows = line.select(F.lit("p").alias("project_id"), F.concat(F.lit("o"), F.col("l_orderkey").cast("string"), F.lit(".ts")).alias("from_path"), spec.alias("spec"), F.col("l_partkey").cast("int").alias("spec_ord"), F.col("l_linenumber").cast("int").alias("line_no"))
     return rows
 
 
@@ -230,7 +236,7 @@ sources AS (
 
 def event_projects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """V6: event groups as projects: (entries, configs)."""
-    events = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"), F.from_json("props", "k int").getField("k").alias("k"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"), F.from_json("props", "k int").getField("k").alias("k"))
     choose = F.array(*[F.when(F.col("k") % m == 0, p) for m, p in STACK_PATHS])
     paths = events.select("project_id", F.explode(F.array_compact(F.array_append(choose, F.lit("README.md")))).alias("path"), F.lit(1).cast("long").alias("size"))
     package = F.concat(F.lit('{"name": "'), "project_id", F.lit('", "dependencies": {"react": "^'), (F.col("k") % 20).cast("string"), F.lit('.1.0"'), F.when(F.col("k") % 2 == 0, F.lit(', "next": "14.2"')).otherwise(""), F.lit('}, "devDependencies": {"tailwindcss": "3"'), F.when(F.col("k") % 7 == 0, F.lit(', "prisma": "5"')).otherwise(""), F.lit("}}"))
@@ -251,7 +257,7 @@ def document_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layout_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as projects with the folders that decide on a layout, by their number k."""
-    events = table(spark, sf_dir, "events").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"), F.from_json("props", "k int").getField("k").alias("k"))
+    events = spread(table(spark, sf_dir, "events").select("event_id", "props"), "event_id").select(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("project_id"), F.from_json("props", "k int").getField("k").alias("k"))
     choose = F.array(*[F.when(F.col("k") % m == 0, p) for m, p in LAYOUT_PATHS])
     return entries_from_paths(events.select("project_id", F.explode(F.array_compact(F.array_append(choose, F.lit("README.md")))).alias("path"), F.lit(1).cast("long").alias("size")))
 
@@ -270,8 +276,12 @@ def event_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def linked_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as source files that import the source's next document by name and its first by an alias."""
-    whole = W.partitionBy("source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.lead("doc_id").over(whole).alias("next"), F.min("doc_id").over(W.partitionBy("source")).alias("first"))
+    whole = W.partitionBy("s").orderBy("i")
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", "text")
+    # only numbers go through the window of a source; rows that repeat an id are one file
+    ids = docs.select(F.col("source").alias("s"), F.col("doc_id").alias("i")).distinct()
+    ids = ids.select("s", "i", F.lead("i").over(whole).alias("next"), F.min("i").over(W.partitionBy("s")).alias("first"))
+    docs = docs.join(ids, F.col("source").eqNullSafe(F.col("s")) & F.col("doc_id").eqNullSafe(F.col("i")))
     name = lambda c: F.concat(F.lit("doc_"), F.col(c).cast("string"))
     after = F.when(F.col("next").isNotNull(), F.concat(F.lit("import n from './"), name("next"), F.lit("';"))).otherwise(";")
     content = F.concat("text", F.lit("\n"), after, F.lit("\nimport f from '@/"), name("first"), F.lit("';\n"))

@@ -16,7 +16,7 @@ from .operators.components import strong_components
 from .operators.profile import detect_stack
 from .plans import migration, render, report
 from .schema import ALIASES, BARREL_DIRS, CONCEPTS, ENTRY_NAMES, ISSUE_TYPES, RULES, Limits, rules
-from .scratch import shared_dir
+from .scratch import Tables, shared_dir
 from .sources.fstree import load_aliases, read_entries, source_files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,7 +299,7 @@ def fan_in_out(spark, d):
 
 
 def _line_graph(spark, d):
-    edges = A.line_edges(spark, d)
+    edges = Tables(spark, "lines").keep(A.line_edges(spark, d))  # several rules ask for them
     nodes = G.with_degrees(A.supplier_nodes(spark, d), edges)
     imports = A.deep_specs(spark, d).withColumn("deep", X.deep_segments(F.col("spec")))
     return G.ImportGraph(nodes, edges, edges.withColumn("spec", F.col("to_path")), imports, spark.createDataFrame([], ALIASES))
