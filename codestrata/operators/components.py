@@ -30,6 +30,8 @@ from ..scratch import TASK_ROWS, Tables
 from ..ship import ship
 
 LOCAL_EDGES = 250_000
+#: Up to so many blocks are a task and a file each; it saves two jobs a level.
+MANY_BLOCKS = 256
 SCHEMA = "project_id string, component string, node string"
 
 
@@ -176,7 +178,10 @@ def _solve(tables: Tables, edges: DataFrame, local_edges: int) -> DataFrame:
     if n <= local_edges:  # one task for each project, however many there are left
         return edges.groupBy(*KEY).applyInPandas(_whole, SCHEMA)
     blocks = max(2, -(-2 * n // local_edges))
-    placed = _placed(tables, tables.keep(_ends(edges)), blocks)
+    if blocks <= MANY_BLOCKS:
+        placed = tables.keep(_ends(edges).repartitionByRange(blocks, *KEY, "node").withColumn("block", F.spark_partition_id()))
+    else:
+        placed = _placed(tables, tables.keep(_ends(edges)), blocks)
     at = lambda end: placed.select(*KEY, F.col("node").alias(end), F.col("block").alias("block_" + end))
     split = tables.keep(edges.join(at("a"), [*KEY, "a"]).join(at("b"), [*KEY, "b"]).select(*KEY, "a", "b", "block_a", "block_b"))
     large = split.where("block_a = block_b").groupBy("block_a").count().where(F.col("count") > 4 * local_edges)
